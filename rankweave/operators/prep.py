@@ -40,9 +40,11 @@ def exact_holdout_tag(ratings: DataFrame, fraction: float = 0.2, seed: int = 42)
     return numbered.withColumn("is_test", F.col("hash_no") <= F.ceil(total * F.lit(fraction))).drop("_h", "hash_no")
 
 
-def temporal_tag(ratings: DataFrame, fraction: float = 0.2) -> DataFrame:
+def temporal_tag(
+    ratings: DataFrame, fraction: float = 0.2, order: tuple[str, ...] = ("ts", "user_id", "item_id")
+) -> DataFrame:
     """``is_test`` for the latest rows: everything after the first ``floor((1 - fraction) * n)``."""
-    numbered = sort_rank(ratings, [F.col("ts"), F.col("user_id"), F.col("item_id")])
+    numbered = sort_rank(ratings, [F.col(c) for c in order])
     total = numbered.agg(F.count("*")).scalar()
     keep = F.floor(F.round(total * F.lit(1.0 - fraction), 6))
     return numbered.withColumn("is_test", F.col("order_no") > keep)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,6 +18,7 @@ def local_session(cpus: str | int = "*", shuffle_partitions: int = 8, memory: st
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )
@@ -51,3 +54,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def write_and_read(df: DataFrame, path: str) -> DataFrame:
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers once per application (needed where it is not installed)."""
+    sc = spark.sparkContext
+    if getattr(sc, "_rankweave_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="rankweave-package-")) / "rankweave"
+    sc.addPyFile(shutil.make_archive(str(target), "zip", root.parent, root.name))
+    sc._rankweave_shipped = True
