@@ -27,6 +27,17 @@ def holdout_split(ratings: DataFrame, fraction: float = 0.2, seed: int = 42) ->
     )
 
 
+def store_split(ratings: DataFrame, path: str, fraction: float = 0.2, seed: int = 42) -> DataFrame:
+    """Write the tagged ratings once, one folder per part, and read them back.
+
+    Popularity, masks, truth and user samples all start from the split; a stored one is read
+    with column and partition pruning where a view would be derived again for each of them.
+    """
+    tagged = holdout_tag(ratings, fraction, seed)
+    tagged.write.mode("overwrite").partitionBy("is_test").parquet(path)
+    return ratings.sparkSession.read.schema(tagged.schema).parquet(path)
+
+
 def validation_split(train: DataFrame, fraction: float = 0.1, seed: int = 43) -> tuple[DataFrame, DataFrame]:
     """90/10 cut of the training rows; a different seed keeps it independent of the hold-out."""
     return holdout_split(train, fraction, seed)

@@ -35,18 +35,19 @@ def _score_block(users: pd.DataFrame, items: pd.DataFrame, n: int, clip) -> Iter
         scores = p @ q.T + part["bias"].to_numpy()[:, None] + items["bias"].to_numpy()[None, :]
         if clip is not None:
             scores = np.clip(scores, *clip)
-        scores = np.round(scores, 9)
         for row, seen in enumerate(part["seen"]):
             if seen is not None and len(seen):
                 at = np.searchsorted(item_ids, seen)
                 at = np.minimum(at, len(item_ids) - 1)
                 scores[row, at[item_ids[at] == seen]] = -np.inf
-        keep = min(n, scores.shape[1])
-        floor = np.partition(scores, scores.shape[1] - keep, axis=1)[:, scores.shape[1] - keep]
-        rows, cols = np.nonzero((scores >= floor[:, None]) & np.isfinite(scores))
+        # Lists are ordered by the score at 9 places, then by item: all ties at the cut are kept.
+        rounded = np.round(scores, 9)
+        keep = min(n, rounded.shape[1])
+        floor = np.partition(rounded, rounded.shape[1] - keep, axis=1)[:, rounded.shape[1] - keep]
+        rows, cols = np.nonzero((rounded >= floor[:, None]) & np.isfinite(rounded))
+        order = np.lexsort((item_ids[cols], -rounded[rows, cols], rows))
+        rows, cols = rows[order], cols[order]
         values = scores[rows, cols]
-        order = np.lexsort((item_ids[cols], -values, rows))
-        rows, cols, values = rows[order], cols[order], values[order]
         first = np.searchsorted(rows, rows, side="left")
         best = np.arange(len(rows)) - first < n
         yield pd.DataFrame({

@@ -63,25 +63,27 @@ LIST_COLUMNS = "SELECT user_id, item_id, round(score, 6) AS score, rank FROM rec
 IN_SAMPLE = "WHERE user_id IN (SELECT user_id FROM users)"
 
 # Per user and k: list length, hits, discounted gain, first hit, average-precision sum.
-PER_USER = """ks AS (SELECT unnest([5, 10, 20]) AS k),
-rel AS (SELECT user_id, count(*) AS n_rel FROM truth GROUP BY 1),
-marked AS (
+def per_user(recs: str = "recs", tag: str = "") -> str:
+    return f"""ks{tag} AS (SELECT unnest([5, 10, 20]) AS k),
+rel{tag} AS (SELECT user_id, count(*) AS n_rel FROM truth GROUP BY 1),
+marked{tag} AS (
   SELECT r.user_id, r.item_id, r.rank, t.item_id IS NOT NULL AS hit, coalesce(t.rating, 0) AS gain,
          sum((t.item_id IS NOT NULL)::INTEGER) OVER (PARTITION BY r.user_id ORDER BY r.rank) AS running
   FROM {recs} r LEFT JOIN truth t ON t.user_id = r.user_id AND t.item_id = r.item_id),
-per_user AS (
+per_user{tag} AS (
   SELECT u.user_id, k, count(m.item_id) AS n_listed, count(*) FILTER (m.hit) AS hits,
          coalesce(sum(1 / log2(m.rank + 1)) FILTER (m.hit), 0) AS dcg,
          coalesce(sum(m.gain / log2(m.rank + 1)), 0) AS graded,
          min(m.rank) FILTER (m.hit) AS first_hit,
          sum(m.running / m.rank) FILTER (m.hit) AS ap,
          any_value(n_rel) AS n_rel
-  FROM users u CROSS JOIN ks LEFT JOIN marked m ON m.user_id = u.user_id AND m.rank <= k
-       LEFT JOIN rel ON rel.user_id = u.user_id
+  FROM users u CROSS JOIN ks{tag} LEFT JOIN marked{tag} m ON m.user_id = u.user_id AND m.rank <= k
+       LEFT JOIN rel{tag} r ON r.user_id = u.user_id
   GROUP BY 1, 2),
-ideal AS (SELECT n, sum(1 / log2(j + 1)) AS idcg
+ideal{tag} AS (SELECT n, sum(1 / log2(j + 1)) AS idcg
           FROM range(1, 21) a(n) JOIN range(1, 21) b(j) ON j <= n GROUP BY 1),
-scored AS (SELECT p.*, idcg FROM per_user p LEFT JOIN ideal ON n = least(n_rel, k))"""
+scored{tag} AS (SELECT p.*, idcg FROM per_user{tag} p LEFT JOIN ideal{tag} ON n = least(n_rel, k))"""
+
 
 METRIC_SQL = {
     "precision": "avg(CASE WHEN n_listed > 0 THEN hits / n_listed END)",
@@ -104,7 +106,7 @@ POPULAR_SAMPLE = (SPLIT, SAMPLE, POPULARITY, popular())
 
 
 def metric(name: str) -> str:
-    return with_(*POPULAR_SAMPLE, PER_USER.format(recs="recs")) + (
+    return with_(*POPULAR_SAMPLE, per_user()) + (
         f"SELECT k::INTEGER AS k, round(coalesce({METRIC_SQL[name]}, 0), 6) AS value FROM scored GROUP BY k"
     )
 
@@ -212,7 +214,7 @@ est AS (SELECT t.trial, h.rating, greatest(1, least(5, mean + coalesce(tu.b, 0)
              LEFT JOIN ti ON ti.trial = t.trial AND ti.item_id = h.item_id
              LEFT JOIN tu ON tu.trial = t.trial AND tu.user_id = h.user_id),
 results AS (SELECT t.*, r.* EXCLUDE (trial) FROM trials t JOIN (
-  SELECT trial, -sqrt(avg((rating - estimate) ** 2)) AS value, avg(abs(rating - estimate)) AS mae,
+  SELECT trial, round(-sqrt(avg((rating - estimate) ** 2)), 9) AS value, avg(abs(rating - estimate)) AS mae,
          count(*) AS n_predictions FROM est GROUP BY 1) r USING (trial))"""
 
 FLAGGED = "SELECT user_id, item_id, rating, ({}) ::INTEGER AS is_test FROM ratings"
@@ -231,7 +233,7 @@ def report_sql() -> str:
     ]
     known = SAMPLE.replace("users AS", "sampled AS") + ",\nusers AS (SELECT user_id FROM sampled WHERE user_id IN (SELECT user_id FROM uv))"
     return (
-        with_(SPLIT, VECTORS, known, POPULARITY, nearest(users=IN_SAMPLE), PER_USER.format(recs="recs"), DIVERSITY, NOVELTY)
+        with_(SPLIT, VECTORS, known, POPULARITY, nearest(users=IN_SAMPLE), per_user(), DIVERSITY, NOVELTY)
         + "SELECT metric, k, round(value, 6) AS value FROM (" + "\nUNION ALL ".join(parts) + ")"
     )
 
@@ -239,11 +241,7 @@ def report_sql() -> str:
 def compare_sql() -> str:
     sides = []
     for side, recs in (("popular", popular("recs_p")), ("vectors", nearest("recs_v", users=IN_SAMPLE))):
-        name = recs.split(" AS")[0]
-        body = PER_USER.format(recs=name).replace("ks AS", f"ks_{side} AS").replace("CROSS JOIN ks ", f"CROSS JOIN ks_{side} ")
-        for cte in ("rel", "marked", "per_user", "ideal", "scored"):
-            body = body.replace(f"{cte} AS (", f"{cte}_{side} AS (").replace(f"JOIN {cte} ", f"JOIN {cte}_{side} AS {cte} ")
-            body = body.replace(f"FROM {cte} ", f"FROM {cte}_{side} ")
+        body = per_user(recs.split(" AS")[0], f"_{side}")
         rows = " UNION ALL ".join(
             f"SELECT '{m}' AS metric, k::INTEGER AS k, coalesce({METRIC_SQL[m]}, 0) AS v FROM scored_{side} GROUP BY k"
             for m in ("precision", "recall", "ndcg")
@@ -325,7 +323,7 @@ def oracle_sql() -> dict[str, str]:
             "SELECT t.user_id, t.item_id, list_dot_product(uv.factors, iv.factors) AS total, unnest(uv.factors) AS u, "
             "unnest(iv.factors) AS v, generate_subscripts(iv.factors, 1) AS d "
             "FROM truth t JOIN uv USING (user_id) JOIN iv USING (item_id))) WHERE place <= 5"),
-        "truth_alignment": with_(*POPULAR_SAMPLE, PER_USER.format(recs="recs")) + "SELECT user_id, n_listed, n_rel AS n_relevant, hits AS n_hits FROM scored WHERE k = 20",
+        "truth_alignment": with_(*POPULAR_SAMPLE, per_user()) + "SELECT user_id, n_listed, n_rel AS n_relevant, hits AS n_hits FROM scored WHERE k = 20",
         "ensemble_topk": with_(
             SPLIT, SAMPLE, POPULARITY, VECTORS, popular("first_"), nearest("second_", users=IN_SAMPLE),
             *[f"{out} AS (SELECT user_id, item_id, CASE WHEN hi > lo THEN (score - lo) / (hi - lo) ELSE 1 END AS v FROM ("
@@ -339,7 +337,7 @@ def oracle_sql() -> dict[str, str]:
         "f1_at_k": metric("f1"),
         "ndcg_binary": metric("ndcg"),
         "ndcg_graded": with_(
-            *POPULAR_SAMPLE, PER_USER.format(recs="recs"),
+            *POPULAR_SAMPLE, per_user(),
             "best AS (SELECT user_id, k, sum(rating / log2(r + 1)) AS ideal_gain FROM "
             "(SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY rating DESC, item_id) AS r FROM truth) JOIN ks ON r <= k GROUP BY 1, 2)",
         ) + "SELECT k::INTEGER AS k, round(avg(graded / ideal_gain), 6) AS value FROM scored JOIN best USING (user_id, k) GROUP BY 1",

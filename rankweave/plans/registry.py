@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from rankweave.operators import als, biases, metrics, pairwise, prep, sampling, scoring, stats, topk
 from rankweave.operators.model import FactorModel
 from rankweave.plans import evaluate, search
-from rankweave.session import cut_lineage, ship_package
+from rankweave.session import cut_lineage, fresh_path, ship_package
 from rankweave.sources import tables
 
 KS = [5, 10, 20]
@@ -41,11 +41,18 @@ def r6(column, name: str):
 
 
 class Split:
-    """The standard hold-out of the ratings view and its positives."""
+    """The standard hold-out of the ratings view and its positives.
 
-    def __init__(self, spark: SparkSession, folder: str):
+    ``stored`` writes the split first, for queries that read it several times.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, stored: bool = True):
         self.ratings = tables.ratings(spark, folder)
-        self.train, self.test = prep.holdout_split(self.ratings)
+        tagged = prep.store_split(self.ratings, fresh_path(spark, "split")) if stored else prep.holdout_tag(self.ratings)
+        if stored:
+            self.ratings = tagged.drop("is_test")
+        self.train = tagged.filter(~F.col("is_test")).drop("is_test")
+        self.test = tagged.filter("is_test").drop("is_test")
         self.positives = prep.to_implicit(self.train)
         self.truth = prep.to_implicit(self.test)
 
@@ -90,7 +97,7 @@ def ratings_view(spark, folder):
 
 @query
 def item_user_view(spark, folder):
-    return prep.transpose(Split(spark, folder).positives).select("item_id", "user_id", "weight")
+    return prep.transpose(Split(spark, folder, stored=False).positives).select("item_id", "user_id", "weight")
 
 
 @query
@@ -112,7 +119,7 @@ def holdout_split_exact(spark, folder):
 
 @query
 def validation_split(spark, folder):
-    fit, held = prep.validation_split(Split(spark, folder).train)
+    fit, held = prep.validation_split(Split(spark, folder, stored=False).train)
     tag = lambda df, flag: df.select("user_id", "item_id", "rating", F.lit(flag).alias("is_validation"))
     return tag(fit, 0).unionByName(tag(held, 1))
 
@@ -131,19 +138,19 @@ def stratified_split(spark, folder):
 
 @query
 def min_train_items(spark, folder):
-    return prep.min_items_per_user(Split(spark, folder).positives, 5).select("user_id", "item_id")
+    return prep.min_items_per_user(Split(spark, folder, stored=False).positives, 5).select("user_id", "item_id")
 
 
 @query
 def implicit_threshold(spark, folder):
-    split = Split(spark, folder)
+    split = Split(spark, folder, stored=False)
     tag = lambda df, name: df.select("user_id", "item_id", "weight", F.lit(name).alias("part"))
     return tag(split.positives, "train").unionByName(tag(split.truth, "test"))
 
 
 @query
 def confidence_weights(spark, folder):
-    return prep.confidence_weights(Split(spark, folder).train)
+    return prep.confidence_weights(Split(spark, folder, stored=False).train)
 
 
 @query
@@ -156,7 +163,7 @@ def id_encode(spark, folder):
 
 @query
 def user_item_lists(spark, folder):
-    tiles = prep.item_list_tiles(Split(spark, folder).positives)
+    tiles = prep.item_list_tiles(Split(spark, folder, stored=False).positives)
     return tiles.select(
         "user_id", "tile", F.size("items").cast("long").alias("n_items"), F.concat_ws(",", "items").alias("items")
     )
@@ -164,14 +171,14 @@ def user_item_lists(spark, folder):
 
 @query
 def eval_user_sample(spark, folder):
-    return prep.evaluation_users(Split(spark, folder).truth)
+    return prep.evaluation_users(Split(spark, folder, stored=False).truth)
 
 
 # --- statistics ----------------------------------------------------------------------------
 
 @query
 def rating_profile(spark, folder):
-    return stats.rating_profile(Split(spark, folder).train).withColumn("global_mean", F.round("global_mean", 6))
+    return stats.rating_profile(Split(spark, folder, stored=False).train).withColumn("global_mean", F.round("global_mean", 6))
 
 
 @query

@@ -76,7 +76,8 @@ def bias_trials(train: DataFrame, validation: DataFrame, trials: DataFrame) -> D
     """Objective of the bias part of every explicit trial, all trials in one plan.
 
     ``value`` is the negated validation RMSE; ``mae`` and ``n_predictions`` are attributes. A
-    trial without biases predicts the mean. The trial table is bounded by the trial budget.
+    trial without biases predicts the mean. Values are kept to 9 places so that such equal trials
+    tie. The trial table is bounded by the trial budget.
     """
     runs = trials.select(
         F.col("trial").alias("run"), "use_biased",
@@ -92,7 +93,7 @@ def bias_trials(train: DataFrame, validation: DataFrame, trials: DataFrame) -> D
     error = F.col("rating") - F.col("estimate")
     scored = biases.predict_biases(held, model).groupBy("run").agg(*metrics.error_columns(error))
     return trials.join(
-        scored.select(F.col("run").alias("trial"), (-F.col("rmse")).alias("value"), "mae", "n_predictions"), "trial"
+        scored.select(F.col("run").alias("trial"), F.round(-F.col("rmse"), 9).alias("value"), "mae", "n_predictions"), "trial"
     )
 
 
