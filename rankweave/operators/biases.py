@@ -1,55 +1,63 @@
-"""Damped user and item biases by alternating group-bys."""
+"""Damped user and item biases by alternating group-bys, for one or several runs at once."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankweave.operators.prep import clip_to_scale
 
 
+@dataclass(frozen=True)
+class BiasRun:
+    """One fit: its damping, the rows it trains on, and whether it has biases beyond the mean."""
+
+    reg_user: float = 0.0
+    reg_item: float = 0.0
+    member: Column | None = None
+    biased: bool = True
+
+
 @dataclass(frozen=True)
 class BiasModel:
-    """``mean`` has one row per run; ``users`` and ``items`` one row per run and id."""
+    """``means`` per run; ``users`` and ``items`` hold ``(id, biases)``, one array entry per run."""
 
-    mean: DataFrame
+    means: list[float]
     users: DataFrame
     items: DataFrame
 
-
-def single_run(rows: DataFrame, reg_user: float, reg_item: float) -> tuple[DataFrame, DataFrame]:
-    """Rows tagged with run 0 and the one-row table of its damping constants."""
-    runs = rows.sparkSession.range(1).select(
-        F.lit(0).alias("run"), F.lit(float(reg_user)).alias("reg_user"), F.lit(float(reg_item)).alias("reg_item")
-    )
-    return rows.withColumn("run", F.lit(0)), runs
+    def single(self) -> tuple[DataFrame, DataFrame]:
+        """Bias tables of the first run, as ``(id, bias)``."""
+        first = F.element_at("biases", 1).alias("bias")
+        return self.users.select("user_id", first), self.items.select("item_id", first)
 
 
-def fit_biases(rows: DataFrame, runs: DataFrame, iterations: int = 2) -> BiasModel:
-    """Fit ``mean + b_user + b_item`` for every run at once.
+def fit_biases(rows: DataFrame, runs: list[BiasRun], iterations: int = 2) -> BiasModel:
+    """Fit ``mean + b_user + b_item`` for every run (fold, trial) in the same passes.
 
-    ``rows(run, user_id, item_id, rating)`` may hold several folds or trials; ``runs(run,
-    reg_user, reg_item)`` has one row for each, which bounds what is broadcast. Each half-step
-    joins on one id and groups on the other, so a hot id is split by the skew join and combined
-    before the shuffle.
+    Runs are columns, not copies of the rows: each half-step is one join and one group-by with a
+    pair of sums per run. It joins on one id and groups on the other, so a hot id is split by the
+    skew join and its rows are combined before the next shuffle.
     """
-    means = rows.groupBy("run").agg(F.avg("rating").alias("mean"))
-    per_run = F.broadcast(runs.join(F.broadcast(means), "run"))
-    residuals = rows.join(per_run, "run").select(
-        "run", "user_id", "item_id", (F.col("rating") - F.col("mean")).alias("residual"), "reg_user", "reg_item"
-    )
-
-    def step(known: DataFrame | None, on: str, to: str, reg: str) -> DataFrame:
-        left = residuals
-        value = F.col("residual")
-        if known is not None:
-            left = residuals.join(known, ["run", on])
-            value = value - F.col("bias")
-        return left.groupBy("run", to).agg(
-            (F.sum(value) / (F.first(reg) + F.count("*"))).alias("bias")
-        )
+    def mine(run: BiasRun, value: Column) -> Column:
+        return value if run.member is None else F.when(run.member, value)
+
+    averages = rows.agg(*[F.avg(mine(run, F.col("rating"))).alias(f"m{i}") for i, run in enumerate(runs)]).first()
+    means = [float(m) if m is not None else 0.0 for m in averages]
+
+    def step(known: DataFrame | None, on: str, to: str, damping: str) -> DataFrame:
+        left = rows if known is None else rows.join(known.withColumnRenamed("biases", "_known"), on)
+        biases = []
+        for i, run in enumerate(runs):
+            residual = F.col("rating") - F.lit(means[i])
+            if known is not None:
+                residual = residual - F.element_at("_known", i + 1)
+            count = F.count(mine(run, F.lit(1)))
+            bias = F.sum(mine(run, residual)) / (F.lit(float(getattr(run, damping))) + count)
+            biases.append(F.coalesce(bias, F.lit(0.0)) if run.biased else F.lit(0.0))
+        return left.groupBy(to).agg(F.array(*biases).alias("biases"))
 
     users = None
     for _ in range(iterations):
@@ -58,15 +66,25 @@ def fit_biases(rows: DataFrame, runs: DataFrame, iterations: int = 2) -> BiasMod
     return BiasModel(means, users, items)
 
 
-def predict_biases(pairs: DataFrame, model: BiasModel, clip: bool = True) -> DataFrame:
-    """Add ``estimate``; an unknown user or item contributes no bias."""
-    items = model.items.withColumnRenamed("bias", "item_bias")
-    users = model.users.withColumnRenamed("bias", "user_bias")
-    raw = F.col("mean") + F.coalesce("user_bias", F.lit(0.0)) + F.coalesce("item_bias", F.lit(0.0))
+def predict_biases(pairs: DataFrame, model: BiasModel, run: Column | int = 0, clip: bool = True) -> DataFrame:
+    """Add ``estimate`` under the given run; an unknown user or item contributes no bias."""
+    return _with_estimate(pairs, model, lambda all_runs: F.element_at(all_runs, run + 1), clip, "estimate")
+
+
+def predict_all_runs(pairs: DataFrame, model: BiasModel, clip: bool = True) -> DataFrame:
+    """Add ``estimates``, one entry per run."""
+    return _with_estimate(pairs, model, lambda all_runs: all_runs, clip, "estimates")
+
+
+def _with_estimate(pairs, model, pick, clip, name) -> DataFrame:
+    def entry(column: str, i: int) -> Column:
+        return F.coalesce(F.element_at(column, i + 1), F.lit(0.0))
+
+    every = [F.lit(m) + entry("_user", i) + entry("_item", i) for i, m in enumerate(model.means)]
+    all_runs = F.array(*[clip_to_scale(e) if clip else e for e in every])
     return (
-        pairs.join(F.broadcast(model.mean), "run")
-        .join(items, ["run", "item_id"], "left")
-        .join(users, ["run", "user_id"], "left")
-        .withColumn("estimate", clip_to_scale(raw) if clip else raw)
-        .drop("mean", "item_bias", "user_bias")
+        pairs.join(model.items.withColumnRenamed("biases", "_item"), "item_id", "left")
+        .join(model.users.withColumnRenamed("biases", "_user"), "user_id", "left")
+        .withColumn(name, pick(all_runs))
+        .drop("_item", "_user")
     )

@@ -6,12 +6,13 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankweave.operators.ordering import sort_rank
 from rankweave.operators.scoring import rank_scores
+from rankweave.session import cell_partitions
 
 USERS_PER_BLOCK = 1024
 ITEMS_PER_BLOCK = 8192
@@ -19,27 +20,34 @@ ITEMS_PER_BLOCK = 8192
 HEAD_RANKS = 100_000
 _ROWS_PER_PRODUCT = 256
 _SCORE_SCHEMA = "user_id long, item_id long, score double"
+_NO_SCORES = pa.table({
+    "user_id": pa.array([], pa.int64()), "item_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64()),
+})
 
 
 def _block(column: str, blocks: int):
     return F.pmod(F.xxhash64(column), F.lit(blocks)).cast("int")
 
 
-def _score_block(users: pd.DataFrame, items: pd.DataFrame, n: int, clip) -> Iterator[pd.DataFrame]:
-    items = items.sort_values("item_id")
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    return column.combine_chunks().flatten().to_numpy().reshape(len(column), -1).astype(np.float64)
+
+
+def _score_block(users: pa.Table, items: pa.Table, n: int, clip) -> Iterator[pa.Table]:
+    items = items.sort_by("item_id")
     item_ids = items["item_id"].to_numpy()
-    q = np.stack(items["factors"].to_numpy()).astype(np.float64)
+    q, item_bias = _matrix(items["factors"]), items["bias"].to_numpy()
     for start in range(0, len(users), _ROWS_PER_PRODUCT):
-        part = users.iloc[start:start + _ROWS_PER_PRODUCT]
-        p = np.stack(part["factors"].to_numpy()).astype(np.float64)
-        scores = p @ q.T + part["bias"].to_numpy()[:, None] + items["bias"].to_numpy()[None, :]
+        part = users.slice(start, _ROWS_PER_PRODUCT)
+        scores = _matrix(part["factors"]) @ q.T + part["bias"].to_numpy()[:, None] + item_bias[None, :]
         if clip is not None:
             scores = np.clip(scores, *clip)
-        for row, seen in enumerate(part["seen"]):
-            if seen is not None and len(seen):
-                at = np.searchsorted(item_ids, seen)
-                at = np.minimum(at, len(item_ids) - 1)
-                scores[row, at[item_ids[at] == seen]] = -np.inf
+        seen = part["seen"].combine_chunks()
+        owner = np.repeat(np.arange(len(part)), seen.value_lengths().fill_null(0).to_numpy())
+        flat = seen.flatten().to_numpy()
+        at = np.minimum(np.searchsorted(item_ids, flat), len(item_ids) - 1)
+        scored = item_ids[at] == flat
+        scores[owner[scored], at[scored]] = -np.inf
         # Lists are ordered by the score at 9 places, then by item: all ties at the cut are kept.
         rounded = np.round(scores, 9)
         keep = min(n, rounded.shape[1])
@@ -47,13 +55,11 @@ def _score_block(users: pd.DataFrame, items: pd.DataFrame, n: int, clip) -> Iter
         rows, cols = np.nonzero((rounded >= floor[:, None]) & np.isfinite(rounded))
         order = np.lexsort((item_ids[cols], -rounded[rows, cols], rows))
         rows, cols = rows[order], cols[order]
-        values = scores[rows, cols]
         first = np.searchsorted(rows, rows, side="left")
         best = np.arange(len(rows)) - first < n
-        yield pd.DataFrame({
-            "user_id": part["user_id"].to_numpy()[rows[best]],
-            "item_id": item_ids[cols[best]],
-            "score": values[best],
+        rows, cols = rows[best], cols[best]
+        yield pa.table({
+            "user_id": part["user_id"].to_numpy()[rows], "item_id": item_ids[cols], "score": scores[rows, cols],
         })
 
 
@@ -100,15 +106,17 @@ def factor_topk(
         .withColumn("ub", F.explode(F.sequence(F.lit(0), F.lit(user_blocks - 1))))
     )
 
-    def score(user_rows: pd.DataFrame, item_rows: pd.DataFrame) -> pd.DataFrame:
-        if user_rows.empty or item_rows.empty:
-            return pd.DataFrame({"user_id": [], "item_id": [], "score": []})
-        return pd.concat(_score_block(user_rows, item_rows, n, clip), ignore_index=True)
+    def score(user_rows: pa.Table, item_rows: pa.Table) -> pa.Table:
+        if not len(user_rows) or not len(item_rows):
+            return _NO_SCORES
+        return pa.concat_tables(_score_block(user_rows, item_rows, n, clip))
 
+    spread = cell_partitions(users.sparkSession, user_blocks * item_blocks)
+    cells = lambda df, *columns: df.select("ub", "ib", *columns).repartition(spread, "ub", "ib").groupBy("ub", "ib")
     local = (
-        grid_users.select("ub", "ib", "user_id", "factors", "bias", "seen").groupBy("ub", "ib")
-        .cogroup(grid_items.select("ub", "ib", "item_id", "factors", "bias").groupBy("ub", "ib"))
-        .applyInPandas(score, _SCORE_SCHEMA)
+        cells(grid_users, "user_id", "factors", "bias", "seen")
+        .cogroup(cells(grid_items, "item_id", "factors", "bias"))
+        .applyInArrow(score, _SCORE_SCHEMA)
     )
     return rank_scores(local, n)
 

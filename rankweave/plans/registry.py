@@ -67,12 +67,10 @@ class Split:
         return cut_lineage(prep.evaluation_users(self.truth))
 
     def biases(self, iterations: int = 2) -> biases.BiasModel:
-        rows, runs = biases.single_run(self.train, REG_USER, REG_ITEM)
-        return biases.fit_biases(rows, runs, iterations)
+        return biases.fit_biases(self.train, [biases.BiasRun(REG_USER, REG_ITEM)], iterations)
 
     def bias_estimates(self) -> DataFrame:
-        test = self.test.select("user_id", "item_id", "rating", F.lit(0).alias("run"))
-        return biases.predict_biases(test, self.biases()).drop("run")
+        return biases.predict_biases(self.test.select("user_id", "item_id", "rating"), self.biases())
 
 
 class Vectors:
@@ -203,9 +201,9 @@ def vector_model_size(spark, folder):
 
 @query
 def bias_export(spark, folder):
-    model = Split(spark, folder).biases()
-    users = model.users.select(F.lit("user").alias("kind"), F.col("user_id").alias("id"), r6("bias", "bias"))
-    items = model.items.select(F.lit("item").alias("kind"), F.col("item_id").alias("id"), r6("bias", "bias"))
+    by_user, by_item = Split(spark, folder).biases().single()
+    users = by_user.select(F.lit("user").alias("kind"), F.col("user_id").alias("id"), r6("bias", "bias"))
+    items = by_item.select(F.lit("item").alias("kind"), F.col("item_id").alias("id"), r6("bias", "bias"))
     return users.unionByName(items)
 
 
@@ -245,10 +243,8 @@ def time_window_rmse(spark, folder):
     events = tables.event_feedback(spark, folder).withColumn(
         "is_test", prep.hash32(42, "event_id") % 10 < 2
     )
-    rows, runs = biases.single_run(events.filter(~F.col("is_test")), REG_USER, REG_ITEM)
-    model = biases.fit_biases(rows, runs, 1)
-    test = events.filter("is_test").withColumn("run", F.lit(0))
-    windows = evaluate.time_windows(test, 5, ("ts", "event_id"))
+    model = biases.fit_biases(events.filter(~F.col("is_test")), [biases.BiasRun(REG_USER, REG_ITEM)], 1)
+    windows = evaluate.time_windows(events.filter("is_test"), 5, ("ts", "event_id"))
     summary = evaluate.window_summary(biases.predict_biases(windows, model))
     return summary.select(
         "window_no", r6("window_rmse", "window_rmse"), "window_size",

@@ -73,28 +73,25 @@ def sample_trials(spark: SparkSession, space: list, n_trials: int = 20, seed: in
 
 
 def bias_trials(train: DataFrame, validation: DataFrame, trials: DataFrame) -> DataFrame:
-    """Objective of the bias part of every explicit trial, all trials in one plan.
+    """Objective of the bias part of every explicit trial, all trials in the same passes.
 
     ``value`` is the negated validation RMSE; ``mae`` and ``n_predictions`` are attributes. A
     trial without biases predicts the mean. Values are kept to 9 places so that such equal trials
-    tie. The trial table is bounded by the trial budget.
+    tie. The trial table is bounded by the trial budget, so its rows may visit the driver.
     """
-    runs = trials.select(
-        F.col("trial").alias("run"), "use_biased",
-        F.col("reg_bu").alias("reg_user"), F.col("reg_bi").alias("reg_item"),
-    )
-    numbers = F.explode(F.sequence(F.lit(0), trials.agg(F.max("trial")).scalar())).alias("run")
-    rows = train.select("user_id", "item_id", "rating", numbers)
-    biased = runs.filter("use_biased").drop("use_biased")
-    fitted = biases.fit_biases(rows.join(F.broadcast(biased), "run", "left_semi"), biased, iterations=1)
-    mean = train.agg(F.avg("rating").alias("mean"))
-    model = biases.BiasModel(runs.select("run", mean.scalar().alias("mean")), fitted.users, fitted.items)
-    held = validation.select("user_id", "item_id", "rating", numbers)
-    error = F.col("rating") - F.col("estimate")
-    scored = biases.predict_biases(held, model).groupBy("run").agg(*metrics.error_columns(error))
-    return trials.join(
-        scored.select(F.col("run").alias("trial"), F.round(-F.col("rmse"), 9).alias("value"), "mae", "n_predictions"), "trial"
-    )
+    rows = trials.select("trial", "use_biased", "reg_bu", "reg_bi").orderBy("trial").collect()
+    runs = [biases.BiasRun(r.reg_bu or 0.0, r.reg_bi or 0.0, biased=bool(r.use_biased)) for r in rows]
+    model = biases.fit_biases(train, runs, iterations=1)
+    scored = biases.predict_all_runs(validation.select("user_id", "item_id", "rating"), model)
+    columns = []
+    for i, row in enumerate(rows):
+        error = F.col("rating") - F.element_at("estimates", i + 1)
+        columns.append(F.struct(
+            F.lit(row.trial).alias("trial"), F.round(-F.sqrt(F.avg(error * error)), 9).alias("value"),
+            F.avg(F.abs(error)).alias("mae"), F.count("*").alias("n_predictions"),
+        ))
+    results = scored.agg(F.array(*columns).alias("r")).select(F.explode("r").alias("r")).select("r.*")
+    return trials.join(results, "trial")
 
 
 def _run(trials: DataFrame, objective, attributes: list[str], seconds: float) -> DataFrame:

@@ -65,3 +65,13 @@ def ship_package(spark: SparkSession) -> None:
     target = Path(tempfile.mkdtemp(prefix="rankweave-package-")) / "rankweave"
     sc.addPyFile(shutil.make_archive(str(target), "zip", root.parent, root.name))
     sc._rankweave_shipped = True
+
+
+def cell_partitions(spark: SparkSession, cells: int) -> int:
+    """Partitions for a few heavy groups: a fixed number well above theirs.
+
+    Hashing n groups into n partitions would stack several in one task, and adaptive coalescing
+    would merge them because their bytes are few.
+    """
+    configured = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, min(4 * cells, max(4096, configured)))

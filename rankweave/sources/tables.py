@@ -10,6 +10,12 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of a table kept in a few files over all cores; otherwise leave the scan alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) * 2 <= cores else df
+
+
 def ratings(spark: SparkSession, folder: str) -> DataFrame:
     """One rating per (user, item): the latest purchase, its quantity mapped to 1..5.
 
@@ -17,7 +23,7 @@ def ratings(spark: SparkSession, folder: str) -> DataFrame:
     neither a popular item nor a heavy buyer gathers its rows in one task.
     """
     orders = _table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
-    lines = _table(spark, folder, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
+    lines = _spread(_table(spark, folder, "lineitem").select("l_orderkey", "l_partkey", "l_quantity"))
     latest = F.max(F.struct("o_orderdate", "l_orderkey", "l_quantity")).alias("latest")
     return (
         lines.join(orders, lines.l_orderkey == orders.o_orderkey)
@@ -37,7 +43,7 @@ def event_feedback(spark: SparkSession, folder: str) -> DataFrame:
 
     ``rating`` is the event value folded onto 1..5.
     """
-    return _table(spark, folder, "events").select(
+    return _spread(_table(spark, folder, "events")).select(
         "event_id",
         "user_id",
         F.get_json_object("props", "$.k").cast("long").alias("item_id"),
