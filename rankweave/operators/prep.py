@@ -58,7 +58,7 @@ def temporal_tag(
     numbered = sort_rank(ratings, [F.col(c) for c in order])
     total = numbered.agg(F.count("*")).scalar()
     keep = F.floor(F.round(total * F.lit(1.0 - fraction), 6))
-    return numbered.withColumn("is_test", F.col("order_no") > keep)
+    return numbered.withColumn("is_test", F.col("order_no") > keep).drop("order_no")
 
 
 def stratified_tag(ratings: DataFrame, fraction: float = 0.2, seed: int = 42) -> DataFrame:
