@@ -53,7 +53,8 @@ def user_lists(
     expected: DataFrame | None = None,
 ) -> DataFrame:
     """One row per user: the cut list with hit flags, the truth size, and graded ideals if given."""
-    relevant = truth.select("user_id", "item_id").distinct()
+    users = users.select("user_id").distinct()
+    relevant = truth.select("user_id", "item_id").join(users, "user_id", "left_semi").distinct()
     entries = (
         recs.filter(F.col("rank") <= depth).select("user_id", "item_id", "rank")
         .join(relevant.withColumn("hit", F.lit(1)), ["user_id", "item_id"], "left")
@@ -69,8 +70,7 @@ def user_lists(
     lists = entries.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("list"))
     sizes = relevant.groupBy("user_id").agg(F.count("*").alias("n_relevant"))
     rows = (
-        users.select("user_id").distinct()
-        .join(lists, "user_id", "left")
+        users.join(lists, "user_id", "left")
         .join(sizes, "user_id", "left")
         .withColumn("n_relevant", F.coalesce("n_relevant", F.lit(0)).cast("int"))
         .withColumn("list", F.coalesce("list", F.array().cast(lists.schema["list"].dataType)))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from rankweave.functions.hashing import HASH_RANGE
 from rankweave.session import cut_lineage
 
-HASH_BUCKETS = 4096
+HASH_BUCKETS = 65536
 # A group with more rows than this (and than 1/1000 of all rows) is numbered bucket by bucket.
 LARGE_GROUP_ROWS = 1_000_000
 

@@ -15,12 +15,22 @@ def rating_profile(ratings: DataFrame) -> DataFrame:
     )
 
 
-def interaction_profile(positives: DataFrame, universe: DataFrame, algorithm: str = "bpr") -> DataFrame:
-    """Shape from every rating (``universe``), non-zeros from the positives."""
+def _pairs(positives: DataFrame, unique: bool) -> DataFrame:
+    pairs = positives.select("user_id", "item_id")
+    return pairs if unique else pairs.distinct()
+
+
+def interaction_profile(
+    positives: DataFrame, universe: DataFrame, algorithm: str = "bpr", unique: bool = False
+) -> DataFrame:
+    """Shape from every rating (``universe``), non-zeros from the positives.
+
+    ``unique`` states that the positives hold each pair once, which saves a shuffle of all pairs.
+    """
     shape = universe.agg(
         F.countDistinct("user_id").alias("n_users"), F.countDistinct("item_id").alias("n_items")
     )
-    nnz = positives.select("user_id", "item_id").distinct().agg(F.count("*")).scalar()
+    nnz = _pairs(positives, unique).agg(F.count("*")).scalar()
     return shape.select(
         "n_users",
         "n_items",
@@ -30,13 +40,10 @@ def interaction_profile(positives: DataFrame, universe: DataFrame, algorithm: st
     )
 
 
-def item_popularity(positives: DataFrame, universe: DataFrame) -> DataFrame:
+def item_popularity(positives: DataFrame, universe: DataFrame, unique: bool = False) -> DataFrame:
     """Share of all users that hold each item; items without a positive get 0."""
     n_users = universe.agg(F.countDistinct("user_id")).scalar()
-    counts = (
-        positives.select("user_id", "item_id").distinct()
-        .groupBy("item_id").agg(F.count("*").alias("n_positives"))
-    )
+    counts = _pairs(positives, unique).groupBy("item_id").agg(F.count("*").alias("n_positives"))
     return (
         universe.select("item_id").distinct()
         .join(counts, "item_id", "left")

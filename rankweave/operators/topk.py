@@ -85,6 +85,8 @@ def factor_topk(
         items = items.join(candidates.select("item_id").distinct(), "item_id", "left_semi")
     bias = F.col("bias") if use_bias else F.lit(0.0).alias("bias")
     users = users.select("user_id", "factors", bias)
+    if seen is not None:
+        seen = seen.select("user_id", "item_id").join(users, "user_id", "left_semi")
     items = items.select("item_id", "factors", bias)
     user_blocks = max(1, math.ceil(users.count() / users_per_block))
     item_blocks = max(1, math.ceil(items.count() / items_per_block))
@@ -97,7 +99,7 @@ def factor_topk(
         grid_users = grid_users.withColumn("seen", F.lit(None).cast("array<long>"))
     else:
         masks = (
-            seen.select("user_id", "item_id").withColumn("ib", _block("item_id", item_blocks))
+            seen.withColumn("ib", _block("item_id", item_blocks))
             .groupBy("user_id", "ib").agg(F.collect_set("item_id").alias("seen"))
         )
         grid_users = grid_users.join(masks, ["user_id", "ib"], "left")
@@ -132,8 +134,9 @@ def shared_ranking_topk(item_scores: DataFrame, users: DataFrame, seen: DataFram
     ranking = sort_rank(item_scores.select("item_id", "score"), [F.col("score").desc(), F.col("item_id")], "position")
     n_items = ranking.agg(F.count("*")).scalar()
     last = F.floor((F.col("position") - 1) / block)
+    users = users.select("user_id").distinct()
     seen_ranks = (
-        seen.select("user_id", "item_id").distinct()
+        seen.select("user_id", "item_id").join(users, "user_id", "left_semi").distinct()
         .join(ranking.select("item_id", "position"), "item_id")
         .select("user_id", "position", last.alias("blk"))
     )
@@ -161,7 +164,7 @@ def shared_ranking_topk(item_scores: DataFrame, users: DataFrame, seen: DataFram
         lambda acc, s: acc + F.when(s.ahead < F.col("rank"), s.c).otherwise(0),
     )
     wanted = (
-        users.select("user_id").distinct().join(skips, "user_id", "left")
+        users.join(skips, "user_id", "left")
         .withColumn("rank", F.explode(F.sequence(F.lit(1), F.lit(n))))
         .select("user_id", "rank", (F.col("rank") + skipped).alias("position"))
         .filter(F.col("position") <= n_items)

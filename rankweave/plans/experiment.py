@@ -45,7 +45,7 @@ def fit_hybrid(positives: DataFrame, features: DataFrame, p: dict, rounds: int |
     return pairwise.fit_hybrid(positives, features, pairwise.PairwiseSettings(
         loss=p["loss"], factors=p["no_components"], rounds=rounds or max(1, p["epochs"] // passes), passes=passes,
         learning_rate=p["learning_rate"], user_reg=p["user_alpha"], item_reg=p["item_alpha"],
-        max_sampled=p["max_sampled"], seed=p["random_state"],
+        max_sampled=p["max_sampled"], seed=p["random_state"], tolerance=search.PLATEAU,
     ))
 
 

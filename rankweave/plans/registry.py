@@ -57,7 +57,7 @@ class Split:
         self.truth = prep.to_implicit(self.test)
 
     def popularity(self) -> DataFrame:
-        return stats.item_popularity(self.positives, self.ratings)
+        return stats.item_popularity(self.positives, self.ratings, unique=True)
 
     def popular_lists(self, users: DataFrame, n: int = TOP_N) -> DataFrame:
         scores = self.popularity().select("item_id", F.col("popularity").alias("score"))
@@ -182,7 +182,7 @@ def rating_profile(spark, folder):
 @query
 def interaction_profile(spark, folder):
     split = Split(spark, folder)
-    return stats.interaction_profile(split.positives, split.ratings).withColumn("density", F.round("density", 9))
+    return stats.interaction_profile(split.positives, split.ratings, unique=True).withColumn("density", F.round("density", 9))
 
 
 @query
@@ -488,7 +488,7 @@ def trial_space_explicit(spark, folder):
 def trial_space_implicit(spark, folder):
     """The sampled trials with the model size each would have on the training positives."""
     split = Split(spark, folder)
-    shape = stats.interaction_profile(split.positives, split.ratings)
+    shape = stats.interaction_profile(split.positives, split.ratings, unique=True)
     rows = search.sample_trials(spark, search.IMPLICIT_SPACE, 20, 42)
     entities = shape.select(F.col("n_users") + F.col("n_items")).scalar()
     return rows.select(

@@ -42,6 +42,8 @@ CONDITIONS = {
     "verify_negative_samples": ("algorithm", "bpr"),
 }
 SECONDS_BUDGET = 900.0
+# Iterative training ends early once a round improves its loss by less than this share.
+PLATEAU = 1e-3
 
 
 def _draw(entry, seed: int) -> Column:
@@ -130,7 +132,7 @@ def fit_implicit(positives: DataFrame, universe: DataFrame, p: dict, seed: int =
     """Train the implicit model a parameter row names (``bpr``, ``als`` or ``lmf``).
 
     ``rounds`` bounds the synchronised training rounds. By default an iteration count means
-    passes over the positives, ten to a round.
+    passes over the positives, ten to a round, and training ends when the loss levels off.
     """
     if p["algorithm"] == "als":
         return als.fit_implicit_als(
@@ -141,7 +143,7 @@ def fit_implicit(positives: DataFrame, universe: DataFrame, p: dict, seed: int =
         loss="logistic" if p["algorithm"] == "lmf" else "bpr",
         factors=p["factors"], rounds=rounds or max(1, p["iterations"] // passes), passes=passes,
         learning_rate=p["learning_rate"], user_reg=p["regularization"], item_reg=p["regularization"],
-        verify_negatives=bool(p.get("verify_negative_samples", True)), seed=seed,
+        verify_negatives=bool(p.get("verify_negative_samples", True)), seed=seed, tolerance=PLATEAU,
     )
     return pairwise.fit_pairwise(positives, universe, settings)
 
