@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,16 +20,19 @@ def cosine_distance(a: Column, b: Column) -> Column:
     return 1.0 - dot(a, b) / (norm(a) * norm(b) + F.lit(1e-8))
 
 
-def vector_mean(column: str) -> Column:
-    """Element-wise mean of arrays; partially aggregated before the shuffle."""
-    return vector_to_array(Summarizer.mean(array_to_vector(F.col(column).cast("array<double>"))))
+def vector_sum(column: str, width: int) -> Column:
+    """Element-wise sum of arrays of a known width.
 
+    One plain sum per element: hash aggregation with code generation and map-side combining,
+    several times faster than an aggregate over vector objects.
+    """
+    return F.array(*[F.sum(F.col(column)[i]) for i in range(width)])
 
-def vector_sum(column: str) -> Column:
-    return vector_to_array(Summarizer.sum(array_to_vector(F.col(column).cast("array<double>"))))
 
+def vector_mean(column: str, width: int) -> Column:
+    return F.array(*[F.avg(F.col(column)[i].cast("double")) for i in range(width)])
 
-def weighted_vector_mean(column: str, weight: str) -> Column:
-    return vector_to_array(
-        Summarizer.mean(array_to_vector(F.col(column).cast("array<double>")), F.col(weight).cast("double"))
-    )
+
+def weighted_vector_mean(column: str, weight: str, width: int) -> Column:
+    total = F.sum(weight)
+    return F.array(*[F.sum(F.col(column)[i] * F.col(weight)) / total for i in range(width)])

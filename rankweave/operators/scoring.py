@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankweave.functions.vectors import dot
+from rankweave.functions.vectors import dot, vector_mean
 
 
 def score_pairs(pairs: DataFrame, users: DataFrame, items: DataFrame, use_bias: bool = False) -> DataFrame:
@@ -56,11 +56,10 @@ def explain_scores(pairs: DataFrame, users: DataFrame, items: DataFrame, n_top:
 
 def liked_item_vectors(positives: DataFrame, items: DataFrame) -> DataFrame:
     """A user vector as the mean vector of the user's items (users without any are absent)."""
-    from rankweave.functions.vectors import vector_mean
-
+    width = items.select(F.size("factors").alias("n")).first().n
     return (
         positives.join(items.select("item_id", "factors"), "item_id")
-        .groupBy("user_id").agg(vector_mean("factors").alias("factors"))
+        .groupBy("user_id").agg(vector_mean("factors", width).alias("factors"))
     )
 
 

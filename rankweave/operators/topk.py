@@ -43,7 +43,7 @@ def _score_block(users: pa.Table, items: pa.Table, n: int, clip) -> Iterator[pa.
         if clip is not None:
             scores = np.clip(scores, *clip)
         seen = part["seen"].combine_chunks()
-        owner = np.repeat(np.arange(len(part)), seen.value_lengths().fill_null(0).to_numpy())
+        owner = np.repeat(np.arange(len(part)), seen.value_lengths().to_numpy())
         flat = seen.flatten().to_numpy()
         at = np.minimum(np.searchsorted(item_ids, flat), len(item_ids) - 1)
         scored = item_ids[at] == flat
@@ -96,13 +96,16 @@ def factor_topk(
         .withColumn("ib", F.explode(F.sequence(F.lit(0), F.lit(item_blocks - 1))))
     )
     if seen is None:
-        grid_users = grid_users.withColumn("seen", F.lit(None).cast("array<long>"))
+        grid_users = grid_users.withColumn("seen", F.array().cast("array<long>"))
     else:
         masks = (
             seen.withColumn("ib", _block("item_id", item_blocks))
             .groupBy("user_id", "ib").agg(F.collect_set("item_id").alias("seen"))
         )
-        grid_users = grid_users.join(masks, ["user_id", "ib"], "left")
+        # An empty mask, not a null: runs of null lists are slow to write as Arrow.
+        grid_users = grid_users.join(masks, ["user_id", "ib"], "left").withColumn(
+            "seen", F.coalesce("seen", F.array().cast("array<long>"))
+        )
     grid_items = (
         items.withColumn("ib", _block("item_id", item_blocks))
         .withColumn("ub", F.explode(F.sequence(F.lit(0), F.lit(user_blocks - 1))))
