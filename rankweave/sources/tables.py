@@ -4,12 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def _instant(df: DataFrame, column: str):
+    """A timestamp column as an instant; zoneless ones are read as UTC whatever the session zone."""
+    if isinstance(df.schema[column].dataType, T.TimestampNTZType):
+        return F.timestamp_micros(F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', {column})"))
+    return F.col(column).cast("timestamp")
+
+
 def _spread(df: DataFrame) -> DataFrame:
     """Deal the rows of a table kept in a few files over all cores; otherwise leave the scan alone."""
     cores = df.sparkSession.sparkContext.defaultParallelism
@@ -22,7 +30,8 @@ def ratings(spark: SparkSession, folder: str) -> DataFrame:
     ``max`` over a struct replaces a sort window: it pre-aggregates before the shuffle, so
     neither a popular item nor a heavy buyer gathers its rows in one task.
     """
-    orders = _table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    orders = _table(spark, folder, "orders")
+    orders = orders.select("o_orderkey", "o_custkey", _instant(orders, "o_orderdate").alias("o_orderdate"))
     lines = _spread(_table(spark, folder, "lineitem").select("l_orderkey", "l_partkey", "l_quantity"))
     latest = F.max(F.struct("o_orderdate", "l_orderkey", "l_quantity")).alias("latest")
     return (
@@ -33,7 +42,7 @@ def ratings(spark: SparkSession, folder: str) -> DataFrame:
             "user_id",
             "item_id",
             F.ceil(F.col("latest.l_quantity") / 10).cast("double").alias("rating"),
-            F.col("latest.o_orderdate").cast("timestamp").alias("ts"),
+            F.col("latest.o_orderdate").alias("ts"),
         )
     )
 
@@ -43,12 +52,13 @@ def event_feedback(spark: SparkSession, folder: str) -> DataFrame:
 
     ``rating`` is the event value folded onto 1..5.
     """
-    return _spread(_table(spark, folder, "events")).select(
+    events = _spread(_table(spark, folder, "events"))
+    return events.select(
         "event_id",
         "user_id",
         F.get_json_object("props", "$.k").cast("long").alias("item_id"),
         (1.0 + F.floor(F.col("value")).cast("long") % 5).alias("rating"),
-        F.col("ts").cast("timestamp").alias("ts"),
+        _instant(events, "ts").alias("ts"),
     )
 
 
