@@ -48,7 +48,7 @@ def exact_holdout_tag(ratings: DataFrame, fraction: float = 0.2, seed: int = 42)
     hashed = ratings.withColumn("_h", hash32(seed, "user_id", "item_id"))
     total = ratings.agg(F.count("*")).scalar()
     numbered = hash_rank(hashed, "_h", ["user_id", "item_id"])
-    return numbered.withColumn("is_test", F.col("hash_no") <= F.ceil(total * F.lit(fraction))).drop("_h", "hash_no")
+    return numbered.withColumn("is_test", F.col("hash_no") <= F.ceil(F.round(total * F.lit(fraction), 6))).drop("_h", "hash_no")
 
 
 def temporal_tag(

@@ -14,17 +14,25 @@ from rankweave.operators.ordering import sort_rank
 from rankweave.operators.scoring import rank_scores
 from rankweave.session import cell_partitions
 
-USERS_PER_BLOCK = 1024
-ITEMS_PER_BLOCK = 8192
+# Smallest and largest block. Blocks grow with the table so that the number of blocks, which is
+# how often the other side is copied, stays within the last figure until the largest size is met.
+USER_BLOCK = (1024, 131_072, 4096)
+ITEM_BLOCK = (8192, 131_072, 256)
 # Ranks up to this one are looked up in a broadcast head of the ranking, later ones by shuffle.
 HEAD_RANKS = 100_000
-_ROWS_PER_PRODUCT = 256
+_SCORES_AT_ONCE = 2_000_000
 _SCORE_SCHEMA = "user_id long, item_id long, score double"
 _NO_SCORES = pa.table({
     "user_id": pa.array([], pa.int64()), "item_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64()),
 })
 
 
+def _block_count(rows: int, limits: tuple[int, int, int], size: int | None) -> int:
+    least, largest, most_blocks = limits
+    size = size or min(largest, max(least, math.ceil(rows / most_blocks)))
+    return max(1, math.ceil(rows / size))
+
+
 def _block(column: str, blocks: int):
     return F.pmod(F.xxhash64(column), F.lit(blocks)).cast("int")
 
@@ -37,8 +45,9 @@ def _score_block(users: pa.Table, items: pa.Table, n: int, clip) -> Iterator[pa.
     items = items.sort_by("item_id")
     item_ids = items["item_id"].to_numpy()
     q, item_bias = _matrix(items["factors"]), items["bias"].to_numpy()
-    for start in range(0, len(users), _ROWS_PER_PRODUCT):
-        part = users.slice(start, _ROWS_PER_PRODUCT)
+    step = max(1, _SCORES_AT_ONCE // len(items))
+    for start in range(0, len(users), step):
+        part = users.slice(start, step)
         scores = _matrix(part["factors"]) @ q.T + part["bias"].to_numpy()[:, None] + item_bias[None, :]
         if clip is not None:
             scores = np.clip(scores, *clip)
@@ -71,8 +80,8 @@ def factor_topk(
     candidates: DataFrame | None = None,
     use_bias: bool = False,
     clip: tuple[float, float] | None = None,
-    users_per_block: int = USERS_PER_BLOCK,
-    items_per_block: int = ITEMS_PER_BLOCK,
+    users_per_block: int | None = None,
+    items_per_block: int | None = None,
 ) -> DataFrame:
     """``(user_id, item_id, score, rank)``: the exact best ``n`` unseen items of every user.
 
@@ -88,8 +97,8 @@ def factor_topk(
     if seen is not None:
         seen = seen.select("user_id", "item_id").join(users, "user_id", "left_semi")
     items = items.select("item_id", "factors", bias)
-    user_blocks = max(1, math.ceil(users.count() / users_per_block))
-    item_blocks = max(1, math.ceil(items.count() / items_per_block))
+    user_blocks = _block_count(users.count(), USER_BLOCK, users_per_block)
+    item_blocks = _block_count(items.count(), ITEM_BLOCK, items_per_block)
 
     grid_users = (
         users.withColumn("ub", _block("user_id", user_blocks))
@@ -126,7 +135,9 @@ def factor_topk(
     return rank_scores(local, n)
 
 
-def shared_ranking_topk(item_scores: DataFrame, users: DataFrame, seen: DataFrame, n: int, block: int = 1024) -> DataFrame:
+def shared_ranking_topk(
+    item_scores: DataFrame, users: DataFrame, seen: DataFrame, n: int, block: int = 1024, head: int = HEAD_RANKS
+) -> DataFrame:
     """Best ``n`` unseen items when every user shares one item ranking (popularity, item bias).
 
     With shared scores no pair needs scoring. A user's p-th unseen item stands at rank ``p``
@@ -135,7 +146,7 @@ def shared_ranking_topk(item_scores: DataFrame, users: DataFrame, seen: DataFram
     user who has seen most of the catalogue is never sorted in one piece.
     """
     ranking = sort_rank(item_scores.select("item_id", "score"), [F.col("score").desc(), F.col("item_id")], "position")
-    n_items = ranking.agg(F.count("*")).scalar()
+    n_items = ranking.count()  # counts the stored ranking
     last = F.floor((F.col("position") - 1) / block)
     users = users.select("user_id").distinct()
     seen_ranks = (
@@ -172,10 +183,12 @@ def shared_ranking_topk(item_scores: DataFrame, users: DataFrame, seen: DataFram
         .select("user_id", "rank", (F.col("rank") + skipped).alias("position"))
         .filter(F.col("position") <= n_items)
     )
-    head = wanted.filter(F.col("position") <= HEAD_RANKS).join(
-        F.broadcast(ranking.filter(F.col("position") <= HEAD_RANKS)), "position"
+    # Nearly all users meet at the first few ranks, so those are broadcast (a bounded head).
+    found = wanted.filter(F.col("position") <= head).join(
+        F.broadcast(ranking.filter(F.col("position") <= head)), "position"
     )
-    tail = wanted.filter(F.col("position") > HEAD_RANKS).join(
-        ranking.filter(F.col("position") > HEAD_RANKS), "position"
-    )
-    return head.unionByName(tail).select("user_id", "item_id", "score", "rank")
+    if n_items > head:
+        found = found.unionByName(
+            wanted.filter(F.col("position") > head).join(ranking.filter(F.col("position") > head), "position")
+        )
+    return found.select("user_id", "item_id", "score", "rank")

@@ -261,7 +261,7 @@ def oracle_sql() -> dict[str, str]:
         "item_features": "SELECT p_partkey AS item_id, unnest(['brand=' || p_brand, 'type=' || p_type, 'size=' || p_size]) AS feature, 1.0::DOUBLE AS value FROM part",
         "holdout_split": with_(RATINGS) + FLAGGED.format("h % 10 < 2"),
         "holdout_split_exact": with_(RATINGS) + FLAGGED.format(
-            "row_number() OVER (ORDER BY h, user_id, item_id) <= ceil(0.2 * (SELECT count(*) FROM ratings))"),
+            "row_number() OVER (ORDER BY h, user_id, item_id) <= ceil(round(0.2 * (SELECT count(*) FROM ratings), 6))"),
         "validation_split": with_(SPLIT) + f"SELECT user_id, item_id, rating, ({val})::INTEGER AS is_validation FROM train",
         "temporal_split": with_(EVENTS) + (
             "SELECT event_id, user_id, item_id, (row_number() OVER (ORDER BY ts, event_id) > "
@@ -315,6 +315,16 @@ def oracle_sql() -> dict[str, str]:
         "factor_topk": with_(SPLIT, VECTORS, nearest()) + LIST_COLUMNS,
         "candidate_topk": with_(SPLIT, VECTORS, nearest(n=10, items="WHERE item_id IN (SELECT p_partkey FROM part WHERE p_type = 'ECONOMY')")) + LIST_COLUMNS,
         "factor_topk_with_seen": with_(SPLIT, VECTORS, nearest(n=10, seen=False)) + LIST_COLUMNS,
+        "pmf_topk": with_(SPLIT, SAMPLE, BIASES) + (
+            "SELECT user_id, item_id, round(score, 6) AS score, rank FROM (SELECT *, "
+            "row_number() OVER (PARTITION BY user_id ORDER BY round(score, 9) DESC, item_id)::INTEGER AS rank FROM ("
+            "SELECT u.user_id, i.item_id, greatest(1, least(5, mean + u.b + i.b)) AS score "
+            "FROM (SELECT * FROM bu WHERE user_id IN (SELECT user_id FROM users)) u CROSS JOIN bi i CROSS JOIN m "
+            "WHERE NOT EXISTS (SELECT 1 FROM train t WHERE t.user_id = u.user_id AND t.item_id = i.item_id))) WHERE rank <= 10"),
+        "hybrid_representation": with_(
+            SPLIT, "links AS (SELECT p_partkey AS item_id, unnest(['brand=' || p_brand, 'type=' || p_type, 'size=' || p_size]) AS feature FROM part)",
+            "stats AS (SELECT feature, avg(rating) AS a, stddev_pop(rating) AS s FROM links JOIN train USING (item_id) GROUP BY 1)",
+        ) + "SELECT item_id, round(sum(a), 6) AS mean_sum, round(sum(s), 6) AS spread_sum, round(sum(a - 3), 6) AS bias FROM links JOIN stats USING (feature) GROUP BY 1",
         "nested_topk": with_(SPLIT, VECTORS, nearest(n=10)) + "SELECT user_id, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY rank) AS items FROM recs GROUP BY 1",
         "factor_explain": with_(SPLIT, VECTORS) + (
             "SELECT user_id, item_id, round(total, 6) AS total_score, place::INTEGER AS place, round(u * v, 6) AS contribution, "

@@ -306,6 +306,36 @@ def factor_topk_with_seen(spark, folder):
     return lists.select("user_id", "item_id", r6("score", "score"), "rank")
 
 
+@query
+def pmf_topk(spark, folder):
+    """Top lists by clipped rating estimate, from the bias model as a factor model of width one."""
+    split = Split(spark, folder)
+    fitted = split.biases()
+    by_user, by_item = fitted.single()
+    flat = F.array(F.lit(0.0)).alias("factors")
+    model = FactorModel(
+        cut_lineage(by_user.select("user_id", flat, "bias")), cut_lineage(by_item.select("item_id", flat, "bias")),
+        "biases", explicit=True, biased=True, offset=fitted.means[0],
+    )
+    lists = model.recommend(split.sample(), 10, split.train)
+    return lists.select("user_id", "item_id", r6("score", "score"), "rank")
+
+
+@query
+def hybrid_representation(spark, folder):
+    """Item vectors and biases as sums over the item's features; features carry rating statistics."""
+    split = Split(spark, folder)
+    links = pairwise.feature_links(tables.item_features(spark, folder))
+    rated = links.join(split.train.select("item_id", "rating"), "item_id")
+    features = cut_lineage(rated.groupBy("feature_id").agg(
+        F.array(F.avg("rating"), F.stddev_pop("rating")).alias("factors"), (F.avg("rating") - 3.0).alias("bias")
+    ))
+    items = pairwise.represent_items(links, features)
+    return items.select(
+        "item_id", r6(F.col("factors")[0], "mean_sum"), r6(F.col("factors")[1], "spread_sum"), r6("bias", "bias")
+    )
+
+
 @query
 def nested_topk(spark, folder):
     split = Split(spark, folder)
@@ -588,6 +618,12 @@ def hybrid_loss_fit(spark, folder):
     return _hybrid(spark, folder, "bpr")
 
 
+@query
+def als_kfold(spark, folder):
+    train = cut_lineage(Split(spark, folder).train)
+    return evaluate.cross_validate(train, lambda part: als.fit_explicit(part, 8, 3, 0.1), folds=2)
+
+
 @query
 def model_size(spark, folder):
     model = als.fit_implicit_als(cut_lineage(Split(spark, folder).positives), tables.ratings(spark, folder), 16, 2)

@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from rankweave.functions.hashing import uniform
 from rankweave.operators import als, biases, metrics, pairwise
+from rankweave.operators.model import FactorModel
 from rankweave.plans import evaluate
+from rankweave.session import fresh_path
 
 # The explicit and the implicit search space, and the default trial.
 # (name, kind, low, high, step) or (name, "choice", options)
@@ -128,7 +130,10 @@ def tune_explicit(
     return _run(trials, objective, ["mae", "n_predictions"], seconds)
 
 
-def fit_implicit(positives: DataFrame, universe: DataFrame, p: dict, seed: int = 42, rounds: int | None = None):
+def fit_implicit(
+    positives: DataFrame, universe: DataFrame, p: dict, seed: int = 42, rounds: int | None = None,
+    workspace: str | None = None,
+) -> FactorModel:
     """Train the implicit model a parameter row names (``bpr``, ``als`` or ``lmf``).
 
     ``rounds`` bounds the synchronised training rounds. By default an iteration count means
@@ -145,7 +150,7 @@ def fit_implicit(positives: DataFrame, universe: DataFrame, p: dict, seed: int =
         learning_rate=p["learning_rate"], user_reg=p["regularization"], item_reg=p["regularization"],
         verify_negatives=bool(p.get("verify_negative_samples", True)), seed=seed, tolerance=PLATEAU,
     )
-    return pairwise.fit_pairwise(positives, universe, settings)
+    return pairwise.fit_pairwise(positives, universe, settings, workspace)
 
 
 def tune_implicit(
@@ -157,8 +162,11 @@ def tune_implicit(
     if trials is None:
         trials = sample_trials(train_positives.sparkSession, IMPLICIT_SPACE, n_trials, seed)
 
+    # Each model is judged before the next is trained, so all trials share one folder.
+    workspace = fresh_path(train_positives.sparkSession, "trials")
+
     def objective(p: dict):
-        model = fit_implicit(train_positives, universe, p, seed, rounds)
+        model = fit_implicit(train_positives, universe, p, seed, rounds, workspace)
         rows = evaluate.evaluate_ranking(
             model, train_positives, validation_positives, universe, ks=[10], diversity=False
         ).collect()

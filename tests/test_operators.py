@@ -54,9 +54,10 @@ def test_sort_rank_is_dense_and_ordered(spark, skewed):
     assert keys == sorted(keys)
 
 
-def test_shared_ranking_lists_match_brute_force(spark, skewed):
+@pytest.mark.parametrize("head", [15, 100_000])
+def test_shared_ranking_lists_match_brute_force(spark, skewed, head):
     scores = stats.item_popularity(skewed, skewed).select("item_id", F.col("popularity").alias("score"))
-    got = topk.shared_ranking_topk(scores, skewed, skewed, 10, block=16).collect()
+    got = topk.shared_ranking_topk(scores, skewed, skewed, 10, block=16, head=head).collect()
     seen = {}
     for r in skewed.collect():
         seen.setdefault(r.user_id, set()).add(r.item_id)
