@@ -15,9 +15,9 @@ def norm(a: Column) -> Column:
     return F.sqrt(dot(a, a))
 
 
-def cosine_distance(a: Column, b: Column) -> Column:
+def cosine_distance(a: Column, b: Column, norm_a: Column, norm_b: Column) -> Column:
     """``1 - a.b / (|a||b| + 1e-8)``; the epsilon makes zero vectors maximally distant."""
-    return 1.0 - dot(a, b) / (norm(a) * norm(b) + F.lit(1e-8))
+    return 1.0 - dot(a, b) / (norm_a * norm_b + F.lit(1e-8))
 
 
 def vector_sum(column: str, width: int) -> Column:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankweave.functions.vectors import cosine_distance
+from rankweave.functions.vectors import cosine_distance, norm
 
 RANKING_METRICS = ("precision", "recall", "f1", "ndcg", "map", "mrr")
 
@@ -189,15 +189,14 @@ def list_diversity(recs: DataFrame, items: DataFrame, k: int | None = None) -> D
     Distances are folded inside the row of a cut top-N list, so no pair is ever a row. Items
     without a vector are left out, as are lists with fewer than two entries left.
     """
-    placed = _cut(recs, k).join(items.select("item_id", "factors"), "item_id")
-    vectors = F.transform(F.array_sort(F.collect_list(F.struct("rank", "item_id", "factors"))), lambda e: e.factors)
-    lists = placed.groupBy("user_id").agg(vectors.alias("v")).filter(F.size("v") > 1)
+    placed = _cut(recs, k).join(items.select("item_id", "factors"), "item_id").withColumn("norm", norm(F.col("factors")))
+    lists = placed.groupBy("user_id").agg(F.collect_list(F.struct("factors", "norm")).alias("v")).filter(F.size("v") > 1)
     n = F.size("v")
     later = lambda i: F.slice("v", i + 2, n)
     per_item = F.transform(
         "v",
         lambda a, i: F.aggregate(
-            F.transform(later(i), lambda b: cosine_distance(a, b)), F.lit(0.0), lambda acc, x: acc + x
+            F.transform(later(i), lambda b: cosine_distance(a.factors, b.factors, a.norm, b.norm)), F.lit(0.0), lambda acc, x: acc + x
         ),
     )
     total = F.aggregate(per_item, F.lit(0.0), lambda acc, x: acc + x)
