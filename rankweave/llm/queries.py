@@ -5,12 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from rankweave.llm import near_dedup
+from rankweave.llm import near_dedup, quality
 from rankweave.llm.common import table
 from rankweave.session import ship_package
 
 
+def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Base rules and robust outliers per language and source."""
+    judged = quality.judge(table(spark, folder, "documents"))
+    counts = [f"stats.{name}" for name in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
+    return judged.select("doc.doc_id", *counts, "base_failed", "kept", F.round("distance", 4).alias("distance"))
+
+
 def op5_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Components of documents whose 2-word shingle sets have a Jaccard similarity of 0.8 or more."""
     settings = near_dedup.NearDedupSettings(words=2, percent=80)
@@ -18,6 +26,7 @@ def op5_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _QUERIES = [
+    op4_quality_rules,
     op5_minhash_near_dedup,
 ]
 
