@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankweave.llm import near_dedup, quality
+from rankweave.llm import near_dedup, packing, quality
 from rankweave.llm.common import table
 from rankweave.session import ship_package
 
@@ -25,9 +25,15 @@ def op5_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, folder, "documents"), settings)
 
 
+def op8_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Pieces of at most 4096 tokens in as few sequences as the genetic algorithm finds."""
+    return packing.pack(table(spark, folder, "documents"))
+
+
 _QUERIES = [
     op4_quality_rules,
     op5_minhash_near_dedup,
+    op8_best_fit_packing,
 ]
 
 
