@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankweave.llm import near_dedup, packing, quality
+from rankweave.llm import line_dedup, near_dedup, oracle, packing, quality
 from rankweave.llm.common import table
 from rankweave.session import ship_package
 
@@ -30,10 +30,16 @@ def op8_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"))
 
 
+def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts without later occurrences of three-line windows."""
+    return line_dedup.dedup_lines(table(spark, folder, "documents")).select("doc.doc_id", "cleaned.*")
+
+
 _QUERIES = [
     op4_quality_rules,
     op5_minhash_near_dedup,
     op8_best_fit_packing,
+    op9_line_dedup,
 ]
 
 
@@ -50,4 +56,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracle.SQL)
