@@ -7,11 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankweave.llm import line_dedup, near_dedup, oracle, packing, quality
+from rankweave.llm import decontamination, line_dedup, near_dedup, oracle, packing, quality
 from rankweave.llm.common import table
 from rankweave.session import ship_package
 
 
+def op1_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold a benchmark item, word for word or with other values in its slots."""
+    found = decontamination.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select("doc_id", "item_id", "kind", "from_word", "to_word", F.round("coverage", 4).alias("coverage"), "n_slots")
+
+
 def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Base rules and robust outliers per language and source."""
     judged = quality.judge(table(spark, folder, "documents"))
@@ -36,6 +42,7 @@ def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _QUERIES = [
+    op1_benchmark_decontamination,
     op4_quality_rules,
     op5_minhash_near_dedup,
     op8_best_fit_packing,
