@@ -3,7 +3,7 @@
 A token is a word without its outer punctuation; words of punctuation alone are skipped. A number
 is a figure (with separators, a sign, a currency or a per cent mark) or a number word; a unit is a
 known unit right after a number, or joined to it; a name is a capitalised word that does not open a
-sentence or a line.
+sentence or a line. Words in capitals throughout are ordinary words, so shouted text meets plain text.
 """
 
 from __future__ import annotations
@@ -65,7 +65,7 @@ class TemplateWords:
             kind, value, second = JOINED, joined[1], joined[2].lower()
         elif lower in UNITS:
             kind = UNIT_WORD
-        elif core[0].isupper():
+        elif core[0].isupper() and any(c.islower() for c in core[1:]):
             kind = CAPITAL
         self.index[word] = len(self.kind)
         self.kind.append(kind)
