@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankweave.llm.common import Scratch, arrow_pass
-from rankweave.llm.kernels import U, chain, list_array, mix
+from rankweave.llm.kernels import U, list_array, mix
 from rankweave.llm.templates import Canonical, TemplateWords
 
 
@@ -33,7 +33,7 @@ class TemplateSettings:
     bitmap_bits: int = 24
 
 
-_ITEM = "item_id long, text string, template long, n_tokens int, slot_at array<int>, slot_value array<long>"
+_ITEM = "item_id long, text string, template long, slot_at array<int>, slot_value array<long>"
 _WINDOW = "template long, size int, n_windows int, at int, hash long, slot_at array<int>, slot_value array<long>"
 _FOUND = "doc_id long, text_key long, at int, hash long, slot_value array<long>"
 _WORDS: list[TemplateWords] = []
@@ -56,30 +56,36 @@ def _slots(c: Canonical, starts: np.ndarray, size: int, used: np.ndarray) -> tup
     return marked.sum(axis=1), inside[marked], c.value[inside[marked]]
 
 
-def benchmark_items(benchmark: DataFrame) -> DataFrame:
-    """Every item with its template hash and its slots; items without a word have no row."""
+def benchmark_items(benchmark: DataFrame, window: int) -> DataFrame:
+    """Every item with a hash of all its windows, its template, and the slots that these windows have.
+
+    Items without a word have no row.
+    """
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         c = _words().canonical(_texts(batch))
         n = np.bincount(c.row, minlength=batch.num_rows)
         first = np.concatenate([[0], np.cumsum(n)])[:-1]
-        whole = np.zeros(batch.num_rows, np.uint64)
-        with np.errstate(over="ignore"):
-            salted = mix(c.code + np.arange(len(c.code), dtype=np.uint64) - first[c.row].astype(np.uint64) * U(1))
-            np.add.at(whole, c.row, salted)
+        whole = n.astype(np.uint64)
+        slot = np.zeros(len(c.slot), bool)
+        for size in sorted({min(window, int(k)) for k in n if k}):
+            start, hashed, used = c.windows(size)
+            keep = np.minimum(n[c.row[start]], window) == size
+            start, hashed, used = start[keep], hashed[keep], used[keep]
+            np.add.at(whole, c.row[start], mix(hashed ^ mix((start - first[c.row[start]] + 1).astype(np.uint64))))
+            slot[(start[used][:, None] + np.arange(size)).reshape(-1)] = True
         kept = np.flatnonzero(n > 0)
-        at = np.flatnonzero(c.slot)
+        at = np.flatnonzero(slot & c.slot)
         counts = np.bincount(c.row[at], minlength=batch.num_rows)[kept]
         return pa.RecordBatch.from_arrays(
             [
                 batch.column("item_id").cast(pa.int64()).take(pa.array(kept)),
                 batch.column("text").take(pa.array(kept)),
-                pa.array(mix(whole + n.astype(np.uint64)).view(np.int64)[kept]),
-                pa.array(n[kept].astype(np.int32)),
+                pa.array(mix(whole).view(np.int64)[kept]),
                 list_array((at - first[c.row[at]]).astype(np.int32), counts, pa.int32()),
                 list_array(c.value[at].view(np.int64), counts, pa.int64()),
             ],
-            ["item_id", "text", "template", "n_tokens", "slot_at", "slot_value"],
+            ["item_id", "text", "template", "slot_at", "slot_value"],
         )
 
     return arrow_pass(benchmark.select("item_id", "text"), step, _ITEM)
@@ -192,7 +198,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, s: TemplateSettings = Te
     nothing; an empty benchmark gives no rows; rows of equal doc_id and text give one row.
     """
     scratch = Scratch(docs.sparkSession, "decontamination")
-    items = scratch.store(benchmark_items(benchmark))
+    items = scratch.store(benchmark_items(benchmark, s.window))
     leaders = items.groupBy("template").agg(F.min(F.struct("item_id", "text")).alias("lead")).select("template", "lead.*")
     windows = scratch.store(template_windows(leaders, s.window))
     sizes = sorted(r["size"] for r in windows.select("size").distinct().collect())  # at most ``window`` values
