@@ -38,3 +38,46 @@ FROM documents d LEFT JOIN kept k USING (doc_id)
 """
 
 SQL = {"op9_line_dedup": LINE_DEDUP}
+
+
+def _secret_scan() -> str:
+    """Matches and the texts between them give the places; RE2 finds the same matches as Java."""
+    from rankweave.llm.secrets import BASE_RULES, RULES
+
+    def re2(pattern: str) -> str:
+        if not pattern.startswith("(?i)"):
+            return pattern
+        # Spelt out, since RE2 folds some other letters to k and s.
+        head, tail = pattern[4:].split(")", 1)
+        return "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in head) + ")" + tail
+
+    quoted = lambda s: "'" + s.replace("'", "''") + "'"
+    each = " UNION ALL ".join(
+        f"SELECT doc_id, {n} AS rule, {quoted(r.kind)} AS kind, {r.least} AS least, "
+        f"string_split_regex(text, {quoted(re2(r.pattern))}) AS gaps, "
+        f"regexp_extract_all(text, {quoted(re2(r.pattern))}, 0) AS found, "
+        f"regexp_extract_all(text, {quoted(re2(r.pattern))}, {r.group}) AS part "
+        f"FROM documents WHERE regexp_matches(text, {quoted(re2(r.pattern))})"
+        for n, r in enumerate(RULES)
+    )
+    counts = ", ".join(f"count(*) FILTER (WHERE kind = '{r.kind}') AS n_{r.kind}" for r in BASE_RULES)
+    base = ", ".join(f"'{r.kind}'" for r in BASE_RULES)
+    outer = ", ".join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in BASE_RULES)
+    return f"""
+WITH each AS ({each}), nth AS (SELECT *, unnest(range(1, len(found) + 1)) AS i FROM each), placed AS (
+    SELECT doc_id, rule, kind, length(part[i]) >= least AS keep, length(found[i]) AS long,
+        sum(length(gaps[i]) + length(found[i])) OVER (PARTITION BY doc_id, rule ORDER BY i)::BIGINT AS stop
+    FROM nth
+), listed AS (
+    SELECT doc_id, {counts},
+        string_agg(kind || ':' || (stop - long) || ':' || stop, ',' ORDER BY stop - long, rule) AS spans,
+        string_agg(kind || ':' || (stop - long) || ':' || stop, ',' ORDER BY stop - long, rule)
+            FILTER (WHERE kind IN ({base})) AS base_spans
+    FROM placed WHERE keep GROUP BY doc_id
+)
+SELECT doc_id, {outer}, sha256(coalesce(base_spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM documents LEFT JOIN listed USING (doc_id)
+"""
+
+
+SQL["op2_secret_scan"] = _secret_scan()

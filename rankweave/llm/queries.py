@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankweave.llm import decontamination, line_dedup, near_dedup, oracle, packing, quality
+from rankweave.llm import decontamination, line_dedup, near_dedup, oracle, packing, quality, secrets, sharding
 from rankweave.llm.common import table
 from rankweave.session import ship_package
 
@@ -18,6 +18,11 @@ def op1_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame
     return found.select("doc_id", "item_id", "kind", "from_word", "to_word", F.round("coverage", 4).alias("coverage"), "n_slots")
 
 
+def op2_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Secrets in whole texts, found through a trigram index."""
+    return secrets.scan(table(spark, folder, "documents"))
+
+
 def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Base rules and robust outliers per language and source."""
     judged = quality.judge(table(spark, folder, "documents"))
@@ -31,6 +36,15 @@ def op5_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, folder, "documents"), settings)
 
 
+def op7_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    """Eight shards of one mixture of sources, equal in rows."""
+    placed = sharding.interleave(table(spark, folder, "documents"), sharding.ShardSettings(shards=8))
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"), "source",
+    )
+
+
 def op8_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Pieces of at most 4096 tokens in as few sequences as the genetic algorithm finds."""
     return packing.pack(table(spark, folder, "documents"))
@@ -43,8 +57,10 @@ def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 _QUERIES = [
     op1_benchmark_decontamination,
+    op2_secret_scan,
     op4_quality_rules,
     op5_minhash_near_dedup,
+    op7_sharding,
     op8_best_fit_packing,
     op9_line_dedup,
 ]
