@@ -21,6 +21,8 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INVERSE = pow(_BASE, -1, 2**64)
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
+_SIGN = np.zeros(256, bool)  # ASCII other than letters and digits
+_SIGN[[c for c in range(128) if not chr(c).isalnum()]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _POWERS: dict[str, np.ndarray] = {}
@@ -103,8 +105,9 @@ class Words:
     hash: np.ndarray
 
 
-def words(texts: Texts, lower: bool = False) -> Words:
-    solid = ~_SPACE[texts.data]
+def words(texts: Texts, lower: bool = False, plain: bool = False) -> Words:
+    """The words of each row; ``plain`` cuts at all ASCII signs, not at white space only."""
+    solid = ~(_SIGN if plain else _SPACE)[texts.data]
     edge = np.zeros(len(solid) + 1, bool)
     edge[texts.offsets] = True
     blank_before = np.concatenate([[True], ~solid[:-1]]) if len(solid) else solid

@@ -42,7 +42,7 @@ SQL = {"op9_line_dedup": LINE_DEDUP}
 
 def _secret_scan() -> str:
     """Matches and the texts between them give the places; RE2 finds the same matches as Java."""
-    from rankweave.llm.secrets import BASE_RULES, RULES
+    from rankweave.llm.secret_scan import BASE_RULES, RULES
 
     def re2(pattern: str) -> str:
         if not pattern.startswith("(?i)"):

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankweave.llm import decontamination, line_dedup, near_dedup, oracle, packing, quality, secrets, sharding
+from rankweave.llm import decontamination, line_dedup, near_dedup, oracle, packing, pii, quality, secret_scan, sharding
 from rankweave.llm.common import table
 from rankweave.session import ship_package
 
@@ -20,7 +20,7 @@ def op1_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame
 
 def op2_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     """Secrets in whole texts, found through a trigram index."""
-    return secrets.scan(table(spark, folder, "documents"))
+    return secret_scan.scan(table(spark, folder, "documents"))
 
 
 def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
@@ -55,6 +55,11 @@ def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, folder, "documents")).select("doc.doc_id", "cleaned.*")
 
 
+def op10_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data in whole texts, by rules and by contexts learnt from their matches."""
+    return pii.find(table(spark, folder, "documents"))
+
+
 _QUERIES = [
     op1_benchmark_decontamination,
     op2_secret_scan,
@@ -63,6 +68,7 @@ _QUERIES = [
     op7_sharding,
     op8_best_fit_packing,
     op9_line_dedup,
+    op10_personal_data,
 ]
 
 
