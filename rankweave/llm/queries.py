@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankweave.llm import decontamination, line_dedup, near_dedup, oracle, packing, pii, quality, secret_scan, sharding
+from rankweave.llm import decontamination, licenses, line_dedup, near_dedup, oracle, packing, pii, quality, secret_scan, sharding, toxicity
 from rankweave.llm.common import table
 from rankweave.session import ship_package
 
@@ -23,6 +23,13 @@ def op2_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secret_scan.scan(table(spark, folder, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Category probabilities of a classifier chain trained on ``labels``; documents judged toxic."""
+    scored = toxicity.score_toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    chances = [c for c in scored.columns if c.startswith("p_")]
+    return scored.select("doc_id", *[F.round(c, 4).alias(c) for c in chances], "toxic")
+
+
 def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Base rules and robust outliers per language and source."""
     judged = quality.judge(table(spark, folder, "documents"))
@@ -36,6 +43,11 @@ def op5_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, folder, "documents"), settings)
 
 
+def op6_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Whole texts that are known licenses, and license notices among their lines."""
+    return licenses.scan(table(spark, folder, "documents"))
+
+
 def op7_sharding(spark: SparkSession, folder: str) -> DataFrame:
     """Eight shards of one mixture of sources, equal in rows."""
     placed = sharding.interleave(table(spark, folder, "documents"), sharding.ShardSettings(shards=8))
@@ -63,8 +75,10 @@ def op10_personal_data(spark: SparkSession, folder: str) -> DataFrame:
 _QUERIES = [
     op1_benchmark_decontamination,
     op2_secret_scan,
+    op3_toxicity,
     op4_quality_rules,
     op5_minhash_near_dedup,
+    op6_license_scan,
     op7_sharding,
     op8_best_fit_packing,
     op9_line_dedup,
