@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankweave.llm.common import Scratch, arrow_pass, components
@@ -19,14 +21,14 @@ class NearDedupSettings:
     """``percent`` of intersection to union links two documents.
 
     With 48 bands of 6 coordinates a pair at 0.8 shares no band with probability 5e-7; pairs above
-    share one more surely.
+    share one more surely. ``block``: members of a hub compared at once.
     """
 
     words: int = 5
     percent: int = 80
     bands: int = 48
     per_band: int = 6
-    hub_rounds: int = 3
+    block: int = 512
 
 
 def sketch_documents(docs: DataFrame, settings: NearDedupSettings) -> DataFrame:
@@ -91,14 +93,77 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(passed).select("a", "b")
 
 
+def _with_hubs(scratch: Scratch, rows: DataFrame) -> DataFrame:
+    """(band, rep, hub) of the buckets of two or more: the hub is the member that meets most others.
+
+    In a group of copies with edits the text they come from shares bands with more of them than any
+    of them does, so nearly all links are found against it.
+    """
+    sizes = rows.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
+    shared = scratch.store(rows.join(sizes, "band"))
+    met = shared.groupBy("rep").agg(F.sum(F.col("n") - 1).alias("met"))
+    ranked = shared.join(met, "rep").select("band", F.struct("met", (-F.col("rep")).alias("turned")).alias("rank"))
+    hubs = ranked.groupBy("band").agg((-F.max("rank")["turned"]).alias("hub"))
+    return shared.select("band", "rep").join(hubs, "band")
+
+
+def _apart(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """(hub, rep, label) of the members that still differ in label from others in a bucket of that hub."""
+    rest = buckets.filter("rep <> hub").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
+    rest = rest.select("band", "hub", "rep", F.coalesce("label", "rep").alias("label"))
+    split = rest.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
+    return rest.join(split.select("band"), "band").select("hub", "rep", "label").distinct()
+
+
+def compare_blocks(apart: DataFrame, sets: DataFrame, settings: NearDedupSettings) -> DataFrame:
+    """Links (a, b) between members of one hub in different components, on full sets.
+
+    The members of a hub are dealt into blocks of about ``block`` by hash; a task gets two blocks and
+    compares those outside its most common component with all others, as products of 0-1 matrices. No
+    pair becomes a row unless it is a link, and no task grows with the group.
+    """
+    sizes = apart.groupBy("hub").agg(F.ceil(F.count("*") / settings.block).alias("blocks"))
+    dealt = apart.join(sizes, "hub").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    placed = dealt.select(
+        "hub", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "own", "rep", "label"
+    )
+    held = placed.join(sets.withColumnRenamed("doc_id", "rep"), "rep")
+
+    def compare(key: tuple[pa.Scalar, ...], groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(groups)).combine_chunks()
+        reps, labels, own = (table.column(c).to_numpy() for c in ("rep", "label", "own"))
+        lists = table.column("shingles").combine_chunks()
+        counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        token, index = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+        row = np.repeat(np.arange(len(reps)), counts)
+        names, many = np.unique(labels, return_counts=True)
+        asked = np.flatnonzero(labels != names[many.argmax()])
+        common = np.zeros((len(asked), len(reps)), np.float32)
+        order = np.argsort(index, kind="stable")
+        row, index = row[order], index[order]
+        for low in range(0, len(token), 4096):
+            a, b = np.searchsorted(index, [low, low + 4096])
+            part = np.zeros((len(reps), 4096), np.float32)
+            part[row[a:b], index[a:b] - low] = 1
+            common += part[asked] @ part.T
+        union = counts[asked][:, None] + counts[None, :] - common
+        linked = (100 * common >= settings.percent * union) & (labels[asked][:, None] != labels[None, :])
+        if key[1].as_py() != key[2].as_py():  # pairs within a block belong to the task of that block
+            linked &= own[asked][:, None] != own[None, :]
+        x, y = np.nonzero(linked)
+        yield pa.RecordBatch.from_arrays([pa.array(reps[asked[x]]), pa.array(reps[y])], ["a", "b"])
+
+    return held.groupBy("hub", "one", "two").applyInArrow(compare, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, settings: NearDedupSettings = NearDedupSettings()) -> DataFrame:
     """One row per row of ``docs(doc_id, text)``: doc_id, n_shingles, component_id, kept.
 
     Documents with equal shingle sets form one class, which its smallest doc_id stands for. Classes
     that share a band are candidates. In each bucket all members are confirmed against one hub, on
-    full sets; members that are still apart from others of their bucket meet the next hub, and
-    after ``hub_rounds`` the pairs left (different components in one bucket) are confirmed directly, so no
-    candidate link is lost and groups of copies are not expanded into pairs.
+    full sets; members that are still apart from others of their bucket are compared with them in
+    blocks, so no candidate link is lost and groups of copies are not expanded into pairs.
 
     Null or wordless texts have no shingles and are linked with nothing. A row without doc_id is
     linked with nothing either: component_id null, kept. Rows that share a doc_id are one document.
@@ -108,39 +173,18 @@ def near_duplicates(docs: DataFrame, settings: NearDedupSettings = NearDedupSett
     usable = sketched.filter("doc_id is not null and n_shingles > 0")
     classes = usable.groupBy("key_1", "key_2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
     rows = classes.select("rep", F.explode("bands").alias("band"))
-    # Buckets of one member hold no pair.
-    shared = rows.groupBy("band").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).filter("hub < last")
-    buckets = scratch.store(rows.join(shared, "band").select("band", "rep", "hub").distinct())
+    buckets = scratch.store(_with_hubs(scratch, rows))
     wanted = buckets.select(F.col("rep").alias("doc_id")).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets = scratch.store(shingle_sets(texts.join(wanted, "doc_id", "left_semi"), settings.words))
 
-    labels = None
-    open_rows = buckets
-    for turn in range(settings.hub_rounds + 1):
-        if turn < settings.hub_rounds:
-            tested = open_rows.filter("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b"))
-        else:
-            one = open_rows.select("band", F.col("rep").alias("a"), F.col("label").alias("label_a"))
-            two = open_rows.select("band", F.col("rep").alias("b"), F.col("label").alias("label_b"))
-            tested = one.join(two, "band").filter("a > b and label_a <> label_b").select("a", "b")
-        edges = confirm(tested.distinct(), sets, settings.percent)
-        if labels is not None:
-            edges = edges.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))
-        labels = components(scratch, edges)
-        if turn == settings.hub_rounds:
-            break
-        # The hub has met everyone: without it, buckets that still hold several components stay open.
-        rest = open_rows.filter("rep <> hub").select("band", "rep")
-        marked = rest.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-        marked = marked.withColumn("label", F.coalesce("label", "rep"))
-        split = marked.groupBy("band").agg(
-            F.min("rep").alias("hub"), F.min("label").alias("low"), F.max("label").alias("high")
-        )
-        left = marked.join(split.filter("low < high").select("band", "hub"), "band")
-        open_rows = scratch.store(left)
-        if open_rows.isEmpty():
-            break
+    tested = buckets.filter("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
+    labels = components(scratch, confirm(tested, sets, settings.percent))
+    apart = scratch.store(_apart(buckets, labels))
+    if not apart.isEmpty():
+        edges = compare_blocks(apart, sets, settings)
+        known = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
+        labels = components(scratch, edges.unionByName(known))
 
     members = usable.select("doc_id", "n_shingles", "key_1", "key_2").join(
         classes.select("key_1", "key_2", "rep"), ["key_1", "key_2"]
@@ -155,10 +199,18 @@ def near_duplicates(docs: DataFrame, settings: NearDedupSettings = NearDedupSett
 
 
 def keep_one_of_each(docs: DataFrame, settings: NearDedupSettings = NearDedupSettings()) -> DataFrame:
-    """``docs`` without the documents another one of their component stands for; all columns kept.
+    """``docs`` without the documents that another one of their component stands for; all columns kept.
 
-    Rows that share a doc_id count as one document: the first text of it by hash stays if it stays.
+    Rows that share a doc_id are one document, of which the row with the smallest text hash stays.
     """
     found = near_duplicates(docs, settings).filter("not kept").select(F.col("doc_id").alias("gone_id")).distinct()
-    packed = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("gone_id"))
-    return packed.join(found, "gone_id", "left_anti").select("doc.*")
+    packed = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("id"))
+    kept = packed.join(found, F.col("id") == F.col("gone_id"), "left_anti")
+    again = docs.select(F.col("doc_id").cast("long").alias("again")).filter("again is not null").groupBy("again").count()
+    again = again.filter("count > 1").select("again")
+    if again.isEmpty():
+        return kept.select("doc.*")
+    first = Window.partitionBy("id").orderBy(F.xxhash64("doc.text"))
+    repeated = kept.join(again, F.col("id") == F.col("again"), "left_semi").withColumn("nth", F.row_number().over(first))
+    once = kept.join(again, F.col("id") == F.col("again"), "left_anti")
+    return once.select("doc.*").unionByName(repeated.filter("nth = 1").select("doc.*"))
