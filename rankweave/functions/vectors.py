@@ -26,11 +26,11 @@ def vector_sum(column: str, width: int) -> Column:
     One plain sum per element: hash aggregation with code generation and map-side combining,
     several times faster than an aggregate over vector objects.
     """
-    return F.array(*[F.sum(F.col(column)[i]) for i in range(width)])
+    return F.array(*[F.sum(F.col(column)[i]) for i in range(width)]).cast("array<double>")
 
 
 def vector_mean(column: str, width: int) -> Column:
-    return F.array(*[F.avg(F.col(column)[i].cast("double")) for i in range(width)])
+    return F.array(*[F.avg(F.col(column)[i].cast("double")) for i in range(width)]).cast("array<double>")
 
 
 def weighted_vector_mean(column: str, weight: str, width: int) -> Column:

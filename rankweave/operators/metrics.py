@@ -76,7 +76,7 @@ def user_lists(
         .withColumn("list", F.coalesce("list", F.array().cast(lists.schema["list"].dataType)))
     )
     if gains is not None:
-        rows = rows.join(_best_gains(gains, depth), "user_id", "left")
+        rows = rows.join(_best_gains(gains.join(users, "user_id", "left_semi"), depth), "user_id", "left")
     return rows
 
 
@@ -110,12 +110,13 @@ def _per_user(metric: str, k: int) -> Column:
         )
         return F.when(n_relevant > 0, gained / _discounted(F.least(n_relevant, F.lit(k))))
     if metric == "graded_ndcg":
-        gained = F.aggregate(
+        graded = F.aggregate(
             F.transform(cut, lambda e, j: e.gain / F.log2(j + 2.0)), F.lit(0.0), lambda acc, x: acc + x
         )
         best = F.slice(F.coalesce("best_gains", F.array().cast("array<double>")), 1, k)
         ideal = F.aggregate(F.transform(best, lambda g, j: g / F.log2(j + 2.0)), F.lit(0.0), lambda acc, x: acc + x)
-        return F.when(ideal > 0, gained / ideal)
+        # Users without graded scores are judged by hits alone.
+        return F.when(ideal > 0, graded / ideal).otherwise(_per_user("ndcg", k))
     if metric == "map":
         places = F.filter(F.transform(cut, lambda e, j: F.when(e.hit == 1, j + 1)), lambda p: p.isNotNull())
         total = F.aggregate(F.transform(places, lambda p, j: (j + 1.0) / p), F.lit(0.0), lambda acc, x: acc + x)

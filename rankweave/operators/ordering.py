@@ -9,7 +9,7 @@ from rankweave.functions.hashing import HASH_RANGE
 from rankweave.session import cut_lineage
 
 HASH_BUCKETS = 65536
-# A group with more rows than this (and than 1/1000 of all rows) is numbered bucket by bucket.
+# A group with more rows than this is numbered bucket by bucket.
 LARGE_GROUP_ROWS = 1_000_000
 
 
@@ -70,12 +70,10 @@ def hash_rank_within(
 ) -> DataFrame:
     """Position by hash inside each group, plus the group size.
 
-    Groups are usually one bucket. A group above ``large`` rows and above a thousandth of all
-    rows is cut into hash buckets, each numbered on its own, so no task sorts it whole.
+    Groups are usually one bucket. A group above ``large`` rows is cut into hash buckets, each numbered on its own, so no task sorts it whole.
     """
     sizes = df.groupBy(group).agg(F.count("*").alias(size))
-    total = sizes.agg(F.sum(size)).scalar()
-    is_large = F.col(size) > F.greatest(F.lit(large), F.floor(total / 1000))
+    is_large = F.col(size) > large
     bucket = F.when(is_large, F.floor(F.col(hash_column) / (HASH_RANGE // HASH_BUCKETS))).otherwise(0)
     # The explicit repartition matters: the size join leaves rows hashed by group alone, which
     # would also satisfy the window and keep a large group in one partition.

@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankweave.functions.hashing import hash32
+from rankweave.functions.hashing import HASH_RANGE, hash32
 from rankweave.operators.ordering import hash_rank, hash_rank_within, sort_rank
 
 RATING_SCALE = (1.0, 5.0)
-SPLIT_BUCKETS = 10
 
 
-def holdout_tag(ratings: DataFrame, fraction: float = 0.2, seed: int = 42, buckets: int = SPLIT_BUCKETS) -> DataFrame:
+def hash_cut(fraction: float) -> int:
+    """The hashes below this number are ``fraction`` of all."""
+    return math.ceil(fraction * HASH_RANGE)
+
+
+def holdout_tag(ratings: DataFrame, fraction: float = 0.2, seed: int = 42) -> DataFrame:
     """Add ``is_test`` from a hash of the pair: no sort and no shuffle, stable as rows arrive."""
-    return ratings.withColumn(
-        "is_test", hash32(seed, "user_id", "item_id") % buckets < round(fraction * buckets)
-    )
+    return ratings.withColumn("is_test", hash32(seed, "user_id", "item_id") < hash_cut(fraction))
 
 
 def holdout_split(ratings: DataFrame, fraction: float = 0.2, seed: int = 42) -> tuple[DataFrame, DataFrame]:
@@ -107,8 +111,8 @@ def item_list_tiles(interactions: DataFrame, width: int = 1024) -> DataFrame:
     return interactions.groupBy("user_id", tile).agg(F.sort_array(F.collect_set("item_id")).alias("items"))
 
 
-def evaluation_users(truth: DataFrame, cap: int | None = 1000, seed: int = 42) -> DataFrame:
-    """Users with any truth; above ``cap`` a seeded sample without replacement."""
+def evaluation_users(truth: DataFrame, cap: int | None = None, seed: int = 42) -> DataFrame:
+    """Users with any truth; where a ``cap`` is given, a seeded sample of at most that many."""
     users = truth.select("user_id").distinct()
     if cap is None:
         return users

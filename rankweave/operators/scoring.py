@@ -56,7 +56,8 @@ def explain_scores(pairs: DataFrame, users: DataFrame, items: DataFrame, n_top:
 
 def liked_item_vectors(positives: DataFrame, items: DataFrame) -> DataFrame:
     """A user vector as the mean vector of the user's items (users without any are absent)."""
-    width = items.select(F.size("factors").alias("n")).first().n
+    widest = items.select(F.size("factors").alias("n")).first()
+    width = widest.n if widest else 0
     return (
         positives.join(items.select("item_id", "factors"), "item_id")
         .groupBy("user_id").agg(vector_mean("factors", width).alias("factors"))

@@ -47,8 +47,8 @@ DEFAULTS = {
             "random_state": 42,
         },
     },
-    "optimization": {"run_optimization": True, "run_lightfm": True, "n_trials": 20, "timeout": 900},
-    "evaluation": {"k_values": [5, 10, 20], "max_eval_users": 1000, "calc_diversity": True, "calc_confidence": False},
+    "optimization": {"run_optimization": True, "run_lightfm": True, "n_trials": 20, "timeout": 900, "tolerance": 0.0},
+    "evaluation": {"k_values": [5, 10, 20], "max_eval_users": None, "calc_diversity": True, "calc_confidence": False},
     "output": {"save_models": True, "save_predictions": False},
     "advanced": {
         "ensemble": {"enabled": False, "models": ["pmf", "bpr"], "method": "weighted"},

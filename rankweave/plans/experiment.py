@@ -40,13 +40,16 @@ def fit_pmf(train: DataFrame, p: dict) -> FactorModel:
     )
 
 
-def fit_hybrid(positives: DataFrame, features: DataFrame, p: dict, rounds: int | None = None) -> FactorModel:
+def fit_hybrid(
+    positives: DataFrame, features: DataFrame, p: dict, rounds: int | None = None, universe: DataFrame | None = None,
+    tolerance: float = 0.0,
+) -> FactorModel:
     passes = 10 if rounds is None else 2
     return pairwise.fit_hybrid(positives, features, pairwise.PairwiseSettings(
         loss=p["loss"], factors=p["no_components"], rounds=rounds or max(1, p["epochs"] // passes), passes=passes,
         learning_rate=p["learning_rate"], user_reg=p["user_alpha"], item_reg=p["item_alpha"],
-        max_sampled=p["max_sampled"], seed=p["random_state"], tolerance=search.PLATEAU,
-    ))
+        max_sampled=p["max_sampled"], seed=p["random_state"], tolerance=tolerance,
+    ), universe=universe)
 
 
 def report_row(name: str, metrics: DataFrame, model: FactorModel) -> DataFrame:
@@ -82,7 +85,7 @@ def run_experiment(
     data, models, evaluation = config["data"], config["models"], config["evaluation"]
     threshold = data["min_rating_threshold"]
     train, test = split_ratings(ratings, data)
-    universe = train.unionByName(test)
+    universe = ratings.select("user_id", "item_id")  # filters on users drop no item and no user from it
     positives, truth = prep.to_implicit(train, threshold), prep.to_implicit(test, threshold)
 
     if config["optimization"]["run_optimization"]:
@@ -112,9 +115,13 @@ def run_experiment(
     if data["use_confidence_weights"] and models["bpr"]["algorithm"] == "als":
         liked = train.filter(F.col("rating") >= threshold)
         implicit_rows = prep.confidence_weights(liked).withColumnRenamed("confidence", "weight")
-    fitted["bpr"] = search.fit_implicit(implicit_rows, universe, models["bpr"], rounds=rounds)
+    fitted["bpr"] = search.fit_implicit(
+        implicit_rows, universe, models["bpr"], rounds=rounds, tolerance=config["optimization"]["tolerance"]
+    )
     if config["optimization"]["run_lightfm"]:
-        fitted["lightfm"] = fit_hybrid(positives, item_features, models["lightfm"], rounds)
+        fitted["lightfm"] = fit_hybrid(
+            positives, item_features, models["lightfm"], rounds, universe, config["optimization"]["tolerance"]
+        )
 
     reports = {"pmf": error_rows(evaluate.evaluate_ratings(fitted["pmf"], test))}
     for name in [n for n in fitted if n != "pmf"]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from rankweave.operators.prep import hash_cut
 from rankweave.plans.search import EXPLICIT_DEFAULTS, EXPLICIT_SPACE, IMPLICIT_SPACE
 
 
@@ -16,13 +17,14 @@ RATINGS = f"""ratings AS (
            row_number() OVER (PARTITION BY o_custkey, l_partkey
                               ORDER BY o_orderdate DESC, l_orderkey DESC, l_quantity DESC) AS rn
     FROM orders JOIN lineitem ON o_orderkey = l_orderkey) WHERE rn = 1)"""
-SPLIT = RATINGS + """,
-train AS (SELECT * FROM ratings WHERE h % 10 >= 2),
-test AS (SELECT * FROM ratings WHERE h % 10 < 2),
+SPLIT = RATINGS + f""",
+train AS (SELECT * FROM ratings WHERE h >= {hash_cut(0.2)}),
+test AS (SELECT * FROM ratings WHERE h < {hash_cut(0.2)}),
 pos AS (SELECT user_id, item_id FROM train WHERE rating >= 3),
 truth AS (SELECT user_id, item_id, rating FROM test WHERE rating >= 3)"""
 SAMPLE = f"""users AS (
   SELECT user_id FROM (SELECT DISTINCT user_id FROM truth) ORDER BY {h(42, 'user_id')}, user_id LIMIT 1000)"""
+JUDGED = "users AS (SELECT DISTINCT user_id FROM truth)"
 ALL_USERS = "users AS (SELECT DISTINCT user_id FROM ratings)"
 POPULARITY = """pop AS (
   SELECT i.item_id, count(p.user_id) AS n_positives,
@@ -60,7 +62,7 @@ def nearest(name: str = "recs", n: int = 20, users: str = "", items: str = "", s
 
 
 LIST_COLUMNS = "SELECT user_id, item_id, round(score, 6) AS score, rank FROM recs"
-IN_SAMPLE = "WHERE user_id IN (SELECT user_id FROM users)"
+IN_JUDGED = "WHERE user_id IN (SELECT user_id FROM users)"
 
 # Per user and k: list length, hits, discounted gain, first hit, average-precision sum.
 def per_user(recs: str = "recs", tag: str = "") -> str:
@@ -102,11 +104,11 @@ def with_(*ctes: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n"
 
 
-POPULAR_SAMPLE = (SPLIT, SAMPLE, POPULARITY, popular())
+POPULAR_JUDGED = (SPLIT, JUDGED, POPULARITY, popular())
 
 
 def metric(name: str) -> str:
-    return with_(*POPULAR_SAMPLE, per_user()) + (
+    return with_(*POPULAR_JUDGED, per_user()) + (
         f"SELECT k::INTEGER AS k, round(coalesce({METRIC_SQL[name]}, 0), 6) AS value FROM scored GROUP BY k"
     )
 
@@ -202,8 +204,8 @@ def trial_space(space, defaults=None) -> str:
 
 EXPLICIT_TRIALS = trial_space(EXPLICIT_SPACE, EXPLICIT_DEFAULTS) + f""",
 trials AS (SELECT * REPLACE (CASE WHEN use_biased THEN reg_bu END AS reg_bu, CASE WHEN use_biased THEN reg_bi END AS reg_bi) FROM space),
-fit AS (SELECT * FROM train WHERE {h(43, 'user_id', 'item_id')} % 10 >= 1),
-held AS (SELECT * FROM train WHERE {h(43, 'user_id', 'item_id')} % 10 < 1),
+fit AS (SELECT * FROM train WHERE {h(43, 'user_id', 'item_id')} >= {hash_cut(0.1)}),
+held AS (SELECT * FROM train WHERE {h(43, 'user_id', 'item_id')} < {hash_cut(0.1)}),
 m AS (SELECT avg(rating) AS mean FROM fit),
 ti AS (SELECT trial, item_id, sum(rating - mean) / (any_value(reg_bi) + count(*)) AS b
        FROM fit, m, trials WHERE use_biased GROUP BY 1, 2),
@@ -231,35 +233,37 @@ def report_sql() -> str:
         "SELECT 'novelty', NULL, coalesce(avg(v), 0) FROM nov",
         "SELECT 'n_users_evaluated', NULL, count(*)::DOUBLE FROM users",
     ]
-    known = SAMPLE.replace("users AS", "sampled AS") + ",\nusers AS (SELECT user_id FROM sampled WHERE user_id IN (SELECT user_id FROM uv))"
+    known = JUDGED.replace("users AS", "sampled AS") + ",\nusers AS (SELECT user_id FROM sampled WHERE user_id IN (SELECT user_id FROM uv))"
     return (
-        with_(SPLIT, VECTORS, known, POPULARITY, nearest(users=IN_SAMPLE), per_user(), DIVERSITY, NOVELTY)
+        with_(SPLIT, VECTORS, known, POPULARITY, nearest(users=IN_JUDGED), per_user(), DIVERSITY, NOVELTY)
         + "SELECT metric, k, round(value, 6) AS value FROM (" + "\nUNION ALL ".join(parts) + ")"
     )
 
 
 def compare_sql() -> str:
     sides = []
-    for side, recs in (("popular", popular("recs_p")), ("vectors", nearest("recs_v", users=IN_SAMPLE))):
+    for side, recs in (("popular", popular("recs_p")), ("vectors", nearest("recs_v", users=IN_JUDGED))):
         body = per_user(recs.split(" AS")[0], f"_{side}")
         rows = " UNION ALL ".join(
             f"SELECT '{m}' AS metric, k::INTEGER AS k, coalesce({METRIC_SQL[m]}, 0) AS v FROM scored_{side} GROUP BY k"
             for m in ("precision", "recall", "ndcg")
         )
         sides += [recs, body, f"out_{side} AS ({rows})"]
-    return with_(SPLIT, SAMPLE, POPULARITY, VECTORS, *sides) + (
+    return with_(SPLIT, JUDGED, POPULARITY, VECTORS, *sides) + (
         "SELECT metric, k, round(p.v, 6) AS popular, round(q.v, 6) AS vectors "
         "FROM out_popular p JOIN out_vectors q USING (metric, k)"
     )
 
 
 def oracle_sql() -> dict[str, str]:
-    val = h(43, "user_id", "item_id") + " % 10 < 1"
+    val = h(43, "user_id", "item_id") + f" < {hash_cut(0.1)}"
     return {
         "ratings_view": with_(RATINGS) + "SELECT user_id, item_id, rating, epoch_us(ts) AS ts_micros FROM ratings",
         "item_user_view": with_(SPLIT) + "SELECT item_id, user_id, 1.0::DOUBLE AS weight FROM pos",
         "item_features": "SELECT p_partkey AS item_id, unnest(['brand=' || p_brand, 'type=' || p_type, 'size=' || p_size]) AS feature, 1.0::DOUBLE AS value FROM part",
-        "holdout_split": with_(RATINGS) + FLAGGED.format("h % 10 < 2"),
+        "holdout_split": with_(RATINGS) + FLAGGED.format(f"h < {hash_cut(0.2)}"),
+        "holdout_split_5pct": with_(RATINGS) + FLAGGED.format(f"h < {hash_cut(0.05)}"),
+        "holdout_split_25pct": with_(RATINGS) + FLAGGED.format(f"h < {hash_cut(0.25)}"),
         "holdout_split_exact": with_(RATINGS) + FLAGGED.format(
             "row_number() OVER (ORDER BY h, user_id, item_id) <= ceil(round(0.2 * (SELECT count(*) FROM ratings), 6))"),
         "validation_split": with_(SPLIT) + f"SELECT user_id, item_id, rating, ({val})::INTEGER AS is_validation FROM train",
@@ -315,7 +319,7 @@ def oracle_sql() -> dict[str, str]:
         "factor_topk": with_(SPLIT, VECTORS, nearest()) + LIST_COLUMNS,
         "candidate_topk": with_(SPLIT, VECTORS, nearest(n=10, items="WHERE item_id IN (SELECT p_partkey FROM part WHERE p_type = 'ECONOMY')")) + LIST_COLUMNS,
         "factor_topk_with_seen": with_(SPLIT, VECTORS, nearest(n=10, seen=False)) + LIST_COLUMNS,
-        "pmf_topk": with_(SPLIT, SAMPLE, BIASES) + (
+        "pmf_topk": with_(SPLIT, JUDGED, BIASES) + (
             "SELECT user_id, item_id, round(score, 6) AS score, rank FROM (SELECT *, "
             "row_number() OVER (PARTITION BY user_id ORDER BY round(score, 9) DESC, item_id)::INTEGER AS rank FROM ("
             "SELECT u.user_id, i.item_id, greatest(1, least(5, mean + u.b + i.b)) AS score "
@@ -327,15 +331,15 @@ def oracle_sql() -> dict[str, str]:
         ) + "SELECT item_id, round(sum(a), 6) AS mean_sum, round(sum(s), 6) AS spread_sum, round(sum(a - 3), 6) AS bias FROM links JOIN stats USING (feature) GROUP BY 1",
         "nested_topk": with_(SPLIT, VECTORS, nearest(n=10)) + "SELECT user_id, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY rank) AS items FROM recs GROUP BY 1",
         "factor_explain": with_(SPLIT, VECTORS) + (
-            "SELECT user_id, item_id, round(total, 6) AS total_score, place::INTEGER AS place, round(u * v, 6) AS contribution, "
+            "SELECT user_id, item_id, round(total, 6) AS total_score, place::INTEGER AS place, (d - 1)::BIGINT AS factor_id, round(u * v, 6) AS contribution, "
             "round(u, 6) AS user_value, round(v, 6) AS item_value FROM ("
             "SELECT *, row_number() OVER (PARTITION BY user_id, item_id ORDER BY abs(u * v) DESC, d) AS place FROM ("
             "SELECT t.user_id, t.item_id, list_dot_product(uv.factors, iv.factors) AS total, unnest(uv.factors) AS u, "
             "unnest(iv.factors) AS v, generate_subscripts(iv.factors, 1) AS d "
             "FROM truth t JOIN uv USING (user_id) JOIN iv USING (item_id))) WHERE place <= 5"),
-        "truth_alignment": with_(*POPULAR_SAMPLE, per_user()) + "SELECT user_id, n_listed, n_rel AS n_relevant, hits AS n_hits FROM scored WHERE k = 20",
+        "truth_alignment": with_(*POPULAR_JUDGED, per_user()) + "SELECT user_id, n_listed, n_rel AS n_relevant, hits AS n_hits FROM scored WHERE k = 20",
         "ensemble_topk": with_(
-            SPLIT, SAMPLE, POPULARITY, VECTORS, popular("first_"), nearest("second_", users=IN_SAMPLE),
+            SPLIT, JUDGED, POPULARITY, VECTORS, popular("first_"), nearest("second_", users=IN_JUDGED),
             *[f"{out} AS (SELECT user_id, item_id, CASE WHEN hi > lo THEN (score - lo) / (hi - lo) ELSE 1 END AS v FROM ("
               f"SELECT *, min(score) OVER w AS lo, max(score) OVER w AS hi FROM {src} WINDOW w AS (PARTITION BY user_id)))"
               for out, src in (("a", "first_"), ("b", "second_"))],
@@ -347,22 +351,22 @@ def oracle_sql() -> dict[str, str]:
         "f1_at_k": metric("f1"),
         "ndcg_binary": metric("ndcg"),
         "ndcg_graded": with_(
-            *POPULAR_SAMPLE, per_user(),
+            *POPULAR_JUDGED, per_user(),
             "best AS (SELECT user_id, k, sum(rating / log2(r + 1)) AS ideal_gain FROM "
             "(SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY rating DESC, item_id) AS r FROM truth) JOIN ks ON r <= k GROUP BY 1, 2)",
         ) + "SELECT k::INTEGER AS k, round(avg(graded / ideal_gain), 6) AS value FROM scored JOIN best USING (user_id, k) GROUP BY 1",
         "map_at_k": metric("map"),
         "mrr_at_k": metric("mrr"),
-        "serendipity": with_(SPLIT, SAMPLE, POPULARITY, VECTORS, popular("expected"), nearest(users=IN_SAMPLE), "ks AS (SELECT unnest([5, 10, 20]) AS k)") + (
+        "serendipity": with_(SPLIT, JUDGED, POPULARITY, VECTORS, popular("expected"), nearest(users=IN_JUDGED), "ks AS (SELECT unnest([5, 10, 20]) AS k)") + (
             "SELECT k::INTEGER AS k, round(coalesce(avg(v), 0), 6) AS value FROM ("
             "SELECT r.user_id, k, sum((t.item_id IS NOT NULL AND e.item_id IS NULL)::INTEGER) / count(*) AS v "
             "FROM recs r JOIN ks ON r.rank <= k LEFT JOIN truth t ON t.user_id = r.user_id AND t.item_id = r.item_id "
             "LEFT JOIN expected e ON e.user_id = r.user_id AND e.item_id = r.item_id AND e.rank <= k GROUP BY 1, 2) GROUP BY 1"),
-        "catalog_coverage": with_(*POPULAR_SAMPLE) + (
+        "catalog_coverage": with_(*POPULAR_JUDGED) + (
             "SELECT n_recommended, n_catalogue, round(n_recommended / n_catalogue, 6) AS coverage FROM "
             "(SELECT count(DISTINCT item_id) AS n_recommended, (SELECT count(DISTINCT item_id) FROM ratings) AS n_catalogue FROM recs)"),
-        "list_diversity": with_(*POPULAR_SAMPLE, IV, DIVERSITY) + "SELECT round(avg(d), 6) AS diversity, count(*) AS n_lists FROM pairs",
-        "list_novelty": with_(*POPULAR_SAMPLE, NOVELTY) + "SELECT round(avg(v), 6) AS novelty, count(*) AS n_lists FROM nov",
+        "list_diversity": with_(*POPULAR_JUDGED, IV, DIVERSITY) + "SELECT round(avg(d), 6) AS diversity, count(*) AS n_lists FROM pairs",
+        "list_novelty": with_(*POPULAR_JUDGED, NOVELTY) + "SELECT round(avg(v), 6) AS novelty, count(*) AS n_lists FROM nov",
         "ranking_report": report_sql(),
         "metric_report": compare_sql(),
         "bpr_triples": with_(SPLIT, ENCODED_ITEMS, triples(3)) + "SELECT * FROM triples",

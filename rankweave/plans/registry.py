@@ -63,7 +63,7 @@ class Split:
         scores = self.popularity().select("item_id", F.col("popularity").alias("score"))
         return topk.shared_ranking_topk(scores, users, self.positives, n)
 
-    def sample(self) -> DataFrame:
+    def judged_users(self) -> DataFrame:
         return cut_lineage(prep.evaluation_users(self.truth))
 
     def biases(self, iterations: int = 2) -> biases.BiasModel:
@@ -110,10 +110,24 @@ def item_features(spark, folder):
 
 @query
 def holdout_split(spark, folder):
-    tagged = prep.holdout_tag(tables.ratings(spark, folder))
+    return _tagged(spark, folder, 0.2)
+
+
+def _tagged(spark, folder, fraction: float) -> DataFrame:
+    tagged = prep.holdout_tag(tables.ratings(spark, folder), fraction)
     return tagged.select("user_id", "item_id", "rating", F.col("is_test").cast("int").alias("is_test"))
 
 
+@query
+def holdout_split_5pct(spark, folder):
+    return _tagged(spark, folder, 0.05)
+
+
+@query
+def holdout_split_25pct(spark, folder):
+    return _tagged(spark, folder, 0.25)
+
+
 @query
 def holdout_split_exact(spark, folder):
     tagged = prep.exact_holdout_tag(stored_ratings(spark, folder))
@@ -174,7 +188,7 @@ def user_item_lists(spark, folder):
 
 @query
 def eval_user_sample(spark, folder):
-    return prep.evaluation_users(Split(spark, folder, stored=False).truth)
+    return prep.evaluation_users(Split(spark, folder, stored=False).truth, cap=1000)
 
 
 # --- statistics ----------------------------------------------------------------------------
@@ -322,7 +336,7 @@ def pmf_topk(spark, folder):
         cut_lineage(by_user.select("user_id", flat, "bias")), cut_lineage(by_item.select("item_id", flat, "bias")),
         "biases", explicit=True, biased=True, offset=fitted.means[0],
     )
-    lists = model.recommend(split.sample(), 10, split.train)
+    lists = model.recommend(split.judged_users(), 10, split.train)
     return lists.select("user_id", "item_id", r6("score", "score"), "rank")
 
 
@@ -357,14 +371,14 @@ def factor_explain(spark, folder):
     rows = explained.select("user_id", "item_id", "total_score", F.posexplode("top_factors").alias("pos", "f"))
     return rows.select(
         "user_id", "item_id", r6("total_score", "total_score"), (F.col("pos") + 1).alias("place"),
-        r6("f.contribution", "contribution"), r6("f.user_value", "user_value"), r6("f.item_value", "item_value"),
+        "f.factor_id", r6("f.contribution", "contribution"), r6("f.user_value", "user_value"), r6("f.item_value", "item_value"),
     )
 
 
 @query
 def truth_alignment(spark, folder):
     split = Split(spark, folder)
-    users = split.sample()
+    users = split.judged_users()
     lists = metrics.user_lists(split.popular_lists(users), split.truth, users, TOP_N)
     return lists.select(
         "user_id", F.size("list").cast("long").alias("n_listed"), F.col("n_relevant").cast("long").alias("n_relevant"),
@@ -375,7 +389,7 @@ def truth_alignment(spark, folder):
 @query
 def ensemble_topk(spark, folder):
     split = Split(spark, folder)
-    users = split.sample()
+    users = split.judged_users()
     first = split.popular_lists(users)
     second = Vectors(spark, folder, split).lists(split, users)
     lists = scoring.blend_lists(first, second, 10, (0.6, 0.4))
@@ -386,7 +400,7 @@ def ensemble_topk(spark, folder):
 
 def _metric(spark, folder, name: str, graded: bool = False):
     split = Split(spark, folder)
-    users = split.sample()
+    users = split.judged_users()
     gains = split.test.filter(F.col("rating") >= 3.0).select("user_id", "item_id", F.col("rating").alias("gain"))
     rows = metrics.ranking_metrics(
         split.popular_lists(users), split.truth, users, KS, (name,), gains=gains if graded else None
@@ -432,7 +446,7 @@ def mrr_at_k(spark, folder):
 @query
 def serendipity(spark, folder):
     split = Split(spark, folder)
-    users = split.sample()
+    users = split.judged_users()
     lists = Vectors(spark, folder, split).lists(split, users)
     rows = metrics.ranking_metrics(
         lists, split.truth, users, KS, ("serendipity",), expected=split.popular_lists(users)
@@ -443,21 +457,21 @@ def serendipity(spark, folder):
 @query
 def catalog_coverage(spark, folder):
     split = Split(spark, folder)
-    report = metrics.catalogue_coverage(split.popular_lists(split.sample()), split.ratings)
+    report = metrics.catalogue_coverage(split.popular_lists(split.judged_users()), split.ratings)
     return report.select("n_recommended", "n_catalogue", r6("coverage", "coverage"))
 
 
 @query
 def list_diversity(spark, folder):
     split = Split(spark, folder)
-    report = metrics.list_diversity(split.popular_lists(split.sample()), tables.item_vectors(spark, folder))
+    report = metrics.list_diversity(split.popular_lists(split.judged_users()), tables.item_vectors(spark, folder))
     return report.select(r6("diversity", "diversity"), "n_lists")
 
 
 @query
 def list_novelty(spark, folder):
     split = Split(spark, folder)
-    report = metrics.list_novelty(split.popular_lists(split.sample()), split.popularity())
+    report = metrics.list_novelty(split.popular_lists(split.judged_users()), split.popularity())
     return report.select(r6("novelty", "novelty"), "n_lists")
 
 
@@ -475,7 +489,7 @@ def ranking_report(spark, folder):
 @query
 def metric_report(spark, folder):
     split = Split(spark, folder)
-    users = split.sample()
+    users = split.judged_users()
     names = ("precision", "recall", "ndcg")
     reports = {
         "popular": metrics.ranking_metrics(split.popular_lists(users), split.truth, users, KS, names),

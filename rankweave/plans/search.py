@@ -44,8 +44,6 @@ CONDITIONS = {
     "verify_negative_samples": ("algorithm", "bpr"),
 }
 SECONDS_BUDGET = 900.0
-# Iterative training ends early once a round improves its loss by less than this share.
-PLATEAU = 1e-3
 
 
 def _draw(entry, seed: int) -> Column:
@@ -132,12 +130,13 @@ def tune_explicit(
 
 def fit_implicit(
     positives: DataFrame, universe: DataFrame, p: dict, seed: int = 42, rounds: int | None = None,
-    workspace: str | None = None,
+    workspace: str | None = None, tolerance: float = 0.0,
 ) -> FactorModel:
     """Train the implicit model a parameter row names (``bpr``, ``als`` or ``lmf``).
 
     ``rounds`` bounds the synchronised training rounds. By default an iteration count means
-    passes over the positives, ten to a round, and training ends when the loss levels off.
+    passes over the positives, ten to a round, and all of them are made; ``tolerance`` ends training once a
+    round improves its loss by less than that share.
     """
     if p["algorithm"] == "als":
         return als.fit_implicit_als(
@@ -148,7 +147,7 @@ def fit_implicit(
         loss="logistic" if p["algorithm"] == "lmf" else "bpr",
         factors=p["factors"], rounds=rounds or max(1, p["iterations"] // passes), passes=passes,
         learning_rate=p["learning_rate"], user_reg=p["regularization"], item_reg=p["regularization"],
-        verify_negatives=bool(p.get("verify_negative_samples", True)), seed=seed, tolerance=PLATEAU,
+        verify_negatives=bool(p.get("verify_negative_samples", True)), seed=seed, tolerance=tolerance,
     )
     return pairwise.fit_pairwise(positives, universe, settings, workspace)
 

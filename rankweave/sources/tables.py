@@ -18,12 +18,6 @@ def _instant(df: DataFrame, column: str):
     return F.col(column).cast("timestamp")
 
 
-def _spread(df: DataFrame) -> DataFrame:
-    """Deal the rows of a table kept in a few files over all cores; otherwise leave the scan alone."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) * 2 <= cores else df
-
-
 def ratings(spark: SparkSession, folder: str) -> DataFrame:
     """One rating per (user, item): the latest purchase, its quantity mapped to 1..5.
 
@@ -32,7 +26,7 @@ def ratings(spark: SparkSession, folder: str) -> DataFrame:
     """
     orders = _table(spark, folder, "orders")
     orders = orders.select("o_orderkey", "o_custkey", _instant(orders, "o_orderdate").alias("o_orderdate"))
-    lines = _spread(_table(spark, folder, "lineitem").select("l_orderkey", "l_partkey", "l_quantity"))
+    lines = _table(spark, folder, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
     latest = F.max(F.struct("o_orderdate", "l_orderkey", "l_quantity")).alias("latest")
     return (
         lines.join(orders, lines.l_orderkey == orders.o_orderkey)
@@ -52,7 +46,7 @@ def event_feedback(spark: SparkSession, folder: str) -> DataFrame:
 
     ``rating`` is the event value folded onto 1..5.
     """
-    events = _spread(_table(spark, folder, "events"))
+    events = _table(spark, folder, "events")
     return events.select(
         "event_id",
         "user_id",
@@ -74,10 +68,6 @@ def item_features(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def catalogue(spark: SparkSession, folder: str) -> DataFrame:
-    return _table(spark, folder, "part").select(F.col("p_partkey").alias("item_id"))
-
-
 def item_vectors(spark: SparkSession, folder: str) -> DataFrame:
     """``(item_id, factors)``: the stored embeddings; items past the last one have none."""
     return _table(spark, folder, "embeddings").select(

@@ -31,6 +31,13 @@ def test_splits_are_disjoint_and_whole(spark):
     assert prep.to_implicit(train).count() + prep.to_implicit(test).count() == prep.to_implicit(rows).count()
 
 
+@pytest.mark.parametrize("fraction", [0.05, 0.15, 0.25])
+def test_holdout_has_the_share_asked_for(spark, fraction):
+    rows = planted_ratings(spark).cache()
+    share = prep.holdout_split(rows, fraction)[1].count() / rows.count()
+    assert abs(share - fraction) < 0.02
+
+
 def test_temporal_split_keeps_the_latest(spark):
     tagged = prep.temporal_tag(planted_ratings(spark)).cache()
     last = tagged.filter(~F.col("is_test")).agg(F.max("ts")).first()[0]

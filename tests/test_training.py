@@ -101,6 +101,31 @@ def test_hybrid_learns_from_features(spark, data):
     assert precision(model, data) > 1.2 * popularity_precision(data)
 
 
+@pytest.mark.parametrize("described", ["item_id % 5 <> 0", "item_id < 40"])
+def test_hybrid_trains_items_without_features(data, described):
+    """Neither scattered items without features nor the last ones are taken for other items."""
+    items = data["all"].select("item_id").distinct()
+    features = items.filter(described).select(
+        "item_id", F.concat(F.lit("f="), (F.col("item_id") % 3).cast("string")).alias("feature"), F.lit(1.0).alias("value")
+    )
+    links = pairwise.feature_links(features, universe=items)
+    assert links.select("item_id").distinct().count() == items.count()
+    alone = links.join(features.select("item_id").distinct(), "item_id", "left_anti")
+    assert alone.count() == alone.select("feature_id").distinct().count() == items.count() - features.count()
+    settings = pairwise.PairwiseSettings(
+        loss="warp", factors=4, rounds=2, passes=2, learning_rate=0.1, users_per_block=100, items_per_block=50
+    )
+    model = pairwise.fit_hybrid(data["positives"], features, settings, universe=items)
+    assert model.items.count() == items.count()
+    apart = model.items.join(features, "item_id", "left_anti").select("factors").distinct().count()
+    assert apart == items.count() - features.count()
+
+
+def test_no_rows_train_no_factors(data):
+    model = als.fit_explicit(data["train"].limit(0), n_factors=4, n_epochs=2)
+    assert model.users.count() == 0 and model.items.count() == 0
+
+
 def test_unknown_loss_is_rejected(data):
     with pytest.raises(ValueError):
         pairwise.fit_pairwise(data["positives"], data["all"], pairwise.PairwiseSettings(loss="hinge"))
