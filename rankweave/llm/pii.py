@@ -257,13 +257,14 @@ def find(docs: DataFrame, s: BootstrapSettings = BootstrapSettings()) -> DataFra
     listed = lambda spans: F.array_join(
         F.transform(spans, lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["start"], x["stop"])), ","
     )
+    of_kind = lambda n: lambda x: x["kind"] == n
     by_start = lambda spans: F.array_sort(F.transform(
         spans, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["stop"].alias("stop"))
     ))
     none = F.array().cast("array<struct<start:int,stop:int,kind:int>>")
     return scanned.join(found, same, "left").select(
         F.col("id").alias("doc_id"),
-        *[F.size(F.filter("spans", lambda x, n=n: x["kind"] == n)).cast("long").alias(f"n_{k}") for n, k in enumerate(KINDS)],
+        *[F.size(F.filter("spans", of_kind(n))).cast("long").alias(f"n_{k}") for n, k in enumerate(KINDS)],
         F.sha2(listed(by_start(F.col("spans"))), 256).alias("base_sha256"),
         listed(by_start(F.concat("spans", F.coalesce("more", none)))).alias("spans"),
     )
