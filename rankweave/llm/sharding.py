@@ -47,8 +47,9 @@ def _numbered(rows: DataFrame, group: list[str], bucket: Column, order: list[str
 def interleave(docs: DataFrame, s: ShardSettings = ShardSettings()) -> DataFrame:
     """One row per row of ``docs(doc_id, text, source)``: doc_id, source, size, text_crc32, shard, slot.
 
-    Shard counts differ by one at most, and a shard's count of any source from its share by less than
-    two. ``size`` is the text's UTF-8 bytes and 1; a null text has none, and the checksum of an empty
+    Shard counts differ by one at most. A shard's count of a source differs from its share by one at
+    most, and by the source's share of as many rows as there are sources, whatever the number of rows,
+    since cuts by count move the fraction where a shard ends by that much. ``size`` is the text's UTF-8 bytes and 1; a null text has none, and the checksum of an empty
     one. Null sources are a source of their own. Repeated rows are ranked one after the other; an
     empty table gives no rows.
     """
