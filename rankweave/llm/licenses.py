@@ -13,9 +13,15 @@ from pyspark.sql import functions as F
 from rankweave.llm.license_texts import EQUIVALENT, LICENSE_TEXTS, notice_rows
 
 
+COPYRIGHT_LINE = (
+    r"^[^\n]*(copyright \(c\)|\(c\) copyright|copyright ©|copyright [0-9]|all rights reserved)[^\n]*$"
+)
+STEMS = "licen[cs]|spdx|public domain"  # known notices all have one, so only lines with one are hashed
+
+
 def canonical(text: Column) -> Column:
     """The canonical form of a text or line; null stays null."""
-    out = F.regexp_replace(F.lower(text), r"(?m)^[^\n]*(copyright \(c\)|\(c\) copyright|copyright ©|copyright [0-9]|all rights reserved)[^\n]*$", " ")
+    out = F.regexp_replace(F.lower(text), "(?md)" + COPYRIGHT_LINE, " ")
     out = F.regexp_replace(out, r"[^\p{L}\p{N}]+", " ")
     out = F.concat(F.lit(" "), out, F.lit(" "))
     for said, meant in EQUIVALENT:
@@ -52,11 +58,9 @@ def scan(docs: DataFrame) -> DataFrame:
         F.coalesce("text", F.lit("")).alias("text"),
     )
     whole = keyed.select("doc_id", "text_key", digest(F.col("text")).alias("digest"))
-    # Known notices all have one of these stems, so only lines with one are hashed.
-    stems = F.lower("line").rlike("licen[cs]|spdx|public domain")
     lines = (
-        keyed.filter(F.lower("text").rlike("licen[cs]|spdx|public domain")).dropDuplicates(["doc_id", "text_key"])
-        .select("doc_id", "text_key", F.explode(F.split("text", "\n")).alias("line")).filter(stems)
+        keyed.filter(F.lower("text").rlike(STEMS)).dropDuplicates(["doc_id", "text_key"])
+        .select("doc_id", "text_key", F.explode(F.split("text", "\n")).alias("line")).filter(F.lower("line").rlike(STEMS))
         .select("doc_id", "text_key", digest(F.col("line")).alias("known"))
     )
     noted = lines.join(F.broadcast(known_notices(spark)), "known").groupBy(  # a fixed table of one-liners

@@ -80,4 +80,36 @@ FROM documents LEFT JOIN listed USING (doc_id)
 """
 
 
+def _license_scan() -> str:
+    from rankweave.llm.license_texts import EQUIVALENT, LICENSE_TEXTS, notice_rows
+    from rankweave.llm.licenses import COPYRIGHT_LINE, STEMS
+
+    quoted = lambda s: "'" + s.replace("'", "''") + "'"
+
+    def digest(text: str) -> str:
+        out = f"regexp_replace(lower({text}), {quoted('(?m)' + COPYRIGHT_LINE)}, ' ', 'g')"
+        out = f"' ' || regexp_replace({out}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g') || ' '"
+        for said, meant in EQUIVALENT:
+            out = f"replace({out}, ' {said} ', ' {meant} ')"
+        return f"sha256(trim(regexp_replace({out}, ' +', ' ', 'g')))"
+
+    known = ", ".join(f"({quoted(n)}, {quoted(t)})" for n, t in sorted(LICENSE_TEXTS.items()))
+    notices = ", ".join(f"({quoted(n)}, {quoted(t)})" for n, t in notice_rows())
+    return f"""
+WITH known AS (SELECT name, {digest('body')} AS digest FROM (VALUES {known}) v(name, body)),
+notices AS (SELECT min(name) AS notice, {digest('body')} AS digest FROM (VALUES {notices}) v(name, body) GROUP BY 2),
+said AS (
+    SELECT doc_id, {digest('line')} AS digest
+    FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)
+    WHERE regexp_matches(lower(line), '{STEMS}')
+), noted AS (
+    SELECT doc_id, string_agg(DISTINCT notice, ',' ORDER BY notice) AS notices, count(*) AS n
+    FROM said JOIN notices USING (digest) GROUP BY doc_id
+), whole AS (SELECT doc_id, {digest("coalesce(text, '')")} AS digest FROM documents)
+SELECT doc_id, w.digest, name AS license, coalesce(notices, '') AS notices, coalesce(n, 0) AS n_notice_lines
+FROM whole w LEFT JOIN known k ON k.digest = w.digest LEFT JOIN noted USING (doc_id)
+"""
+
+
+SQL["op6_license_scan"] = _license_scan()
 SQL["op2_secret_scan"] = _secret_scan()

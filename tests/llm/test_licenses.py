@@ -2,11 +2,18 @@
 
 import hashlib
 
+import __spark_entry__ as entry
+from compare import differences, duck
 from edge_rows import ROWS, documents, empty
 from rankweave.llm import licenses
 from rankweave.llm.license_texts import LICENSE_TEXTS
 
 
+def test_matches_sql(spark, folder):
+    name = "op6_license_scan"
+    assert differences(entry.queries()[name](spark, folder), duck(folder), entry.oracle_sql()[name]) is None
+
+
 def scan(spark, *texts):
     rows = [(i, t, "en", "s", 0) for i, t in enumerate(texts)]
     return {r.doc_id: r for r in licenses.scan(documents(spark, rows)).collect()}
