@@ -255,7 +255,29 @@ def compare_sql() -> str:
     )
 
 
+def sink_sql(sql: dict[str, str]) -> dict[str, str]:
+    """What is read back equals what another query returns, or some columns of it."""
+    names = "UNION ALL ".join(
+        f"SELECT 'popular' AS model, '{m}@' || k AS name, round(coalesce({METRIC_SQL[m]}, 0), 6) AS value FROM scored GROUP BY k "
+        for m in ("precision", "recall", "ndcg")
+    )
+    part = lambda name, columns: f"SELECT {columns} FROM ({sql[name]})"
+    return {
+        "sink_predictions": part("bias_predict", "'biases' AS model, user_id, item_id, estimate"),
+        "sink_trials": part("trial_space_explicit", "trial, n_factors, n_epochs, value, mae, n_predictions"),
+        "sink_best_parameters": part("best_trial", "n_factors, n_epochs, learning_rate, regularization"),
+        "sink_report": with_(*POPULAR_JUDGED, per_user()) + names,
+        "sink_model": sql["bias_export"],
+    }
+
+
 def oracle_sql() -> dict[str, str]:
+    found = _query_sql()
+    return found | sink_sql(found)
+
+
+def _query_sql() -> dict[str, str]:
+    solved = with_(SPLIT) + "SELECT DISTINCT user_id, 1::INTEGER AS ok FROM "
     val = h(43, "user_id", "item_id") + f" < {hash_cut(0.1)}"
     return {
         "ratings_view": with_(RATINGS) + "SELECT user_id, item_id, rating, epoch_us(ts) AS ts_micros FROM ratings",
@@ -376,6 +398,10 @@ def oracle_sql() -> dict[str, str]:
             "FROM triples t JOIN uv USING (user_id) JOIN iv i ON i.item_id = t.item_id JOIN iv j ON j.item_id = t.negative_id "
             "WHERE list_dot_product(uv.factors, j.factors) > list_dot_product(uv.factors, i.factors) - 0.01)",
         ) + "SELECT user_id, item_id, negative_id, draw + 1 AS tries, round(ln(greatest(1, ((SELECT count(*) FROM dict) - 1) // (draw + 1))), 6) AS weight FROM tried WHERE rn = 1",
+        "pmf_normal_equations": solved + "train",
+        "pmf_biased_normal_equations": solved + "train",
+        "nmf_conditions": solved + "train",
+        "implicit_als_normal_equations": solved + "pos",
         "trial_space_explicit": with_(SPLIT, EXPLICIT_TRIALS) + (
             "SELECT trial, n_factors, n_epochs, round(learning_rate, 6) AS learning_rate, round(regularization, 6) AS regularization, "
             "use_biased::INTEGER AS use_biased, round(reg_bu, 6) AS reg_bu, round(reg_bi, 6) AS reg_bi, "

@@ -12,7 +12,7 @@ from rankweave.operators import als, biases, metrics, pairwise, prep, sampling,
 from rankweave.operators.model import FactorModel
 from rankweave.plans import evaluate, search
 from rankweave.session import cut_lineage, fresh_path, ship_package, write_and_read
-from rankweave.sources import tables
+from rankweave.sources import sinks, tables
 
 KS = [5, 10, 20]
 TOP_N = 20
@@ -602,6 +602,97 @@ def nmf_fit(spark, folder):
     return _explicit(spark, folder, algorithm="nmf")
 
 
+def _solved(residuals: DataFrame, column: str = "worst", tolerance: float = 1e-3) -> DataFrame:
+    return residuals.select("user_id", (F.col(column) <= tolerance).cast("int").alias("ok"))
+
+
+@query
+def pmf_normal_equations(spark, folder):
+    train = Split(spark, folder).train
+    model = als.fit_explicit(train, n_factors=10, n_epochs=5, regularization=0.1)
+    return _solved(als.user_residuals(train, "rating", model.users, model.items, 0.1))
+
+
+@query
+def pmf_biased_normal_equations(spark, folder):
+    train = Split(spark, folder).train
+    model = als.fit_explicit(train, n_factors=10, n_epochs=5, regularization=0.1, biased=True, reg_bu=REG_USER, reg_bi=REG_ITEM)
+    by_user, by_item = model.biases()
+    rest = train.join(by_user.withColumnRenamed("bias", "bu"), "user_id").join(by_item.withColumnRenamed("bias", "bi"), "item_id")
+    rest = rest.withColumn("residual", F.col("rating") - model.offset - F.col("bu") - F.col("bi"))
+    return _solved(als.user_residuals(rest, "residual", model.users, model.items, 0.1))
+
+
+@query
+def nmf_conditions(spark, folder):
+    train = Split(spark, folder).train
+    model = als.fit_explicit(train, n_factors=10, n_epochs=5, regularization=0.1, algorithm="nmf")
+    return _solved(als.user_residuals(train, "rating", model.users, model.items, 0.1), "worst_nonnegative", 1e-2)
+
+
+@query
+def implicit_als_normal_equations(spark, folder):
+    split = Split(spark, folder)
+    model = als.fit_implicit_als(split.positives, split.ratings, 10, 5, 0.01)
+    return _solved(als.user_residuals(split.positives, "weight", model.users, model.items, 0.01, alpha=1.0))
+
+
+# --- sinks: written and read back ------------------------------------------------------------
+
+@query
+def sink_predictions(spark, folder):
+    home = fresh_path(spark, "predictions")
+    rows = Split(spark, folder).bias_estimates().select("user_id", "item_id", "estimate", F.lit("biases").alias("model"))
+    sinks.write_predictions(rows, home)
+    return spark.read.parquet(home).select("model", "user_id", "item_id", r6("estimate", "estimate"))
+
+
+@query
+def sink_trials(spark, folder):
+    home = fresh_path(spark, "trials")
+    trials = _bias_trials(spark, folder)
+    sinks.write_trials(trials, home, "pmf")
+    back = spark.read.schema(trials.schema).option("header", True).csv(f"{home}/pmf_trials")
+    return back.select("trial", "n_factors", "n_epochs", r6("value", "value"), r6("mae", "mae"), "n_predictions")
+
+
+@query
+def sink_best_parameters(spark, folder):
+    home = fresh_path(spark, "best")
+    best = search.best_trial(_bias_trials(spark, folder))
+    sinks.write_best_parameters(best, home, "pmf")
+    back = spark.read.schema(best.schema).json(f"{home}/pmf_best_params")
+    return back.select("n_factors", "n_epochs", r6("learning_rate", "learning_rate"), r6("regularization", "regularization"))
+
+
+@query
+def sink_report(spark, folder):
+    home = fresh_path(spark, "report")
+    split = Split(spark, folder)
+    users = split.judged_users()
+    rows = metrics.ranking_metrics(split.popular_lists(users), split.truth, users, KS, ("precision", "recall", "ndcg"))
+    label = F.concat_ws("@", "metric", F.col("k").cast("string"))
+    report = rows.agg(F.map_from_entries(F.collect_list(F.struct(label, "value"))).alias("metrics"))
+    sinks.write_report(report.select(F.lit("popular").alias("model"), "metrics"), home)
+    back = spark.read.schema("model string, metrics map<string, double>").json(home)
+    return back.select("model", F.explode("metrics").alias("name", "value")).select("model", "name", r6("value", "value"))
+
+
+@query
+def sink_model(spark, folder):
+    home = fresh_path(spark, "model")
+    fitted = Split(spark, folder).biases()
+    by_user, by_item = fitted.single()
+    flat = F.array(F.lit(0.0)).alias("factors")
+    FactorModel(
+        by_user.select("user_id", flat, "bias"), by_item.select("item_id", flat, "bias"), "biases",
+        explicit=True, biased=True, offset=fitted.means[0],
+    ).save(home)
+    users, items = FactorModel.load(spark, home).biases()
+    tag = lambda df, kind: df.select(F.lit(kind).alias("kind"), F.col(f"{kind}_id").alias("id"), r6("bias", "bias"))
+    return tag(users, "user").unionByName(tag(items, "item"))
+
+
 @query
 def implicit_als_fit(spark, folder):
     split = Split(spark, folder)
