@@ -47,7 +47,7 @@ def pieces(docs: DataFrame, s: PackingSettings) -> DataFrame:
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = ["" if t is None else t for t in batch.column("text").to_pylist()]
         rows, number, lengths, sums = [], [], [], []
-        for row, ids in enumerate(word_tokens(path).encode(texts)):
+        for row, ids in enumerate(map(word_tokens(path).encode, texts)):
             held = memoryview(ids + end)
             for k in range(0, len(held), 4 * capacity):
                 part = held[k : k + 4 * capacity]

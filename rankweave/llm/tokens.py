@@ -1,68 +1,77 @@
-"""Token ids of whole texts by a public word-level BPE vocabulary, through a cache of words.
+"""Token ids of whole texts by a public word-level BPE vocabulary, through a cache of pre-tokens.
 
-The vocabulary's pre-tokenizer drops white space and never joins across it, so the ids of a text are
-those of its words in a row. Words made only of ASCII and Latin-1 characters are cut further at the
-places the pre-tokenizer always cuts: between letters, single digits and other signs. All ids come
-from the tokenizers library; caches are bounded and only save repeated calls.
+The vocabulary's pre-tokenizer drops white space, and in text of ASCII and Latin-1 characters it always
+cuts between runs of letters, single digits and runs of other signs. Such pieces are looked up in a
+cache, or encoded alone the first time; their ids in a row are the text's. Words with any other
+character, or an apostrophe, which starts contractions, are encoded whole. All ids come from the
+tokenizers library; the cache is bounded and only saves repeated calls.
 """
 
 from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterator
 
 import numpy as np
 
 WORD_VOCABULARY = "word_bpe_49k.json"
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
-# The apostrophe starts contractions, which are pre-tokens of their own: such words are not cut.
-_SIMPLE = re.compile(rf"[{_LETTERS}0-9!-&(-/:-@\[-`{{-~]+")
-_PARTS = re.compile(rf"[{_LETTERS}]+|[0-9]|[^{_LETTERS}0-9]+")
-_ODD_SPACE = re.compile("[\x1c-\x1f]")  # white space to str.split, not to the vocabulary
+_SIMPLE = rf"{_LETTERS}0-9!-&(-/:-@\[-`{{-~"
+_PARTS = re.compile(rf"[{_LETTERS}]+|[0-9]|[^\s{_LETTERS}0-9]+")
+_LOWER = "abcdefghijklmnopqrstuvwxyz" + "".join(chr(c) for c in range(0xDF, 0x100) if c != 0xF7)
+_LOWER_RUN = re.compile(f"[{_LOWER}]+")
+_ODD = re.compile(rf"[^\s{_SIMPLE}]")
+_ODD_WORD = re.compile(rf"((?<!\S)[{_SIMPLE}]*+[^\s{_SIMPLE}]\S*)")
+# Special tokens, and characters that are white space to this module only: the whole text is encoded.
+_UNUSUAL = re.compile(r"<\||[\x1c-\x1f]")
+
+
+class _Cache(dict):
+    """Texts to ids. A run of lower-case letters is one pre-token as it stands, so the vocabulary's model gets
+    it at once, its bytes spelt as the byte-level alphabet does."""
+
+    def __init__(self, tokenizer, most: int):
+        super().__init__()
+        self._tokenizer, self._model, self._most = tokenizer, tokenizer.model, most
+        spell = tokenizer.pre_tokenizer.pre_tokenize_str
+        self._spelling = {ord(c): "".join(part for part, _ in spell(c)) for c in _LOWER}
+
+    def __missing__(self, text: str) -> bytes:
+        if _LOWER_RUN.fullmatch(text):
+            ids = [t.id for t in self._model.tokenize(text.translate(self._spelling))]
+        else:
+            ids = self._tokenizer.encode(text, add_special_tokens=False).ids
+        found = np.asarray(ids, "<u4").tobytes()
+        if len(text) <= 64:
+            if len(self) >= self._most:
+                self.clear()
+            self[text] = found
+        return found
 
 
 class WordTokens:
     """Little-endian unsigned 32-bit ids of texts, as bytes."""
 
-    def __init__(self, path: str | None = None, most_words: int = 400_000, most_parts: int = 800_000):
+    def __init__(self, path: str | None = None, most: int = 1_200_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import public_tokenizers
         from tokenizers import Tokenizer
 
-        self._tokenizer = Tokenizer.from_file(path or public_tokenizers.path(WORD_VOCABULARY))
-        self._words: dict[str, bytes] = {}
-        self._parts: dict[str, bytes] = {}
-        self._most_words, self._most_parts = most_words, most_parts
-
-    def _ask(self, texts: list[str]) -> list[bytes]:
-        found = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.asarray(x.ids, "<u4").tobytes() for x in found]
-
-    def _learn(self, missing: set[str]) -> None:
-        if len(self._words) + len(missing) > self._most_words:
-            self._words.clear()
-        if len(self._parts) > self._most_parts:
-            self._parts.clear()
-        cut = {w: _PARTS.findall(w.lower()) for w in missing if _SIMPLE.fullmatch(w) and "<|" not in w}
-        new = list({part for parts in cut.values() for part in parts if part not in self._parts})
-        self._parts.update(zip(new, self._ask(new)))
-        self._words.update((w, b"".join([self._parts[p] for p in parts])) for w, parts in cut.items())
-        whole = [w for w in missing if w not in cut]
-        self._words.update(zip(whole, self._ask(whole)))
-
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        split = [None if _ODD_SPACE.search(text) else text.split() for text in texts]
-        seen = set()
-        for words in split:
-            seen.update(words or ())
-        missing = {w for w in seen if w not in self._words}
-        if missing:
-            self._learn(missing)
-            self._learn({w for w in seen if w not in self._words})  # those a full cache has lost
-        known = self._words.__getitem__
-        for text, words in zip(texts, split):
-            yield self._ask([text])[0] if words is None else b"".join(map(known, words))
+        self._look_up = _Cache(
+            Tokenizer.from_file(path or public_tokenizers.path(WORD_VOCABULARY)), most
+        ).__getitem__
+
+    def _simple(self, text: str) -> bytes:
+        return b"".join(map(self._look_up, _PARTS.findall(text.lower())))
+
+    def encode(self, text: str) -> bytes:
+        if _UNUSUAL.search(text):
+            return self._look_up(text)
+        if not _ODD.search(text):
+            return self._simple(text)
+        return b"".join(
+            self._look_up(part) if k % 2 else self._simple(part) for k, part in enumerate(_ODD_WORD.split(text))
+        )
 
 
 _LOADED: dict[str | None, WordTokens] = {}
