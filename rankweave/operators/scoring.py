@@ -83,18 +83,25 @@ def nested_lists(ranked: DataFrame) -> DataFrame:
     )
 
 
-def blend_lists(first: DataFrame, second: DataFrame, n: int, weights: tuple[float, float] = (0.5, 0.5)) -> DataFrame:
-    """Weighted ensemble of two score tables: per-user min-max scaling, missing scores count 0.
+def blend_scores(scored: DataFrame, n: int, weights: tuple[float, float] = (0.5, 0.5)) -> DataFrame:
+    """Weighted ensemble of candidates ``(user_id, item_id, first, second)`` that both models have scored.
 
-    The minimum and maximum come from a group-by, which combines before its shuffle, and are
-    joined back to lists that are already cut to a few rows per user.
+    Scores are scaled to 0..1 per user, by minimum and maximum over the user's candidates; equal scores
+    count 1. The bounds come from a group-by, which combines before its shuffle.
     """
-    def scaled(scores: DataFrame, name: str) -> DataFrame:
-        bounds = scores.groupBy("user_id").agg(F.min("score").alias("_lo"), F.max("score").alias("_hi"))
-        width = F.col("_hi") - F.col("_lo")
-        value = F.when(width > 0, (F.col("score") - F.col("_lo")) / width).otherwise(F.lit(1.0))
-        return scores.join(bounds, "user_id").select("user_id", "item_id", value.alias(name))
-
-    both = scaled(first, "_a").join(scaled(second, "_b"), ["user_id", "item_id"], "full")
-    score = F.lit(weights[0]) * F.coalesce("_a", F.lit(0.0)) + F.lit(weights[1]) * F.coalesce("_b", F.lit(0.0))
-    return rank_scores(both.select("user_id", "item_id", score.alias("score")), n)
+    bounds = scored.groupBy("user_id").agg(
+        *[f(c).alias(f"_{name}_{c}") for c in ("first", "second") for name, f in (("lo", F.min), ("hi", F.max))]
+    )
+
+    def scaled(c: str):
+        width = F.col(f"_hi_{c}") - F.col(f"_lo_{c}")
+        return F.when(width > 0, (F.col(c) - F.col(f"_lo_{c}")) / width).otherwise(F.lit(1.0))
+
+    score = F.lit(float(weights[0])) * scaled("first") + F.lit(float(weights[1])) * scaled("second")
+    return rank_scores(scored.join(bounds, "user_id").select("user_id", "item_id", score.alias("score")), n)
+
+
+def candidate_union(first: DataFrame, second: DataFrame) -> DataFrame:
+    """The pairs of either list, once each."""
+    pairs = first.select("user_id", "item_id").unionByName(second.select("user_id", "item_id"))
+    return pairs.distinct()

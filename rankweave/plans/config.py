@@ -51,7 +51,7 @@ DEFAULTS = {
     "evaluation": {"k_values": [5, 10, 20], "max_eval_users": None, "calc_diversity": True, "calc_confidence": False},
     "output": {"save_models": True, "save_predictions": False},
     "advanced": {
-        "ensemble": {"enabled": False, "models": ["pmf", "bpr"], "method": "weighted"},
+        "ensemble": {"enabled": False, "models": ["pmf", "bpr"], "method": "weighted", "weights": [0.5, 0.5]},
         "cross_validation": {"enabled": False, "n_folds": 5},
         "time_based_evaluation": {"enabled": False, "n_windows": 5},
     },

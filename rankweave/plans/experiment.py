@@ -123,7 +123,7 @@ def run_experiment(
             positives, item_features, models["lightfm"], rounds, universe, config["optimization"]["tolerance"]
         )
 
-    reports = {"pmf": error_rows(evaluate.evaluate_ratings(fitted["pmf"], test))}
+    reports = {"pmf": error_rows(_judge_ratings(fitted["pmf"], train, test, evaluation["calc_confidence"]))}
     for name in [n for n in fitted if n != "pmf"]:
         reports[name] = evaluate.evaluate_ranking(
             fitted[name], positives, truth, universe, evaluation["k_values"], evaluation["max_eval_users"],
@@ -138,6 +138,17 @@ def run_experiment(
     return report
 
 
+def _judge_ratings(model: FactorModel, train: DataFrame, test: DataFrame, confidence: bool) -> DataFrame:
+    """Rating errors; with ``confidence`` also how often the interval of 1.96 training errors holds the rating."""
+    if not confidence:
+        return evaluate.evaluate_ratings(model, test)
+    spread = 1.96 * (evaluate.evaluate_ratings(model, train).first().rmse or 0.0)
+    bounds = model.predict(test, "_middle").withColumns(
+        {"lower": F.col("_middle") - spread, "upper": F.col("_middle") + spread}
+    )
+    return evaluate.evaluate_ratings(model, bounds.drop("_middle"), "lower", "upper")
+
+
 def _write_extras(config, fitted, train, test, positives, truth, out) -> None:
     """Optional outputs: models, predictions, ensemble lists, folds and time windows."""
     evaluation, advanced = config["evaluation"], config["advanced"]
@@ -153,8 +164,13 @@ def _write_extras(config, fitted, train, test, positives, truth, out) -> None:
         ]
         sinks.write_predictions(reduce(DataFrame.unionByName, scored), f"{out}/predictions")
     if advanced["ensemble"]["enabled"]:
-        first, second = (fitted[m].recommend(users, n, positives) for m in advanced["ensemble"]["models"])
-        scoring.blend_lists(first, second, n).write.mode("overwrite").parquet(f"{out}/ensemble")
+        blend = advanced["ensemble"]
+        if blend["method"] != "weighted":
+            raise ValueError(f"unknown ensemble method {blend['method']}")
+        one, two = (fitted[m] for m in blend["models"])
+        candidates = scoring.candidate_union(*(m.recommend(users, n, positives) for m in (one, two)))
+        scored = two.predict(one.predict(candidates, "first"), "second")
+        scoring.blend_scores(scored, n, tuple(blend["weights"])).write.mode("overwrite").parquet(f"{out}/ensemble")
     if advanced["cross_validation"]["enabled"]:
         folds = evaluate.cross_validate(
             train, lambda part: fit_pmf(part, config["models"]["pmf"]), advanced["cross_validation"]["n_folds"]

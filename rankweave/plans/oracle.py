@@ -362,10 +362,12 @@ def _query_sql() -> dict[str, str]:
         "truth_alignment": with_(*POPULAR_JUDGED, per_user()) + "SELECT user_id, n_listed, n_rel AS n_relevant, hits AS n_hits FROM scored WHERE k = 20",
         "ensemble_topk": with_(
             SPLIT, JUDGED, POPULARITY, VECTORS, popular("first_"), nearest("second_", users=IN_JUDGED),
-            *[f"{out} AS (SELECT user_id, item_id, CASE WHEN hi > lo THEN (score - lo) / (hi - lo) ELSE 1 END AS v FROM ("
-              f"SELECT *, min(score) OVER w AS lo, max(score) OVER w AS hi FROM {src} WINDOW w AS (PARTITION BY user_id)))"
-              for out, src in (("a", "first_"), ("b", "second_"))],
-            "blend AS (SELECT user_id, item_id, 0.6::DOUBLE * coalesce(a.v, 0) + 0.4::DOUBLE * coalesce(b.v, 0) AS score FROM a FULL JOIN b USING (user_id, item_id))",
+            "both_ AS (SELECT user_id, item_id FROM first_ UNION SELECT user_id, item_id FROM second_)",
+            "sc AS (SELECT c.user_id, c.item_id, pop.popularity AS a, coalesce(list_dot_product(uv.factors, iv.factors), 0) AS b "
+            "FROM both_ c JOIN pop ON pop.item_id = c.item_id LEFT JOIN uv ON uv.user_id = c.user_id LEFT JOIN iv ON iv.item_id = c.item_id)",
+            "blend AS (SELECT user_id, item_id, 0.6::DOUBLE * CASE WHEN ha > la THEN (a - la) / (ha - la) ELSE 1 END "
+            "+ 0.4::DOUBLE * CASE WHEN hb > lb THEN (b - lb) / (hb - lb) ELSE 1 END AS score FROM (SELECT *, min(a) OVER w AS la, "
+            "max(a) OVER w AS ha, min(b) OVER w AS lb, max(b) OVER w AS hb FROM sc WINDOW w AS (PARTITION BY user_id)))",
             "recs AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY round(score, 9) DESC, item_id)::INTEGER AS rank FROM blend) WHERE rank <= 10)",
         ) + LIST_COLUMNS,
         "precision_at_k": metric("precision"),

@@ -391,8 +391,11 @@ def ensemble_topk(spark, folder):
     split = Split(spark, folder)
     users = split.judged_users()
     first = split.popular_lists(users)
-    second = Vectors(spark, folder, split).lists(split, users)
-    lists = scoring.blend_lists(first, second, 10, (0.6, 0.4))
+    vectors = Vectors(spark, folder, split)
+    candidates = scoring.candidate_union(first, vectors.lists(split, users))
+    known = candidates.join(split.popularity().select("item_id", F.col("popularity").alias("first")), "item_id")
+    scored = scoring.score_pairs(known, vectors.users, vectors.items).withColumnRenamed("score", "second")
+    lists = scoring.blend_scores(scored, 10, (0.6, 0.4))
     return lists.select("user_id", "item_id", r6("score", "score"), "rank")
 
 

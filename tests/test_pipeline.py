@@ -53,6 +53,7 @@ def test_experiment_end_to_end(spark, tmp_path):
         },
         "optimization": {"n_trials": 1},
         "output": {"save_predictions": True},
+        "evaluation": {"calc_confidence": True},
         "advanced": {
             "ensemble": {"enabled": True}, "cross_validation": {"enabled": True, "n_folds": 2},
             "time_based_evaluation": {"enabled": True},
@@ -61,7 +62,8 @@ def test_experiment_end_to_end(spark, tmp_path):
     out = str(tmp_path / "run")
     report = {r.model: r for r in run_experiment(ratings, features, overrides, out, rounds=1).collect()}
     assert set(report) == {"pmf", "bpr", "lightfm"}
-    assert {"rmse", "mae", "mse", "n_predictions"} <= set(report["pmf"].metrics)
+    assert {"rmse", "mae", "mse", "n_predictions", "confidence_coverage"} <= set(report["pmf"].metrics)
+    assert 0 < report["pmf"].metrics["confidence_coverage"] <= 1
     assert {"precision@10", "map@20", "coverage", "diversity", "novelty"} <= set(report["bpr"].metrics)
     assert report["lightfm"].model_info["loss"] == "warp"
     assert report["pmf"].model_size.total_parameters > 0
