@@ -44,7 +44,7 @@ def fit_hybrid(
     positives: DataFrame, features: DataFrame, p: dict, rounds: int | None = None, universe: DataFrame | None = None,
     tolerance: float = 0.0,
 ) -> FactorModel:
-    passes = 10 if rounds is None else 2
+    passes = search.PASSES if rounds is None else search.SHORT_PASSES
     return pairwise.fit_hybrid(positives, features, pairwise.PairwiseSettings(
         loss=p["loss"], factors=p["no_components"], rounds=rounds or max(1, p["epochs"] // passes), passes=passes,
         learning_rate=p["learning_rate"], user_reg=p["user_alpha"], item_reg=p["item_alpha"],
@@ -90,7 +90,8 @@ def run_experiment(
 
     if config["optimization"]["run_optimization"]:
         budget = config["optimization"]
-        fit, held = prep.validation_split(train)
+        parts = zip(prep.validation_split(train), ("fit", "held"))
+        fit, held = (write_and_read(df, fresh_path(ratings.sparkSession, name)) for df, name in parts)
         explicit = search.tune_explicit(fit, held, budget["n_trials"], budget["timeout"])
         implicit = search.tune_implicit(
             prep.to_implicit(fit, threshold), prep.to_implicit(held, threshold), universe,
@@ -130,7 +131,8 @@ def run_experiment(
             evaluation["calc_diversity"], data["random_state"],
         )
     rows = [report_row(name, metrics, fitted[name]) for name, metrics in reports.items()]
-    report = cut_lineage(reduce(DataFrame.unionByName, rows).withColumn("total_execution_time", F.lit(time.time() - start)))
+    judged = cut_lineage(reduce(DataFrame.unionByName, rows))
+    report = judged.withColumn("total_execution_time", F.lit(time.time() - start))
 
     if out:
         sinks.write_report(report, f"{out}/metrics")

@@ -44,6 +44,8 @@ CONDITIONS = {
     "verify_negative_samples": ("algorithm", "bpr"),
 }
 SECONDS_BUDGET = 900.0
+# Passes over the positives in a synchronised round: of whole training, and where ``rounds`` cuts it short.
+PASSES, SHORT_PASSES = 10, 2
 
 
 def _draw(entry, seed: int) -> Column:
@@ -135,14 +137,14 @@ def fit_implicit(
     """Train the implicit model a parameter row names (``bpr``, ``als`` or ``lmf``).
 
     ``rounds`` bounds the synchronised training rounds. By default an iteration count means
-    passes over the positives, ten to a round, and all of them are made; ``tolerance`` ends training once a
+    passes over the positives, ``PASSES`` to a round, and all of them are made; ``tolerance`` ends training once a
     round improves its loss by less than that share.
     """
     if p["algorithm"] == "als":
         return als.fit_implicit_als(
             positives, universe, p["factors"], rounds or p["iterations"], p["regularization"], seed=seed
         )
-    passes = 10 if rounds is None else 2
+    passes = PASSES if rounds is None else SHORT_PASSES
     settings = pairwise.PairwiseSettings(
         loss="logistic" if p["algorithm"] == "lmf" else "bpr",
         factors=p["factors"], rounds=rounds or max(1, p["iterations"] // passes), passes=passes,
@@ -160,6 +162,8 @@ def tune_implicit(
     """Trial table of the implicit model: maximise precision@10; diversity is not computed."""
     if trials is None:
         trials = sample_trials(train_positives.sparkSession, IMPLICIT_SPACE, n_trials, seed)
+    if rounds is not None:  # the table says what is run
+        trials = trials.withColumn("iterations", F.when(F.col("algorithm") == "als", rounds).otherwise(rounds * SHORT_PASSES))
 
     # Each model is judged before the next is trained, so all trials share one folder.
     workspace = fresh_path(train_positives.sparkSession, "trials")
