@@ -9,37 +9,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from rankweave.llm import decontamination, line_dedup, near_dedup, packing, quality
-from rankweave.llm.common import Scratch, table
-from rankweave.session import ship_package
+from rankweave.llm.common import Scratch, prepare, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents that pass the base rules and are no outliers of their language and source."""
-    ship_package(spark)
+    prepare(spark)
     return quality.keep_good(docs)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Texts without later occurrences of three-line windows; a document without lines left goes."""
-    ship_package(spark)
+    prepare(spark)
     return line_dedup.apply(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """One document of each near-duplicate group: 5-word shingles, Jaccard similarity 0.8 or more."""
-    ship_package(spark)
+    prepare(spark)
     return near_dedup.keep_one_of_each(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents without a passage of ``benchmark``, word for word or with other values in its slots."""
-    ship_package(spark)
+    prepare(spark)
     return decontamination.remove_contaminated(docs, table(spark, folder, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Pieces of at most 4096 tokens, each with its sequence and its place there."""
-    ship_package(spark)
+    prepare(spark)
     return packing.pack(docs)
 
 

@@ -8,9 +8,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankweave.session import fresh_path, write_and_read
+from rankweave.session import fresh_path, ship_package, write_and_read
 
 SLICE_ROWS = 2048
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def prepare(spark: SparkSession) -> None:
+    """Send the package to the workers, and bound Arrow batches: rows hold whole texts."""
+    ship_package(spark)
+    if not 0 < int(spark.conf.get(_BATCH)) <= SLICE_ROWS:
+        spark.conf.set(_BATCH, str(SLICE_ROWS))
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -24,6 +32,7 @@ def arrow_pass(df: DataFrame, step: Callable[[pa.RecordBatch], pa.RecordBatch],
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE_ROWS):
                 yield step(batch.slice(at, SLICE_ROWS))
+            pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 

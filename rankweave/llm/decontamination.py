@@ -36,6 +36,7 @@ class TemplateSettings:
 _ITEM = "item_id long, text string, template long, slot_at array<int>, slot_value array<long>"
 _WINDOW = "template long, size int, n_windows int, at int, hash long, slot_at array<int>, slot_value array<long>"
 _FOUND = "doc_id long, text_key long, at int, hash long, slot_value array<long>"
+_CHARACTERS = 1 << 20
 _WORDS: list[TemplateWords] = []
 
 
@@ -156,20 +157,28 @@ def _document_windows(docs: DataFrame, sizes: list[int], bitmap: np.ndarray, bit
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        c = _words().canonical(_texts(batch))
         held = shared.value
-        n = np.bincount(c.row, minlength=batch.num_rows)
-        first = np.concatenate([[0], np.cumsum(n)])[:-1]
+        texts = _texts(batch)
+        ends = np.cumsum([len(t) for t in texts])
         columns: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(5)]
-        for size in sizes:
-            start, hashed, used = c.windows(size)
-            place = (hashed >> U(64 - bits)).astype(np.int64)
-            hit = (held[place >> 6] >> (place & 63)) & 1 == 1
-            start, hashed, used = start[hit], hashed[hit], used[hit]
-            counts, _, values = _slots(c, start, size, used)
-            row = c.row[start]
-            for out, new in zip(columns, (row, start - first[row], hashed.view(np.int64), counts, values.view(np.int64))):
-                out.append(new)
+        begin = 0
+        while begin < len(texts):  # about a million characters at a time, no text cut
+            before = ends[begin - 1] if begin else 0
+            stop = max(begin + 1, int(np.searchsorted(ends, before + _CHARACTERS, "right")))
+            c = _words().canonical(texts[begin:stop])
+            n = np.bincount(c.row, minlength=stop - begin)
+            first = np.concatenate([[0], np.cumsum(n)])[:-1]
+            for size in sizes:
+                start, hashed, used = c.windows(size)
+                place = (hashed >> U(64 - bits)).astype(np.int64)
+                hit = (held[place >> 6] >> (place & 63)) & 1 == 1
+                start, hashed, used = start[hit], hashed[hit], used[hit]
+                counts, _, values = _slots(c, start, size, used)
+                row = c.row[start]
+                found = (begin + row, start - first[row], hashed.view(np.int64), counts, values.view(np.int64))
+                for out, new in zip(columns, found):
+                    out.append(new)
+            begin = stop
         row, at, hashed, counts, values = (np.concatenate(x) for x in columns)
         which = pa.array(row)
         return pa.RecordBatch.from_arrays(

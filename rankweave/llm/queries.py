@@ -8,8 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankweave.llm import decontamination, licenses, line_dedup, near_dedup, oracle, packing, pii, quality, secret_scan, sharding, toxicity
-from rankweave.llm.common import table
-from rankweave.session import ship_package
+from rankweave.llm.common import prepare, table
 
 
 def op1_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
@@ -86,16 +85,16 @@ _QUERIES = [
 ]
 
 
-def _shipped(fn):
+def _prepared(fn):
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        ship_package(spark)
+        prepare(spark)
         return fn(spark, folder)
 
     return run
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {fn.__name__: _shipped(fn) for fn in _QUERIES}
+    return {fn.__name__: _prepared(fn) for fn in _QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -9,6 +9,7 @@ sentence or a line. Words in capitals throughout are ordinary words, so shouted
 from __future__ import annotations
 
 import re
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -44,13 +45,14 @@ def _hash(text: str) -> int:
 class TemplateWords:
     """Looks every distinct word up once; the table is bounded and only saves repeated work."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 200_000):
         self.most = most
         self._reset()
 
     def _reset(self) -> None:
         self.index: dict[str, int] = {_LINE: 0}
-        self.kind, self.literal, self.second, self.ends = [SKIPPED], [0], [0], [True]
+        self.kind, self.ends = array("b", [SKIPPED]), array("b", [1])
+        self.literal, self.second = array("Q", [0]), array("Q", [0])
         self._arrays = None
 
     def _add(self, word: str) -> None:
@@ -85,8 +87,8 @@ class TemplateWords:
                 self._add(word)
         if fresh or self._arrays is None:
             self._arrays = (
-                np.asarray(self.kind, np.int8), np.asarray(self.literal, np.uint64),
-                np.asarray(self.second, np.uint64), np.asarray(self.ends, bool),
+                np.array(self.kind, np.int8), np.array(self.literal, np.uint64),
+                np.array(self.second, np.uint64), np.array(self.ends, bool),
             )
         get = self.index.__getitem__
         counts = [len(words) for words in split]

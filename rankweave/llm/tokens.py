@@ -52,7 +52,7 @@ class _Cache(dict):
 class WordTokens:
     """Little-endian unsigned 32-bit ids of texts, as bytes."""
 
-    def __init__(self, path: str | None = None, most: int = 1_200_000):
+    def __init__(self, path: str | None = None, most: int = 600_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import public_tokenizers
         from tokenizers import Tokenizer
