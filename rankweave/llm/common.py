@@ -25,14 +25,21 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def arrow_pass(df: DataFrame, step: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
-    """Apply ``step`` to runs of at most ``SLICE_ROWS`` rows, so its own arrays stay small."""
+def arrow_pass(
+    df: DataFrame, step: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, done: Callable[[], None] | None = None
+) -> DataFrame:
+    """Apply ``step`` to runs of at most ``SLICE_ROWS`` rows, so its own arrays stay small.
+
+    ``done`` runs at the end of a task, to empty caches: workers live on and serve other stages.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE_ROWS):
                 yield step(batch.slice(at, SLICE_ROWS))
             pa.default_memory_pool().release_unused()
+        if done:
+            done()
 
     return df.mapInArrow(run, schema)
 

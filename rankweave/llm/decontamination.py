@@ -46,6 +46,10 @@ def _words() -> TemplateWords:
     return _WORDS[0]
 
 
+def _forget_words() -> None:
+    _WORDS.clear()
+
+
 def _texts(batch: pa.RecordBatch) -> list[str]:
     return ["" if t is None else t for t in batch.column("text").to_pylist()]
 
@@ -189,7 +193,7 @@ def _document_windows(docs: DataFrame, sizes: list[int], bitmap: np.ndarray, bit
             ["doc_id", "text_key", "at", "hash", "slot_value"],
         )
 
-    return arrow_pass(docs.select("doc_id", "text_key", "text"), step, _FOUND)
+    return arrow_pass(docs.select("doc_id", "text_key", "text"), step, _FOUND, _forget_words)
 
 
 def _filling(slots: Column) -> Column:

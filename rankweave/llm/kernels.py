@@ -65,7 +65,7 @@ class Texts:
         return np.searchsorted(self.offsets, starts, "right") - 1
 
 
-def text_slices(column: pa.Array, most: int = 2 * _BLOCK) -> Iterator[Texts]:
+def text_slices(column: pa.Array, most: int = _BLOCK) -> Iterator[Texts]:
     """The rows of a string column (null: empty) in runs of about ``most`` bytes; no row is cut."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()

@@ -66,7 +66,7 @@ def pieces(docs: DataFrame, s: PackingSettings) -> DataFrame:
             ["doc_id", "piece", "start", "length", "ids_crc32"],
         )
 
-    return arrow_pass(docs.select("doc_id", "text"), step, PIECES)
+    return arrow_pass(docs.select("doc_id", "text"), step, PIECES, lambda: word_tokens(path).forget())
 
 
 _STATE = "block long, island int, elite int, item long, length long, bin long, bins long, score double"

@@ -45,7 +45,7 @@ def _hash(text: str) -> int:
 class TemplateWords:
     """Looks every distinct word up once; the table is bounded and only saves repeated work."""
 
-    def __init__(self, most: int = 200_000):
+    def __init__(self, most: int = 150_000):
         self.most = most
         self._reset()
 

@@ -52,7 +52,7 @@ class _Cache(dict):
 class WordTokens:
     """Little-endian unsigned 32-bit ids of texts, as bytes."""
 
-    def __init__(self, path: str | None = None, most: int = 600_000):
+    def __init__(self, path: str | None = None, most: int = 400_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import public_tokenizers
         from tokenizers import Tokenizer
@@ -74,6 +74,10 @@ class WordTokens:
         )
 
 
+    def forget(self) -> None:
+        self._look_up.__self__.clear()
+
+
 _LOADED: dict[str | None, WordTokens] = {}
 
 
