@@ -4,12 +4,16 @@ The minimum covariance determinant (Rousseeuw and Van Driessen, 1999) is estimat
 language and source over all documents that pass the base rules: concentration steps keep the three
 quarters of a group nearest to its centre and take their mean and covariance anew. Each step is two
 aggregations over a narrow table, so a group of any size is summed before it is shuffled.
+
+A statistic that has (nearly) one value in a group's middle half has no scatter to estimate there, for
+example symbols in clean prose: its term of the distance has a fixed standard deviation. All others are
+measured by the group's own covariance, scaled to that of a normal population.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,8 +27,9 @@ from rankweave.llm.common import Scratch
 from rankweave.llm.kernels import Texts, chain, hash_spans, lines, text_slices, words
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_marks")
-# The least standard deviation of each transformed statistic: smaller differences are never odd.
+# The standard deviation of each transformed statistic in groups where its own is (nearly) zero.
 FLOORS = (0.12, 0.05, 0.10, 0.10, 0.06, 0.12)
+NEAR_ZERO = 0.1  # share of its floor below which a standard deviation counts as zero
 WIDTH = len(FLOORS)
 PAIRS = [(i, j) for i in range(WIDTH) for j in range(i, WIDTH)]
 
@@ -103,18 +108,28 @@ def transformed(stats: Column) -> Column:
     )
 
 
-def chi_square_quantile(share: float, degrees: int = WIDTH) -> float:
-    """For an even number of degrees, from the closed form of the distribution."""
-    def below(x: float) -> float:
-        return 1 - math.exp(-x / 2) * sum((x / 2) ** k / math.factorial(k) for k in range(degrees // 2))
+def chi_square_share(x: float, degrees: int) -> float:
+    """The share of the distribution below ``x``, from its closed forms."""
+    half = x / 2
+    if degrees % 2 == 0:
+        return 1 - math.exp(-half) * sum(half**k / math.factorial(k) for k in range(degrees // 2))
+    terms = sum(half ** (k + 0.5) / math.gamma(k + 1.5) for k in range(degrees // 2))
+    return math.erf(math.sqrt(half)) - math.exp(-half) * terms
 
+
+def chi_square_quantile(share: float, degrees: int = WIDTH) -> float:
     low, high = 0.0, 400.0
     for _ in range(80):
         middle = (low + high) / 2
-        low, high = (middle, high) if below(middle) < share else (low, middle)
+        low, high = (middle, high) if chi_square_share(middle, degrees) < share else (low, middle)
     return low
 
 
+def consistency(core: float, degrees: int) -> float:
+    """What the covariance of the nearest ``core`` of a normal population is short of the whole's."""
+    return core / chi_square_share(chi_square_quantile(core, degrees), degrees + 2)
+
+
 @dataclass(frozen=True)
 class OutlierSettings:
     """``core``: share of a group that the determinant is taken over; ``reject``: share of a normal
@@ -129,28 +144,57 @@ class OutlierSettings:
     broadcast_groups: int = 20_000
 
 
-def _distance(point: str = "x") -> Column:
-    """Squared Mahalanobis distance of array ``point`` under columns ``centre`` and ``inverse``."""
-    off = [F.col(point)[i] - F.col("centre")[i] for i in range(WIDTH)]
-    terms = [(1 if i == j else 2) * off[i] * off[j] * F.col("inverse")[i * WIDTH + j] for i, j in PAIRS]
-    return sum(terms[1:], terms[0])
+def _off(i: int) -> Column:
+    return F.col("x")[i] - F.col("centre")[i]
+
+
+def _estimated() -> Column:
+    """Squared Mahalanobis distance of ``x`` over the statistics whose scatter is estimated."""
+    return sum(((1 if i == j else 2) * _off(i) * _off(j) * F.col("inverse")[i * WIDTH + j] for i, j in PAIRS), F.lit(0.0))
 
 
-def _invert(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """One row per group: covariance to its inverse and log determinant."""
-    for frame in frames:
-        cov = np.zeros((len(frame), WIDTH, WIDTH))
-        flat = np.stack(frame["cov"].to_list()) if len(frame) else np.zeros((0, len(PAIRS)))
-        for k, (i, j) in enumerate(PAIRS):
-            cov[:, i, j] = cov[:, j, i] = flat[:, k]
-        cov += np.diag(np.square(FLOORS))
-        yield pd.DataFrame({
-            "grp": frame["grp"], "centre": frame["centre"],
-            "inverse": list(np.linalg.inv(cov).reshape(len(frame), -1)), "log_det": np.linalg.slogdet(cov)[1],
-        })
+def _fixed() -> Column:
+    """The same over those that have a floor for a standard deviation."""
+    return sum(
+        (F.when(F.col("still")[i], F.pow(_off(i) / FLOORS[i], 2)).otherwise(F.lit(0.0)) for i in range(WIDTH)), F.lit(0.0)
+    )
+
 
+def _invert(core: float) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """One row per group: covariance of the nearest ``core`` of it to its inverse and log determinant.
+
+    Statistics that were still, or whose variance is (nearly) zero, are still: zero in the inverse.
+    """
 
-_PARAMS = "grp string, centre array<double>, inverse array<double>, log_det double"
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        scale = [1.0, *(consistency(core, k) if core < 1 else 1.0 for k in range(1, WIDTH + 1))]
+        for frame in frames:
+            inverses, stills, log_dets, degrees = [], [], [], []
+            for flat, was in zip(frame["cov"], frame["still"]):
+                cov = np.zeros((WIDTH, WIDTH))
+                for value, (i, j) in zip(flat, PAIRS):
+                    cov[i, j] = cov[j, i] = value
+                still = np.array(was, bool) | (np.diag(cov) < np.square(NEAR_ZERO * np.array(FLOORS)))
+                live = np.flatnonzero(~still)
+                part = cov[np.ix_(live, live)] * scale[len(live)]
+                part += np.diag(1e-6 * np.diag(part))  # two statistics may be one
+                inverse = np.zeros((WIDTH, WIDTH))
+                inverse[np.ix_(live, live)] = np.linalg.inv(part)
+                inverses.append(inverse.reshape(-1))
+                stills.append(still)
+                degrees.append(len(live))
+                log_dets.append(np.linalg.slogdet(part)[1] + 2 * np.log(np.array(FLOORS)[still]).sum())
+            yield pd.DataFrame({
+                "grp": frame["grp"], "centre": frame["centre"], "inverse": inverses, "still": stills,
+                "degrees": pd.Series(degrees, dtype="int32"), "log_det": pd.Series(log_dets, dtype="float64"),
+            })
+
+    return run
+
+
+_PARAMS = (
+    "grp string, centre array<double>, inverse array<double>, still array<boolean>, degrees int, log_det double"
+)
 
 
 class RobustGroups:
@@ -181,23 +225,22 @@ class RobustGroups:
         return known.withColumn("grp", F.coalesce("grp", F.lit("[]")))
 
     def _placed(self, params: DataFrame) -> DataFrame:
-        return self.points.join(self._side(params), "grp").withColumn("d", _distance())
+        return self.points.join(self._side(params), "grp")
 
-    def _moments(self, near: DataFrame) -> DataFrame:
-        """Mean and covariance of the rows of ``near(grp, x, centre)``, summed about the old centre."""
-        off = [F.col("x")[i] - F.col("centre")[i] for i in range(WIDTH)]
+    def _moments(self, near: DataFrame, core: float) -> DataFrame:
+        """Mean and covariance of the rows of ``near(grp, x, centre, still)``, summed about the old centre."""
         sums = near.groupBy("grp").agg(
-            F.count("*").alias("n"), F.first("centre").alias("old"),
-            *[F.sum(off[i]).alias(f"s{i}") for i in range(WIDTH)],
-            *[F.sum(off[i] * off[j]).alias(f"q{i}_{j}") for i, j in PAIRS],
+            F.count("*").alias("n"), F.first("centre").alias("old"), F.first("still").alias("still"),
+            *[F.sum(_off(i)).alias(f"s{i}") for i in range(WIDTH)],
+            *[F.sum(_off(i) * _off(j)).alias(f"q{i}_{j}") for i, j in PAIRS],
         )
         mean = [F.col(f"s{i}") / F.col("n") for i in range(WIDTH)]
         flat = sums.select(
-            "grp",
+            "grp", "still",
             F.array(*[F.col("old")[i] + mean[i] for i in range(WIDTH)]).alias("centre"),
             F.array(*[F.col(f"q{i}_{j}") / F.col("n") - mean[i] * mean[j] for i, j in PAIRS]).alias("cov"),
         )
-        return self.scratch.store(flat.mapInPandas(_invert, _PARAMS))
+        return self.scratch.store(flat.mapInPandas(_invert(core), _PARAMS))
 
     def _start(self) -> DataFrame:
         """Medians and quartile ranges, coordinate by coordinate."""
@@ -209,26 +252,29 @@ class RobustGroups:
             "grp",
             F.array(*[F.col(f"c{i}")[1] for i in range(WIDTH)]).alias("centre"),
             F.array(*[spread(i) if i == j else F.lit(0.0) for i, j in PAIRS]).alias("cov"),
+            F.array(*[F.lit(False)] * WIDTH).alias("still"),
         )
-        return self.scratch.store(flat.mapInPandas(_invert, _PARAMS))
+        return self.scratch.store(flat.mapInPandas(_invert(1.0), _PARAMS))
 
     def _scaled(self, params: DataFrame) -> DataFrame:
         """``params`` with the factor that makes the core's distance limit that of a normal population."""
+        core = self.settings.core
         cut = self._placed(params).groupBy("grp").agg(
-            F.percentile_approx("d", self.settings.core, 10_000).alias("limit")
+            F.percentile_approx(_estimated(), core, 10_000).alias("limit")
         )
-        whole = params.join(self._side(cut), "grp")
-        # A core narrower than the floors allow is not widened: the factor never exceeds 1.
-        ratio = chi_square_quantile(self.settings.core) / F.greatest(F.col("limit"), F.lit(1e-9))
-        return whole.withColumn("factor", F.least(F.lit(1.0), ratio))
+        limits = F.array(*[F.lit(chi_square_quantile(core, k) if k else 0.0) for k in range(WIDTH + 1)])
+        factor = F.when(F.col("limit") > 1e-9, limits[F.col("degrees")] / F.col("limit")).otherwise(F.lit(1.0))
+        return params.join(self._side(cut), "grp").withColumn("factor", factor)
 
     def fit(self) -> DataFrame:
-        """grp, centre, inverse, factor."""
-        params, before = self._start(), None
+        """grp, centre, inverse, still, factor."""
+        core, params, before = self.settings.core, self._start(), None
         for _ in range(self.settings.steps):
-            scaled = self.scratch.store(self._scaled(params))
-            core = self.points.join(self._side(scaled), "grp").filter(_distance() <= F.col("limit"))
-            params = self._moments(core)
+            cut = self._placed(params).groupBy("grp").agg(
+                F.percentile_approx(_estimated() + _fixed(), core, 10_000).alias("limit")
+            )
+            limited = self.scratch.store(params.join(self._side(cut), "grp"))
+            params = self._moments(self._placed(limited).filter(_estimated() + _fixed() <= F.col("limit")), core)
             volume = params.agg(F.sum("log_det"), F.count("*")).first()
             if before is not None and abs(volume[0] - before) <= self.settings.tolerance * volume[1]:
                 break
@@ -237,10 +283,12 @@ class RobustGroups:
             before = volume[0]
         # The customary reweighting: all rows but the outlying fortieth of a normal population.
         scaled = self.scratch.store(self._scaled(params))
-        inside = self.points.join(self._side(scaled), "grp").filter(
-            _distance() * F.col("factor") <= chi_square_quantile(0.975)
-        )
-        return self.scratch.store(self._scaled(self._moments(inside)))
+        inside = self._placed(scaled).filter(scaled_distance() <= chi_square_quantile(0.975))
+        return self.scratch.store(self._scaled(self._moments(inside, 1.0)))
+
+
+def scaled_distance() -> Column:
+    return _estimated() * F.col("factor") + _fixed()
 
 
 def judge(docs: DataFrame, settings: OutlierSettings = OutlierSettings()) -> DataFrame:
@@ -261,7 +309,7 @@ def judge(docs: DataFrame, settings: OutlierSettings = OutlierSettings()) -> Dat
     groups = RobustGroups(scratch, points, settings)
     fitted = groups.fit()
     placed = groups._named(rows).join(groups._side(fitted), "grp", "left")
-    distance = F.coalesce(_distance() * F.col("factor"), F.lit(0.0))
+    distance = F.coalesce(scaled_distance(), F.lit(0.0))
     limit = chi_square_quantile(1 - settings.reject)
     return placed.select(
         "doc", "stats", "base_failed", distance.alias("distance"),

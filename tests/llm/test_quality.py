@@ -42,6 +42,21 @@ def test_planted_outliers_go_and_prose_stays(spark):
     assert kept == set(range(600))
 
 
+def test_scatter_of_the_group_decides(spark):
+    rng = random.Random(7)
+
+    def prose(length):
+        sizes = [int(length + rng.random()) for _ in range(200)]
+        return " ".join("".join(rng.choice("abcdefghijklm") for _ in range(n)) for n in sizes)
+
+    rows = [(i, prose(rng.uniform(4.7, 5.3)), "en", "narrow", 0) for i in range(300)]
+    rows += [(300 + i, prose(rng.uniform(4, 8)), "en", "wide", 0) for i in range(300)]
+    probe = prose(7)
+    rows += [(1000, probe, "en", "narrow", 0), (1001, probe, "en", "wide", 0)]
+    kept = {r.doc_id for r in quality.keep_good(documents(spark, rows)).collect()}
+    assert kept == {*range(600), 1001}
+
+
 def test_edges(spark):
     judged = quality.judge(documents(spark, clashes=True)).collect()
     assert len(judged) == len(ROWS) and all(r.base_failed for r in judged if r.doc.doc_id != 5)
@@ -55,3 +70,8 @@ def test_chi_square_quantile(share):
     x = quality.chi_square_quantile(share, 2)
     import math
     assert abs((1 - math.exp(-x / 2)) - share) < 1e-9
+
+
+@pytest.mark.parametrize("x, degrees, share", [(3.841459, 1, 0.95), (7.814728, 3, 0.95), (12.591587, 6, 0.95)])
+def test_chi_square_share(x, degrees, share):
+    assert abs(quality.chi_square_share(x, degrees) - share) < 1e-6
