@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from importlib import resources
+
 # Spellings that mean the same in licenses, (found, canonical), on canonical words.
 EQUIVALENT = (
     ("licence", "license"), ("licences", "licenses"), ("licenced", "licensed"), ("licencing", "licensing"),
@@ -70,7 +74,21 @@ required.
 
 3. This notice may not be removed or altered from any source distribution."""
 
-# The texts of short public licenses.
+_END = re.compile(r"^[ \t]*END OF TERMS AND CONDITIONS[^\n]*\n", re.MULTILINE)
+
+
+def _full_texts() -> dict[str, str]:
+    """The published texts in ``license_files``; those with an appendix on their use also without it."""
+    out = {}
+    for file in resources.files(__package__).joinpath("license_files").iterdir():
+        name, text = file.name.removesuffix(".txt"), file.read_text(encoding="utf-8")
+        out[name] = text
+        if (end := _END.search(text)) and text[end.end() :].strip():
+            out[f"{name} (terms)"] = text[: end.end()]
+    return out
+
+
+# The texts of public licenses.
 LICENSE_TEXTS = {
     "MIT": _MIT_GRANT.format(conditions=_MIT_CONDITIONS) + _MIT_WARRANTY,
     "MIT (titled)": "MIT License\n\n" + _MIT_GRANT.format(conditions=_MIT_CONDITIONS) + _MIT_WARRANTY,
@@ -82,6 +100,7 @@ LICENSE_TEXTS = {
     "BSD-2-Clause": _BSD_GRANT + _BSD_WARRANTY,
     "BSD-3-Clause": _BSD_GRANT + _BSD_NAMES + _BSD_WARRANTY,
     "Zlib": _ZLIB,
+    **_full_texts(),
 }
 
 # Names that notices use for licenses.
@@ -114,3 +133,18 @@ def notice_rows() -> list[tuple[str, str]]:
     """(license, notice): the usual sentences with every name, and the machine-readable line."""
     out = [(key, said.format(name)) for key, names in NAMES.items() for name in names for said in _SAID]
     return out + [(key, f"SPDX-License-Identifier: {key}") for key in NAMES]
+
+
+def notice_marks() -> list[str]:
+    """A few words of which every line with the canonical form of a notice holds one, as it is spelt there.
+
+    Only words that EQUIVALENT neither replaces nor puts in: those stand in the line itself.
+    """
+    respelt = {word for pair in EQUIVALENT for form in pair for word in form.split()}
+    left = [set(re.findall(r"[^\W_]+", text.lower())) - respelt for _, text in notice_rows()]
+    marks = []
+    while left:
+        held = Counter(word for words in left for word in words)
+        marks.append(min(held, key=lambda word: (-held[word], word)))
+        left = [words for words in left if marks[-1] not in words]
+    return marks

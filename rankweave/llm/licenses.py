@@ -10,13 +10,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankweave.llm.license_texts import EQUIVALENT, LICENSE_TEXTS, notice_rows
+from rankweave.llm.license_texts import EQUIVALENT, LICENSE_TEXTS, notice_marks, notice_rows
 
 
 COPYRIGHT_LINE = (
     r"^[^\n]*(copyright \(c\)|\(c\) copyright|copyright ©|copyright [0-9]|all rights reserved)[^\n]*$"
 )
-STEMS = "licen[cs]|spdx|public domain"  # known notices all have one, so only lines with one are hashed
+STEMS = "licen[cs]|spdx|public domain"  # the SQL counterpart looks at lines with one of these only
 
 
 def canonical(text: Column) -> Column:
@@ -53,14 +53,15 @@ def scan(docs: DataFrame) -> DataFrame:
     license. Rows of equal doc_id and text count as one document and all get the result; null doc_ids stay.
     """
     spark = docs.sparkSession
+    marks = "|".join(notice_marks())  # a line without one of them is no notice and need not be hashed
     keyed = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"),
         F.coalesce("text", F.lit("")).alias("text"),
     )
     whole = keyed.select("doc_id", "text_key", digest(F.col("text")).alias("digest"))
     lines = (
-        keyed.filter(F.lower("text").rlike(STEMS)).dropDuplicates(["doc_id", "text_key"])
-        .select("doc_id", "text_key", F.explode(F.split("text", "\n")).alias("line")).filter(F.lower("line").rlike(STEMS))
+        keyed.filter(F.lower("text").rlike(marks)).dropDuplicates(["doc_id", "text_key"])
+        .select("doc_id", "text_key", F.explode(F.split("text", "\n")).alias("line")).filter(F.lower("line").rlike(marks))
         .select("doc_id", "text_key", digest(F.col("line")).alias("known"))
     )
     noted = lines.join(F.broadcast(known_notices(spark)), "known").groupBy(  # a fixed table of one-liners

@@ -6,7 +6,7 @@ import __spark_entry__ as entry
 from compare import differences, duck
 from edge_rows import ROWS, documents, empty
 from rankweave.llm import licenses
-from rankweave.llm.license_texts import LICENSE_TEXTS
+from rankweave.llm.license_texts import LICENSE_TEXTS, notice_rows
 
 
 def test_matches_sql(spark, folder):
@@ -37,6 +37,20 @@ def test_notices(spark):
     assert got[1].digest == hashlib.sha256(b"licensed under cc by nc 4 0").hexdigest()
 
 
+def test_every_notice_is_found(spark):
+    rows = notice_rows()
+    got = scan(spark, *[text for _, text in rows], "x\n* This software is RELEASED under the GPLv3.\ny")
+    assert [got[i].notices for i in range(len(rows))] == [name for name, _ in rows]
+    assert got[len(rows)].notices == "GPL-3.0"
+
+
+def test_full_texts(spark):
+    names = ["Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0"]
+    got = scan(spark, *[" ".join(LICENSE_TEXTS[n].split()[:-1]) + "\n\n" + LICENSE_TEXTS[n].split()[-1] for n in names[5:]],
+               *[LICENSE_TEXTS[n].replace("\n", "\r\n") for n in names], LICENSE_TEXTS["Apache-2.0 (terms)"])
+    assert [got[i].license for i in range(len(got))] == [*names[5:], *names, "Apache-2.0 (terms)"]
+
+
 def test_edges(spark):
     rows = licenses.scan(documents(spark, clashes=True)).collect()
     assert len(rows) == len(ROWS) and all(r.license is None and r.notices == "" for r in rows)
