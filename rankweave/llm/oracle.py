@@ -113,3 +113,85 @@ FROM whole w LEFT JOIN known k ON k.digest = w.digest LEFT JOIN noted USING (doc
 
 SQL["op6_license_scan"] = _license_scan()
 SQL["op2_secret_scan"] = _secret_scan()
+
+
+def _walsh_clusters(rounds: int = 3, clusters: int = 16, scale: int = 64) -> str:
+    """Three rounds written out: vectors and centroids as (row, component, value), joined on the component."""
+    nearest = """
+        SELECT row, cluster, distance FROM (
+            SELECT x.row, c.cluster, sum((x.x - c.x) * (x.x - c.x))::BIGINT AS distance
+            FROM parts x JOIN centroids{n} c USING (component) GROUP BY 1, 2
+        ) QUALIFY row_number() OVER (PARTITION BY row ORDER BY distance, cluster) = 1"""
+    steps = [f"""
+centroids0 AS (
+    SELECT cluster, component, x FROM parts JOIN (
+        SELECT row, (row_number() OVER (ORDER BY sha256('{1}:' || vec_id)) - 1)::INT AS cluster FROM kept
+        QUALIFY cluster < {clusters}
+    ) USING (row)
+)"""]
+    for n in range(rounds):
+        steps.append(f"near{n} AS ({nearest.format(n=n)})")
+        steps.append(f"""
+means{n} AS (
+    SELECT cluster, component, sum(x)::HUGEINT AS s, count(*)::HUGEINT AS m
+    FROM parts JOIN near{n} USING (row) GROUP BY 1, 2
+), centroids{n + 1} AS (
+    SELECT cluster, component,
+        CASE WHEN m IS NULL THEN c.x ELSE ((s - ((s % m) + m) % m) // m)::BIGINT END AS x
+    FROM centroids{n} c LEFT JOIN means{n} USING (cluster, component)
+)""")
+    return f"""
+WITH kept AS (
+    SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda e: floor({scale} * e::DOUBLE)::BIGINT) AS x
+    FROM embeddings
+    WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = 64
+), parts AS (
+    SELECT row, unnest(x) AS x, generate_subscripts(x, 1) AS component FROM kept
+), {', '.join(steps)}, final AS ({nearest.format(n=rounds)}),
+hashes AS (
+    SELECT cluster, sha256(string_agg(x::VARCHAR, ',' ORDER BY component)) AS centroid_sha256
+    FROM centroids{rounds} GROUP BY cluster
+)
+SELECT vec_id, cluster, distance, sum(distance) OVER (PARTITION BY cluster)::BIGINT AS cluster_inertia,
+    sum(distance) OVER ()::BIGINT AS inertia, centroid_sha256
+FROM final JOIN kept USING (row) JOIN hashes USING (cluster)
+"""
+
+
+SQL["op12_walsh_clusters"] = _walsh_clusters()
+
+SQL["op13_source_divergence"] = r"""
+WITH docs AS (
+    SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+    FROM documents
+), met AS (
+    SELECT row, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs
+), kept AS (
+    SELECT lang, term, count(*)::HUGEINT AS n FROM met GROUP BY 1, 2 HAVING count(DISTINCT row) >= 3
+), counts AS (
+    SELECT lang, source, term, count(*)::HUGEINT AS n FROM met SEMI JOIN kept USING (lang, term) GROUP BY 1, 2, 3
+), langs AS (
+    SELECT lang, count(*)::HUGEINT AS v, sum(n)::HUGEINT AS lang_n FROM kept GROUP BY 1
+), groups AS (
+    SELECT g.lang, g.source, coalesce(v, 0) AS v, coalesce(lang_n, 0) AS lang_n, coalesce(group_n, 0)::HUGEINT AS group_n
+    FROM (SELECT DISTINCT lang, source FROM docs) g LEFT JOIN langs USING (lang)
+    LEFT JOIN (SELECT lang, source, sum(n) AS group_n FROM counts GROUP BY 1, 2) USING (lang, source)
+), shares AS (
+    SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+        1 + 1000000000 * (coalesce(c.n, 0) + 1) // (group_n + v) AS p, 1 + 1000000000 * (k.n + 1) // (lang_n + v) AS q
+    FROM groups g JOIN kept k USING (lang) LEFT JOIN counts c USING (lang, source, term)
+), pairs AS (
+    SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+    FROM shares a JOIN shares b ON b.lang = a.lang AND b.term = a.term AND b.source <> a.source GROUP BY 1, 2, 3
+), rows AS (
+    SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+    FROM groups a JOIN groups b ON b.lang = a.lang AND b.source <> a.source
+    LEFT JOIN pairs p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source
+    UNION ALL
+    SELECT lang, source, 'term', term, ((p - q) * (p - q) // q)::BIGINT FROM shares WHERE n > 0 AND p > q
+)
+SELECT lang, source, part, item, value,
+    row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank
+FROM rows QUALIFY part = 'pair' OR rank <= 200
+"""

@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankweave.llm import decontamination, licenses, line_dedup, near_dedup, oracle, packing, pii, quality, secret_scan, sharding, toxicity
+from rankweave.llm import (
+    decontamination, divergence, licenses, line_dedup, near_dedup, oracle, packing, pii, quality, secret_scan, sharding,
+    toxicity, walsh_clusters,
+)
 from rankweave.llm.common import prepare, table
 
 
@@ -71,6 +74,16 @@ def op10_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     return pii.find(table(spark, folder, "documents"))
 
 
+def op12_walsh_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    """Sixteen clusters of the vectors after three rounds, assigned by a progressive Walsh-Hadamard search."""
+    return walsh_clusters.cluster(table(spark, folder, "embeddings"))
+
+
+def op13_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    """How far each source of a language strays from its peers, and by which terms."""
+    return divergence.audit(table(spark, folder, "documents"))
+
+
 _QUERIES = [
     op1_benchmark_decontamination,
     op2_secret_scan,
@@ -82,6 +95,8 @@ _QUERIES = [
     op8_best_fit_packing,
     op9_line_dedup,
     op10_personal_data,
+    op12_walsh_clusters,
+    op13_source_divergence,
 ]
 
 
