@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankweave.llm import (
-    decontamination, divergence, licenses, line_dedup, near_dedup, oracle, packing, pii, quality, secret_scan, sharding,
+    decontamination, divergence, extraction, licenses, line_dedup, near_dedup, oracle, packing, pii, quality, secret_scan, sharding,
     toxicity, walsh_clusters,
 )
 from rankweave.llm.common import prepare, table
@@ -74,6 +74,11 @@ def op10_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     return pii.find(table(spark, folder, "documents"))
 
 
+def op11_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of every page by wrappers inferred per host."""
+    return extraction.extract(table(spark, folder, "pages"))
+
+
 def op12_walsh_clusters(spark: SparkSession, folder: str) -> DataFrame:
     """Sixteen clusters of the vectors after three rounds, assigned by a progressive Walsh-Hadamard search."""
     return walsh_clusters.cluster(table(spark, folder, "embeddings"))
@@ -95,6 +100,7 @@ _QUERIES = [
     op8_best_fit_packing,
     op9_line_dedup,
     op10_personal_data,
+    op11_html_extraction,
     op12_walsh_clusters,
     op13_source_divergence,
 ]
