@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
+from rankweave.functions.sql_hash import md5_draw as h
 from rankweave.operators.prep import hash_cut
+from rankweave.plans import registry, rotation_oracle
 from rankweave.plans.search import EXPLICIT_DEFAULTS, EXPLICIT_SPACE, IMPLICIT_SPACE
 
 
-def h(*parts) -> str:
-    joined = " || '-' || ".join(p if isinstance(p, str) else f"'{p}'" for p in parts)
-    return f"('0x' || substr(md5({joined}), 1, 8))::BIGINT"
-
-
 RATINGS = f"""ratings AS (
   SELECT user_id, item_id, rating, ts, {h(42, 'user_id', 'item_id')} AS h FROM (
     SELECT o_custkey AS user_id, l_partkey AS item_id, ceil(l_quantity / 10)::DOUBLE AS rating, o_orderdate AS ts,
@@ -165,16 +162,19 @@ est AS (
 folds AS (SELECT fold::INTEGER AS fold, sqrt(avg((rating - estimate) ** 2)) AS rmse,
                  avg(abs(rating - estimate)) AS mae, count(*) AS n_predictions FROM est GROUP BY 1)"""
 
+LINKS = """SELECT p_partkey AS item_id, ('0x' || substr(md5(feature), 1, 15))::BIGINT AS feature_id, 1.0::DOUBLE AS value
+  FROM (SELECT p_partkey, unnest(['brand=' || p_brand, 'type=' || p_type, 'size=' || p_size]) AS feature FROM part)"""
 ENCODED_ITEMS = "dict AS (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS idx FROM (SELECT DISTINCT item_id FROM ratings))"
 
 
-def triples(n: int) -> str:
+def triples(n: int, redraws: int = 0) -> str:
     return f"""triples AS (
   SELECT user_id, item_id, draw::INTEGER AS draw, negative_id FROM (
     SELECT p.user_id, p.item_id, draw, d.item_id AS negative_id
     FROM (SELECT *, {h(42, "'0'", 'user_id', 'item_id', 'draw')} % (SELECT count(*) FROM dict) AS idx
-          FROM pos, range({n}) r(draw)) p JOIN dict d USING (idx)) t
-  WHERE NOT EXISTS (SELECT 1 FROM pos s WHERE s.user_id = t.user_id AND s.item_id = t.negative_id))"""
+          FROM pos, range({n + redraws}) r(draw)) p JOIN dict d USING (idx)) t
+  WHERE NOT EXISTS (SELECT 1 FROM pos s WHERE s.user_id = t.user_id AND s.item_id = t.negative_id)
+  QUALIFY row_number() OVER (PARTITION BY user_id, item_id ORDER BY draw) <= {n})"""
 
 
 def draw(entry) -> str:
@@ -393,7 +393,17 @@ def _query_sql() -> dict[str, str]:
         "list_novelty": with_(*POPULAR_JUDGED, NOVELTY) + "SELECT round(avg(v), 6) AS novelty, count(*) AS n_lists FROM nov",
         "ranking_report": report_sql(),
         "metric_report": compare_sql(),
-        "bpr_triples": with_(SPLIT, ENCODED_ITEMS, triples(3)) + "SELECT * FROM triples",
+        "bpr_triples": with_(SPLIT, ENCODED_ITEMS, triples(3, registry.REDRAWS)) + "SELECT * FROM triples",
+        "training_negatives": with_(
+            SPLIT, rotation_oracle.dealt(registry.ROUND["bpr"], "pos", "ratings"), rotation_oracle.negatives(registry.ROUND["bpr"]),
+        ) + "SELECT user_id, item_id, draw::INTEGER AS draw, other AS negative_id FROM chosen",
+        "bpr_round": with_(SPLIT, rotation_oracle.epoch(registry.ROUND["bpr"], "pos", "ratings")) + "SELECT * FROM trained",
+        "lmf_round": with_(SPLIT, rotation_oracle.epoch(registry.ROUND["logistic"], "pos", "ratings")) + "SELECT * FROM trained",
+        "warp_round": with_(SPLIT, rotation_oracle.epoch(registry.ROUND["warp"], "pos", "ratings", LINKS)) + "SELECT * FROM trained",
+        "hybrid_bpr_round": with_(SPLIT, rotation_oracle.epoch(registry.HYBRID_BPR, "pos", "ratings", LINKS)) + "SELECT * FROM trained",
+        "sgd_round": with_(
+            SPLIT, rotation_oracle.epoch(registry.ROUND["squared"], "(SELECT user_id, item_id, rating AS value FROM train)", "train"),
+        ) + "SELECT * FROM trained",
         "warp_first_violation": with_(
             SPLIT, VECTORS, ENCODED_ITEMS, triples(10),
             "tried AS (SELECT t.*, row_number() OVER (PARTITION BY t.user_id, t.item_id ORDER BY draw) AS rn "

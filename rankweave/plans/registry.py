@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankweave.operators import als, biases, metrics, pairwise, prep, sampling, scoring, stats, topk
+from rankweave.operators import als, biases, metrics, pairwise, prep, rotation, sampling, scoring, stats, topk
 from rankweave.operators.model import FactorModel
 from rankweave.plans import evaluate, search
 from rankweave.session import cut_lineage, fresh_path, ship_package, write_and_read
@@ -17,6 +18,12 @@ from rankweave.sources import sinks, tables
 KS = [5, 10, 20]
 TOP_N = 20
 REG_USER, REG_ITEM = 5.0, 5.0
+REDRAWS = rotation.REDRAWS
+# One epoch in four blocks, a step per cell: what SQL repeats.
+_STEP = dict(factors=4, rounds=1, passes=1, learning_rate=0.1, user_reg=0.01, item_reg=0.02, batch=1 << 40, blocks=4)
+ROUND = {loss: rotation.RotationSettings(loss=loss, **_STEP) for loss in rotation.LOSSES}
+ROUND["squared"] = replace(ROUND["squared"], offset=3.0, learning_rate=0.02, user_bias_reg=0.03, item_bias_reg=0.04)
+HYBRID_BPR = ROUND["bpr"]
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -507,7 +514,60 @@ def metric_report(spark, folder):
 @query
 def bpr_triples(spark, folder):
     split = Split(spark, folder)
-    return sampling.sample_triples(split.positives, prep.encode_ids(split.ratings, "item_id"))
+    return sampling.sample_triples(split.positives, prep.encode_ids(split.ratings, "item_id"), redraws=REDRAWS)
+
+
+@query
+def training_negatives(spark, folder):
+    """The negatives that training draws, redrawn where they are positives, in the blocks of its first epoch."""
+    split = Split(spark, folder)
+    return pairwise.rotation(split.positives, split.ratings, ROUND["bpr"]).negatives()
+
+
+def _trained(run: rotation.Rotation) -> DataFrame:
+    """Every parameter after one epoch; factors from 1, the bias at 0."""
+    run.run()
+    rows = run.users().withColumn("kind", F.lit("user")).withColumnRenamed("user_id", "id").unionByName(
+        run.features().withColumn("kind", F.lit("feature")).withColumnRenamed("feature_id", "id")
+    )
+    cells = F.posexplode(F.concat(F.array("bias"), "factors")).alias("factor_id", "v")
+    return rows.select("kind", "id", cells).select("kind", "id", "factor_id", r6("v", "value"))
+
+
+@query
+def bpr_round(spark, folder):
+    split = Split(spark, folder)
+    return _trained(pairwise.rotation(split.positives, split.ratings, ROUND["bpr"]))
+
+
+@query
+def lmf_round(spark, folder):
+    split = Split(spark, folder)
+    return _trained(pairwise.rotation(split.positives, split.ratings, ROUND["logistic"]))
+
+
+@query
+def sgd_round(spark, folder):
+    train = Split(spark, folder).train
+    samples = train.select("user_id", "item_id", F.col("rating").alias("value"))
+    return _trained(rotation.Rotation(samples, train, ROUND["squared"]))
+
+
+def _hybrid_round(spark, folder, settings) -> DataFrame:
+    split = Split(spark, folder)
+    links = pairwise.feature_links(tables.item_features(spark, folder), universe=split.ratings)
+    return _trained(pairwise.hybrid_rotation(split.positives, links, settings))
+
+
+@query
+def warp_round(spark, folder):
+    """Rank-weighted steps over features that items of all blocks share."""
+    return _hybrid_round(spark, folder, ROUND["warp"])
+
+
+@query
+def hybrid_bpr_round(spark, folder):
+    return _hybrid_round(spark, folder, HYBRID_BPR)
 
 
 @query
