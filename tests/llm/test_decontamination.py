@@ -2,9 +2,13 @@
 
 import re
 
+import pyarrow as pa
+import pytest
+
 from edge_rows import ROWS, documents, empty
 from rankweave.llm import decontamination
-from rankweave.llm.templates import TemplateWords
+from rankweave.llm.kernels import text_slices
+from rankweave.llm.templates import NUMBER_WORDS, UNITS, canonical
 
 QUESTION = "A train leaves the big station with {} cars and each car carries {} kg of coal for {} to the port."
 ITEMS = [
@@ -67,8 +71,87 @@ def test_edges(spark):
     assert decontamination.contaminated(empty(spark), benchmark(spark)).count() == 0
 
 
+MARBLES = "{0} has 5 marbles. {0} buys 7 more marbles at the shop. {0} loses 3 marbles. How many marbles does {0} have now?"
+
+
+@pytest.mark.parametrize("name", ["Maria", "Mary Ann", "Tom"])
+def test_names_that_open_sentences(spark, name):
+    docs = spark.createDataFrame([(1, "We read this. " + MARBLES.format(name) + " Yes.")], "doc_id long, text string")
+    found = decontamination.contaminated(docs, benchmark(spark, [(1, MARBLES.format("Tom"))])).collect()
+    assert [(r.doc_id, r.item_id, r.kind) for r in found] == [(1, 1, "exact" if name == "Tom" else "reparameterised")]
+
+
+def test_values_of_other_lengths_and_added_words(spark):
+    text = QUESTION.format("five hundred", 7, "Mary Ann").replace("each car", "each single car")
+    docs = spark.createDataFrame([(1, "so it says " + text)], "doc_id long, text string")
+    found = decontamination.contaminated(docs, benchmark(spark)).collect()
+    assert [(r.doc_id, r.item_id, r.kind) for r in found] == [(1, 1, "reparameterised")]
+
+
+def test_two_items_of_one_template_are_two_rows(spark):
+    docs = spark.createDataFrame(
+        [(1, QUESTION.format(15, 9, "Maria") + " And more. " + QUESTION.format(12, 7, "Maria"))], "doc_id long, text string"
+    )
+    found = decontamination.contaminated(docs, benchmark(spark)).collect()
+    assert sorted((r.doc_id, r.item_id, r.kind) for r in found) == [(1, 1, "exact"), (1, 2, "exact")]
+    assert len({r.from_word for r in found}) == 2
+
+
+def test_edited_copy_names_its_item(spark):
+    cut = QUESTION.format(15, 9, "Maria").split(" to the port")[0].rsplit(" for ", 1)[0]
+    docs = spark.createDataFrame([(1, "well " + cut + " and stops")], "doc_id long, text string")
+    found = decontamination.contaminated(docs, benchmark(spark)).collect()
+    assert [(r.item_id, r.kind) for r in found] == [(2, "edited")] and 0.5 <= found[0].coverage < 1
+
+
+def tokens(*texts):
+    (held,) = text_slices(pa.array(texts))
+    return canonical(held)
+
+
 def test_canonical_tokens():
-    c = TemplateWords().canonical(["We saw Anna walk 5 km. Then 5km", "WE SAW"])
+    c = tokens("We saw Anna walk 5 km. Then 5km", "WE SAW")
     assert c.row.tolist() == [0] * 9 + [1] * 2
     assert c.slot.tolist() == [False, False, True, False, True, True, False, True, True, False, False]
     assert c.code[4] == c.code[7] and c.code[5] == c.code[8] and c.code[0] == c.code[9]
+
+
+def test_runs_and_odd_words():
+    c = tokens("he met Mary Ann Lee and paid five hundred dollars", "(“Été”) — naïve, été Ä 12,5% $3 £4")
+    assert c.row.tolist() == [0] * 7 + [1] * 7
+    assert c.slot.tolist()[:7] == [False, False, True, False, False, True, True]
+    assert c.value[7] == c.value[9] and c.slot.tolist()[11:] == [True] * 3
+    named = tokens("Mary Ann has 5. He met Bob").with_names()
+    assert named.name.tolist() == [True, False, False, True, False, True] and named.place.tolist() == [0, 2, 3, 4, 5, 6]
+
+
+def slow_tokens(text):
+    """Kinds by rule, word by word, for texts of ASCII words without quotes."""
+    out, opening = [], True
+    for line in text.split("\n"):
+        opening = True
+        for word in line.split():
+            core = re.sub(r"^[^\w$+-]+|[^\w%$]+$", "", word)
+            if any(c.isalnum() for c in core):
+                capital = core[0].isupper() and any(c.islower() for c in core[1:]) and core.lower() not in NUMBER_WORDS | UNITS
+                out.append((core.lower(), capital and not opening, capital and opening))
+                opening = False
+            opening |= bool(re.search(r"[.!?:]\W*$", word)) and word[-1] in '.!?:")'
+    return out
+
+
+def test_classes_match_brute_force(spark, folder):
+    docs = [r.text for r in spark.read.parquet(f"{folder}/documents.parquet").filter("lang = 'en'").limit(60).collect()]
+    docs = [re.sub(r"[^A-Za-z.,!?:; \n()-]", "", t) for t in docs] + ["He said: Now. go (See.) Bob\nAnn - Eve"]
+    for text in docs:
+        want, c = slow_tokens(text), tokens(text)
+        joined = [k for k, (_, name, _) in enumerate(want) if not (name and k and want[k - 1][1])]
+        kept = [want[k] for k in joined]
+        said = [w for w, *_ in kept]
+        plain = [k for k in range(len(said)) if not kept[k][1]]
+        assert len(c.row) == len(kept)
+        assert [bool(c.name[k]) for k in range(len(kept))] == [name for _, name, _ in kept]
+        assert [bool(x) for x in c.may_be_name] == [m for _, _, m in kept]
+        firsts = {}
+        for k in plain:
+            assert firsts.setdefault(said[k], c.value[k]) == c.value[k]
