@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from rankweave.functions.hashing import hash32, uniform
 from rankweave.operators import sampling
-from rankweave.session import cell_partitions, fresh_path, write_and_read
+from rankweave.session import cell_partitions, even_labels, fresh_path, write_and_read
 
 LOSSES = ("bpr", "logistic", "warp", "squared")
 USER, FEATURE, LINK, SAMPLE, LOSS = range(5)
@@ -308,10 +308,16 @@ def deal(samples: DataFrame, s: RotationSettings, epoch: int, blocks: int) -> Da
     )
 
 
-def _cells(rows: DataFrame, blocks: int, work, schema: str) -> DataFrame:
-    """Cells are few and costly, so they are spread over more partitions than there are cells."""
+LABELLED = 1024  # cells up to this number get a task each
+
+
+def _cells(rows: DataFrame, blocks: int, labels: list[int], work, schema: str) -> DataFrame:
+    """Cells are few and costly: each gets a task of its own, or they are spread over more tasks than cells."""
+    if len(labels) == blocks:
+        named = F.element_at(F.array(*map(F.lit, labels)), F.col("cell") + 1)
+        return rows.withColumn("label", named).repartition(blocks, "label").groupBy("label").applyInArrow(work, schema)
     spread = cell_partitions(rows.sparkSession, blocks)
-    return rows.repartition(spread, "cell").groupBy("cell").applyInArrow(work, schema)
+    return rows.withColumn("label", F.col("cell")).repartition(spread, "label").groupBy("label").applyInArrow(work, schema)
 
 
 def _state_in_cells(state: DataFrame, s: RotationSettings, epoch: int, turn: int, blocks: int) -> DataFrame:
@@ -351,6 +357,7 @@ class Rotation:
         sizes = dict(self.state.groupBy("kind").count().collect())
         self.n_items = sizes.get(FEATURE, 0) if self.links is None else self.links.select("item_id").distinct().count()
         self.blocks = count_blocks(sizes.get(USER, 0), self.n_items, self.samples.count(), settings)
+        self.labels = even_labels(spark, self.blocks) if self.blocks <= LABELLED else []
         self.epoch = self.written = 0
         self.losses: list[float] = []
 
@@ -384,7 +391,7 @@ class Rotation:
             block = np.array([rows["cell"][0].as_py()])
             return pa.concat_tables([cell.result(), _state_rows(LOSS, block, none, one, one, np.array([count]), loss)])
 
-        trained = _cells(rows, self.blocks, work, _STATE)
+        trained = _cells(rows, self.blocks, self.labels, work, _STATE)
         if self.links is None:
             self.state = self._store(trained)
             return
@@ -458,7 +465,7 @@ class Rotation:
                 "draw": pa.array(tries, pa.int32()), "negative_id": cell.item_ids[others],
             })
 
-        return _cells(rows, self.blocks * self.blocks, work, "user_id long, item_id long, draw int, negative_id long")
+        return _cells(rows, self.blocks * self.blocks, [], work, "user_id long, item_id long, draw int, negative_id long")
 
     def users(self) -> DataFrame:
         return self._parameters(USER, "user_id")

@@ -81,27 +81,3 @@ def nested_lists(ranked: DataFrame) -> DataFrame:
     return ranked.groupBy("user_id").agg(
         F.transform(ordered, lambda e: F.struct(e.item_id.alias("item_id"), e.score.alias("score"))).alias("items")
     )
-
-
-def blend_scores(scored: DataFrame, n: int, weights: tuple[float, float] = (0.5, 0.5)) -> DataFrame:
-    """Weighted ensemble of candidates ``(user_id, item_id, first, second)`` that both models have scored.
-
-    Scores are scaled to 0..1 per user, by minimum and maximum over the user's candidates; equal scores
-    count 1. The bounds come from a group-by, which combines before its shuffle.
-    """
-    bounds = scored.groupBy("user_id").agg(
-        *[f(c).alias(f"_{name}_{c}") for c in ("first", "second") for name, f in (("lo", F.min), ("hi", F.max))]
-    )
-
-    def scaled(c: str):
-        width = F.col(f"_hi_{c}") - F.col(f"_lo_{c}")
-        return F.when(width > 0, (F.col(c) - F.col(f"_lo_{c}")) / width).otherwise(F.lit(1.0))
-
-    score = F.lit(float(weights[0])) * scaled("first") + F.lit(float(weights[1])) * scaled("second")
-    return rank_scores(scored.join(bounds, "user_id").select("user_id", "item_id", score.alias("score")), n)
-
-
-def candidate_union(first: DataFrame, second: DataFrame) -> DataFrame:
-    """The pairs of either list, once each."""
-    pairs = first.select("user_id", "item_id").unionByName(second.select("user_id", "item_id"))
-    return pairs.distinct()

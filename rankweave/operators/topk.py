@@ -7,12 +7,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankweave.operators.ordering import sort_rank
 from rankweave.operators.scoring import rank_scores
-from rankweave.session import cell_partitions
+from rankweave.session import cell_partitions, cut_lineage
 
 # Smallest and largest block. Blocks grow with the table so that the number of blocks, which is
 # how often the other side is copied, stays within the last figure until the largest size is met.
@@ -51,12 +51,7 @@ def _score_block(users: pa.Table, items: pa.Table, n: int, clip) -> Iterator[pa.
         scores = _matrix(part["factors"]) @ q.T + part["bias"].to_numpy()[:, None] + item_bias[None, :]
         if clip is not None:
             scores = np.clip(scores, *clip)
-        seen = part["seen"].combine_chunks()
-        owner = np.repeat(np.arange(len(part)), seen.value_lengths().to_numpy())
-        flat = seen.flatten().to_numpy()
-        at = np.minimum(np.searchsorted(item_ids, flat), len(item_ids) - 1)
-        scored = item_ids[at] == flat
-        scores[owner[scored], at[scored]] = -np.inf
+        scores[_seen_mask(part, item_ids)] = -np.inf
         # Lists are ordered by the score at 9 places, then by item: all ties at the cut are kept.
         rounded = np.round(scores, 9)
         keep = min(n, rounded.shape[1])
@@ -93,10 +88,26 @@ def factor_topk(
     if candidates is not None:
         items = items.join(candidates.select("item_id").distinct(), "item_id", "left_semi")
     bias = F.col("bias") if use_bias else F.lit(0.0).alias("bias")
-    users = users.select("user_id", "factors", bias)
+
+    def score(user_rows: pa.Table, item_rows: pa.Table) -> pa.Table:
+        if not len(user_rows) or not len(item_rows):
+            return _NO_SCORES
+        return pa.concat_tables(_score_block(user_rows, item_rows, n, clip))
+
+    local = _every_block_pair(
+        users.select("user_id", "factors", bias), items.select("item_id", "factors", bias), seen, score, _SCORE_SCHEMA,
+        users_per_block, items_per_block,
+    )
+    return rank_scores(local, n)
+
+
+def _every_block_pair(
+    users: DataFrame, items: DataFrame, seen: DataFrame | None, work, schema: str,
+    users_per_block: int | None = None, items_per_block: int | None = None,
+) -> DataFrame:
+    """``work(users with their seen items, items)`` for every block of users and block of items."""
     if seen is not None:
         seen = seen.select("user_id", "item_id").join(users, "user_id", "left_semi")
-    items = items.select("item_id", "factors", bias)
     user_blocks = _block_count(users.count(), USER_BLOCK, users_per_block)
     item_blocks = _block_count(items.count(), ITEM_BLOCK, items_per_block)
 
@@ -119,20 +130,103 @@ def factor_topk(
         items.withColumn("ib", _block("item_id", item_blocks))
         .withColumn("ub", F.explode(F.sequence(F.lit(0), F.lit(user_blocks - 1))))
     )
-
-    def score(user_rows: pa.Table, item_rows: pa.Table) -> pa.Table:
-        if not len(user_rows) or not len(item_rows):
-            return _NO_SCORES
-        return pa.concat_tables(_score_block(user_rows, item_rows, n, clip))
-
     spread = cell_partitions(users.sparkSession, user_blocks * item_blocks)
     cells = lambda df, *columns: df.select("ub", "ib", *columns).repartition(spread, "ub", "ib").groupBy("ub", "ib")
-    local = (
+    return (
         cells(grid_users, "user_id", "factors", "bias", "seen")
         .cogroup(cells(grid_items, "item_id", "factors", "bias"))
-        .applyInArrow(score, _SCORE_SCHEMA)
+        .applyInArrow(work, schema)
     )
-    return rank_scores(local, n)
+
+
+def _seen_mask(part: pa.Table, item_ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the items of a block that its users have seen."""
+    seen = part["seen"].combine_chunks()
+    owner = np.repeat(np.arange(len(part)), seen.value_lengths().to_numpy())
+    flat = seen.flatten().to_numpy()
+    at = np.minimum(np.searchsorted(item_ids, flat), len(item_ids) - 1)
+    scored = item_ids[at] == flat
+    return owner[scored], at[scored]
+
+
+def _score_extremes(users: DataFrame, items: DataFrame, seen: DataFrame | None, split: int, **blocks) -> DataFrame:
+    """Least and largest unseen score of every user in two models, whose factors stand one behind the other."""
+
+    def work(user_rows: pa.Table, item_rows: pa.Table) -> pa.Table:
+        found: list[pa.Table] = []
+        item_rows = item_rows.sort_by("item_id")
+        ids, q = item_rows["item_id"].to_numpy(), _matrix(item_rows["factors"]) if len(item_rows) else None
+        step = max(1, _SCORES_AT_ONCE // max(1, len(ids)))
+        for start in range(0, len(user_rows) if len(ids) else 0, step):
+            part = user_rows.slice(start, step)
+            p = _matrix(part["factors"])
+            masked = _seen_mask(part, ids)
+            columns = {"user_id": part["user_id"].to_numpy()}
+            for name, side in (("first", slice(None, split)), ("second", slice(split, None))):
+                scores = p[:, side] @ q[:, side].T
+                for end, pick, out in (("lo", np.min, np.inf), ("hi", np.max, -np.inf)):
+                    scores[masked] = out
+                    columns[f"{end}_{name}"] = pick(scores, axis=1)
+            found.append(pa.table(columns))
+        return pa.concat_tables(found) if found else _EXTREMES.empty_table()
+
+    each = _every_block_pair(users, items, seen, work, _EXTREME_SCHEMA, **blocks)
+    names = ("first", "second")
+    return each.groupBy("user_id").agg(
+        *[F.min(f"lo_{c}").alias(f"lo_{c}") for c in names], *[F.max(f"hi_{c}").alias(f"hi_{c}") for c in names]
+    )
+
+
+_EXTREME_SCHEMA = "user_id long, lo_first double, hi_first double, lo_second double, hi_second double"
+_EXTREMES = pa.schema([("user_id", pa.int64()), *[(f"{e}_{n}", pa.float64()) for e, n in (("lo", "first"), ("hi", "first"), ("lo", "second"), ("hi", "second"))]])
+
+
+def blended_topk(
+    first: tuple[DataFrame, DataFrame], second: tuple[DataFrame, DataFrame], users: DataFrame, seen: DataFrame | None, n: int,
+    weights: tuple[float, float] = (0.5, 0.5), **blocks,
+) -> DataFrame:
+    """Exact weighted ensemble of two factor models over every unseen item of either.
+
+    ``first`` and ``second`` are (users, items) with ``factors`` and ``bias``. A model scores the product plus biases, and 0.0
+    where it lacks the user or the item. Scores are scaled to 0..1 by each user's least and largest over all unseen items; equal
+    ones count 1. One pass over the blocks finds these bounds. Scaling only stretches a user's factors and adds a constant, so
+    the blend is one factor model with both models' factors side by side, ranked by a second pass.
+    """
+    sides = []
+    for own, items in (first, second):
+        widest = items.select(F.size("factors").alias("n")).first()
+        sides.append((own, items, widest.n if widest else 0))
+    # Behind the factors: 1 and the user bias, times the item bias and 1. Unknown ids are zero throughout.
+    zeros = lambda width: F.array_repeat(F.lit(0.0), width + 2)
+    doubles = F.col("factors").cast("array<double>")
+    ids = first[1].select("item_id").unionByName(second[1].select("item_id")).distinct()
+    people = users.select("user_id").distinct()
+    for k, (own, items, width) in enumerate(sides):
+        p = own.select("user_id", F.concat(doubles, F.array(F.lit(1.0), F.col("bias"))).alias(f"p{k}"))
+        q = items.select("item_id", F.concat(doubles, F.array(F.col("bias"), F.lit(1.0))).alias(f"q{k}"))
+        people = people.join(p, "user_id", "left").withColumn(f"p{k}", F.coalesce(f"p{k}", zeros(width)))
+        ids = ids.join(q, "item_id", "left").withColumn(f"q{k}", F.coalesce(f"q{k}", zeros(width)))
+    none = F.lit(0.0).alias("bias")
+    people = cut_lineage(people)
+    items = cut_lineage(ids.select("item_id", F.concat("q0", "q1").alias("factors"), none))
+    split = sides[0][2] + 2
+    bounds = _score_extremes(
+        people.select("user_id", F.concat("p0", "p1").alias("factors"), none), items, seen, split, **blocks
+    )
+    parts, constant = [], F.lit(0.0)
+    for k, (name, weight) in enumerate(zip(("first", "second"), weights)):
+        low, width = F.col(f"lo_{name}"), F.col(f"hi_{name}") - F.col(f"lo_{name}")
+        stretch = F.when(width > 0, F.lit(float(weight)) / width).otherwise(F.lit(0.0))
+        constant = constant + F.when(width > 0, -low * stretch).otherwise(F.lit(float(weight)))
+        parts.append(_stretched(f"p{k}", stretch))
+    blended = people.join(bounds.filter(F.col("hi_first") > float("-inf")), "user_id").select(
+        "user_id", F.concat(*parts).alias("factors"), constant.alias("bias")
+    )
+    return factor_topk(cut_lineage(blended), items, seen, n, use_bias=True, users_per_block=blocks.get("users_per_block"), items_per_block=blocks.get("items_per_block"))
+
+
+def _stretched(column: str, by: Column) -> Column:
+    return F.transform(column, lambda x: x * by)
 
 
 def shared_ranking_topk(

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankweave.operators import als, pairwise, prep, scoring
+from rankweave.operators import als, pairwise, prep, sgd, topk
 from rankweave.operators.model import FactorModel
 from rankweave.plans import evaluate, search
 from rankweave.plans.config import settings
@@ -33,6 +33,12 @@ def split_ratings(ratings: DataFrame, data: dict) -> tuple[DataFrame, DataFrame]
 
 
 def fit_pmf(train: DataFrame, p: dict) -> FactorModel:
+    """``svd`` by gradient descent, so that the learning rate counts; ``nmf`` by alternating least squares."""
+    if p["algorithm"] == "svd":
+        return sgd.fit_sgd(
+            train, p["n_factors"], p["n_epochs"], p["learning_rate"], p["regularization"], p["biased"],
+            p.get("reg_bu"), p.get("reg_bi"), p["random_state"],
+        )
     return als.fit_explicit(
         train, n_factors=p["n_factors"], n_epochs=p["n_epochs"], regularization=p["regularization"],
         biased=p["biased"], algorithm=p["algorithm"], reg_pu=p["reg_pu"], reg_qi=p["reg_qi"],
@@ -170,9 +176,9 @@ def _write_extras(config, fitted, train, test, positives, truth, out) -> None:
         if blend["method"] != "weighted":
             raise ValueError(f"unknown ensemble method {blend['method']}")
         one, two = (fitted[m] for m in blend["models"])
-        candidates = scoring.candidate_union(*(m.recommend(users, n, positives) for m in (one, two)))
-        scored = two.predict(one.predict(candidates, "first"), "second")
-        scoring.blend_scores(scored, n, tuple(blend["weights"])).write.mode("overwrite").parquet(f"{out}/ensemble")
+        sides = [(m.users.withColumn("bias", F.col("bias") + F.lit(m.offset)), m.items) for m in (one, two)]
+        lists = topk.blended_topk(*sides, users, positives, n, tuple(blend["weights"]))
+        lists.write.mode("overwrite").parquet(f"{out}/ensemble")
     if advanced["cross_validation"]["enabled"]:
         folds = evaluate.cross_validate(
             train, lambda part: fit_pmf(part, config["models"]["pmf"]), advanced["cross_validation"]["n_folds"]

@@ -361,10 +361,10 @@ def _query_sql() -> dict[str, str]:
             "FROM truth t JOIN uv USING (user_id) JOIN iv USING (item_id))) WHERE place <= 5"),
         "truth_alignment": with_(*POPULAR_JUDGED, per_user()) + "SELECT user_id, n_listed, n_rel AS n_relevant, hits AS n_hits FROM scored WHERE k = 20",
         "ensemble_topk": with_(
-            SPLIT, JUDGED, POPULARITY, VECTORS, popular("first_"), nearest("second_", users=IN_JUDGED),
-            "both_ AS (SELECT user_id, item_id FROM first_ UNION SELECT user_id, item_id FROM second_)",
-            "sc AS (SELECT c.user_id, c.item_id, pop.popularity AS a, coalesce(list_dot_product(uv.factors, iv.factors), 0) AS b "
-            "FROM both_ c JOIN pop ON pop.item_id = c.item_id LEFT JOIN uv ON uv.user_id = c.user_id LEFT JOIN iv ON iv.item_id = c.item_id)",
+            SPLIT, JUDGED, POPULARITY, VECTORS,
+            "sc AS (SELECT u.user_id, pop.item_id, pop.popularity AS a, coalesce(list_dot_product(uv.factors, iv.factors), 0) AS b "
+            "FROM users u CROSS JOIN pop LEFT JOIN uv ON uv.user_id = u.user_id LEFT JOIN iv ON iv.item_id = pop.item_id "
+            "WHERE NOT EXISTS (SELECT 1 FROM pos s WHERE s.user_id = u.user_id AND s.item_id = pop.item_id))",
             "blend AS (SELECT user_id, item_id, 0.6::DOUBLE * CASE WHEN ha > la THEN (a - la) / (ha - la) ELSE 1 END "
             "+ 0.4::DOUBLE * CASE WHEN hb > lb THEN (b - lb) / (hb - lb) ELSE 1 END AS score FROM (SELECT *, min(a) OVER w AS la, "
             "max(a) OVER w AS ha, min(b) OVER w AS lb, max(b) OVER w AS hb FROM sc WINDOW w AS (PARTITION BY user_id)))",
@@ -413,6 +413,9 @@ def _query_sql() -> dict[str, str]:
         "pmf_normal_equations": solved + "train",
         "pmf_biased_normal_equations": solved + "train",
         "nmf_conditions": solved + "train",
+        "nmf_two_penalties": with_(SPLIT) + (
+            "SELECT 'user' AS side, user_id AS id, 1 AS ok FROM train GROUP BY 2 UNION ALL "
+            "SELECT 'item', item_id, 1 FROM train GROUP BY 2"),
         "implicit_als_normal_equations": solved + "pos",
         "trial_space_explicit": with_(SPLIT, EXPLICIT_TRIALS) + (
             "SELECT trial, n_factors, n_epochs, round(learning_rate, 6) AS learning_rate, round(regularization, 6) AS regularization, "

@@ -397,12 +397,12 @@ def truth_alignment(spark, folder):
 def ensemble_topk(spark, folder):
     split = Split(spark, folder)
     users = split.judged_users()
-    first = split.popular_lists(users)
     vectors = Vectors(spark, folder, split)
-    candidates = scoring.candidate_union(first, vectors.lists(split, users))
-    known = candidates.join(split.popularity().select("item_id", F.col("popularity").alias("first")), "item_id")
-    scored = scoring.score_pairs(known, vectors.users, vectors.items).withColumnRenamed("score", "second")
-    lists = scoring.blend_scores(scored, 10, (0.6, 0.4))
+    flat, none = F.array(F.lit(0.0)).alias("factors"), F.lit(0.0).alias("bias")
+    popular = users.select("user_id", flat, none), split.popularity().select("item_id", flat, F.col("popularity").alias("bias"))
+    rated = vectors.items.join(split.ratings.select("item_id").distinct(), "item_id", "left_semi")
+    nearest = vectors.users.select("user_id", "factors", none), rated.select("item_id", "factors", none)
+    lists = topk.blended_topk(popular, nearest, users, split.positives, 10, (0.6, 0.4))
     return lists.select("user_id", "item_id", r6("score", "score"), "rank")
 
 
@@ -693,6 +693,21 @@ def nmf_conditions(spark, folder):
     return _solved(als.user_residuals(train, "rating", model.users, model.items, 0.1), "worst_nonnegative", 1e-2)
 
 
+@query
+def nmf_two_penalties(spark, folder):
+    """Users and items each meet the conditions of their own penalty. The solver ends with the users, so
+    the items are judged in a fit with the sides exchanged."""
+    train = Split(spark, folder).train
+    turned = train.select(F.col("item_id").alias("user_id"), F.col("user_id").alias("item_id"), "rating")
+    rows = None
+    for side, ratings, own, other in (("user", train, 0.4, 0.025), ("item", turned, 0.025, 0.4)):
+        model = als.fit_explicit(ratings, 10, 5, algorithm="nmf", reg_pu=own, reg_qi=other)
+        ok = _solved(als.user_residuals(ratings, "rating", model.users, model.items, own), "worst_nonnegative", 1e-2)
+        ok = ok.select(F.lit(side).alias("side"), F.col("user_id").alias("id"), "ok")
+        rows = ok if rows is None else rows.unionByName(ok)
+    return rows
+
+
 @query
 def implicit_als_normal_equations(spark, folder):
     split = Split(spark, folder)

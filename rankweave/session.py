@@ -8,6 +8,7 @@ import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cpus: str | int = "*", shuffle_partitions: int = 8, memory: str = "12g") -> SparkSession:
@@ -68,6 +69,16 @@ def ship_package(spark: SparkSession) -> None:
     sc._rankweave_shipped = True
 
 
+def even_labels(spark: SparkSession, n: int) -> list[int]:
+    """``n`` int keys that hash partitioning deals into ``n`` different partitions, in order.
+
+    Few heavy groups keyed by them fill ``repartition(n, key)`` with one group a task.
+    """
+    ids = spark.range(0, 64 * n + 64, 1, 1).select(F.col("id").cast("int").alias("label"))
+    rows = ids.groupBy(F.pmod(F.hash("label"), F.lit(n)).alias("part")).agg(F.min("label").alias("label")).collect()
+    return [r.label for r in sorted(rows, key=lambda r: r.part)]
+
+
 def cell_partitions(spark: SparkSession, cells: int) -> int:
     """Partitions for a few heavy groups: a fixed number well above theirs.
 
