@@ -672,14 +672,14 @@ def _solved(residuals: DataFrame, column: str = "worst", tolerance: float = 1e-3
 @query
 def pmf_normal_equations(spark, folder):
     train = Split(spark, folder).train
-    model = als.fit_explicit(train, n_factors=10, n_epochs=5, regularization=0.1)
+    model = als.fit_explicit(train, regularization=0.1)
     return _solved(als.user_residuals(train, "rating", model.users, model.items, 0.1))
 
 
 @query
 def pmf_biased_normal_equations(spark, folder):
     train = Split(spark, folder).train
-    model = als.fit_explicit(train, n_factors=10, n_epochs=5, regularization=0.1, biased=True, reg_bu=REG_USER, reg_bi=REG_ITEM)
+    model = als.fit_explicit(train, regularization=0.1, biased=True, reg_bu=REG_USER, reg_bi=REG_ITEM)
     by_user, by_item = model.biases()
     rest = train.join(by_user.withColumnRenamed("bias", "bu"), "user_id").join(by_item.withColumnRenamed("bias", "bi"), "item_id")
     rest = rest.withColumn("residual", F.col("rating") - model.offset - F.col("bu") - F.col("bi"))
@@ -711,7 +711,7 @@ def nmf_two_penalties(spark, folder):
 @query
 def implicit_als_normal_equations(spark, folder):
     split = Split(spark, folder)
-    model = als.fit_implicit_als(split.positives, split.ratings, 10, 5, 0.01)
+    model = als.fit_implicit_als(split.positives, split.ratings)
     return _solved(als.user_residuals(split.positives, "weight", model.users, model.items, 0.01, alpha=1.0))
 
 
@@ -818,26 +818,25 @@ def model_size(spark, folder):
     return model.size()
 
 
+SEARCH_SECONDS = 90.0  # budget of a registered search; the library's default is 900
+
+
 @query
 def tune_explicit(spark, folder):
-    fit, held = prep.validation_split(Split(spark, folder).train)
-    trials = search.sample_trials(spark, search.EXPLICIT_SPACE, 3, 42, search.EXPLICIT_DEFAULTS)
-    small = trials.withColumn("n_factors", F.least("n_factors", F.lit(20))).withColumn("n_epochs", F.lit(3))
-    return search.tune_explicit(cut_lineage(fit), cut_lineage(held), trials=small)
+    """Twenty trials of the whole space under a time budget; those it does not reach are TIMED_OUT."""
+    fit, held = (cut_lineage(x) for x in prep.validation_split(Split(spark, folder).train))
+    return search.tune_explicit(fit, held, seconds=SEARCH_SECONDS)
 
 
 @query
 def tune_implicit(spark, folder):
     split = Split(spark, folder)
-    fit, held = prep.validation_split(split.train)
-    trials = search.sample_trials(spark, search.IMPLICIT_SPACE, 3, 42).withColumn("factors", F.least("factors", F.lit(16)))
-    return search.tune_implicit(
-        cut_lineage(prep.to_implicit(fit)), cut_lineage(prep.to_implicit(held)), split.ratings, trials=trials, rounds=2
-    )
+    fit, held = (cut_lineage(prep.to_implicit(x)) for x in prep.validation_split(split.train))
+    return search.tune_implicit(fit, held, split.ratings, seconds=SEARCH_SECONDS)
 
 
 @query
 def param_importance(spark, folder):
-    trials = cut_lineage(_bias_trials(spark, folder))
-    names = [entry[0] for entry in search.EXPLICIT_SPACE]
-    return search.parameter_importance(trials, names)
+    """Importance of the explicit parameters for the error of models trained with them."""
+    trials = cut_lineage(tune_explicit(spark, folder).filter("state = 'COMPLETE'"))
+    return search.parameter_importance(trials, [entry[0] for entry in search.EXPLICIT_SPACE])

@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 import time
+from concurrent.futures import ThreadPoolExecutor, wait
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankweave.functions.hashing import uniform
-from rankweave.operators import als, biases, metrics, pairwise
+from rankweave.operators import als, biases, metrics, pairwise, sgd
 from rankweave.operators.model import FactorModel
 from rankweave.plans import evaluate
-from rankweave.session import fresh_path
+from rankweave.session import fresh_path, remove_path
 
 # The explicit and the implicit search space, and the default trial.
 # (name, kind, low, high, step) or (name, "choice", options)
@@ -44,6 +46,7 @@ CONDITIONS = {
     "verify_negative_samples": ("algorithm", "bpr"),
 }
 SECONDS_BUDGET = 900.0
+PARALLEL, TRIAL_BLOCKS = 4, 2  # trials at once, and least blocks of each: trials run side by side instead
 # Passes over the positives in a synchronised round: of whole training, and where ``rounds`` cuts it short.
 PASSES, SHORT_PASSES = 10, 2
 
@@ -98,41 +101,73 @@ def bias_trials(train: DataFrame, validation: DataFrame, trials: DataFrame) -> D
     return trials.join(results, "trial")
 
 
-def _run(trials: DataFrame, objective, attributes: list[str], seconds: float) -> DataFrame:
-    """Evaluate trials in order until the time budget is spent; the loop is over trials, not data."""
+def _run(trials: DataFrame, objective, attributes: list[str], seconds: float, parallel: int = PARALLEL) -> DataFrame:
+    """Evaluate trials, ``parallel`` at a time in trial order, under a hard time budget.
+
+    Adds ``value``, the attributes and ``state``. At the end of the budget the jobs of running trials are cancelled by
+    their tags; these trials and those not begun are ``TIMED_OUT``, without a value. The loop is over
+    trials, which the trial budget bounds, not over data. Each trial gets a folder of its own, removed after it.
+    """
     spark = trials.sparkSession
-    start, results = time.time(), []
-    for row in trials.orderBy("trial").collect():  # bounded by the trial budget
-        if results and time.time() - start > seconds:
-            break
-        value, extra = objective(row.asDict())
-        results.append((row["trial"], float(value), *[float(extra[a]) for a in attributes]))
-    schema = "trial int, value double, " + ", ".join(f"`{a}` double" for a in attributes)
+    context, home = spark.sparkContext, fresh_path(spark, "trials")
+    end = time.monotonic() + seconds
+    rows = trials.orderBy("trial").collect()
+
+    def attempt(row) -> tuple | None:
+        if time.monotonic() >= end:
+            return None
+        context.addJobTag(f"{home}-{row['trial']}")
+        try:
+            value, extra = objective(row.asDict(), f"{home}/{row['trial']}")
+            return (row["trial"], float(value), *[float(extra[a]) for a in attributes], "COMPLETE")
+        finally:
+            context.removeJobTag(f"{home}-{row['trial']}")
+            remove_path(spark, f"{home}/{row['trial']}")
+
+    pool = ThreadPoolExecutor(parallel)
+    try:
+        running = {pool.submit(inheritable_thread_target(attempt), row): row["trial"] for row in rows}
+        _, late = wait(running, timeout=max(0.0, end - time.monotonic()))
+        cut = set(late)
+        while late:
+            for future in late:
+                context.cancelJobsWithTag(f"{home}-{running[future]}")
+            _, late = wait(late, timeout=0.2)
+    finally:
+        pool.shutdown(wait=True, cancel_futures=True)
+    results = []
+    for future, trial in running.items():
+        done = None if future in cut and future.exception() else future.result()
+        results.append(done or (trial, None, *[None for _ in attributes], "TIMED_OUT"))
+    schema = "trial int, value double, " + ", ".join(f"`{a}` double" for a in attributes) + ", state string"
     return trials.join(spark.createDataFrame(results, schema), "trial")
 
 
 def tune_explicit(
     train: DataFrame, validation: DataFrame, n_trials: int = 20, seconds: float = SECONDS_BUDGET,
-    seed: int = 42, trials: DataFrame | None = None,
+    seed: int = 42, trials: DataFrame | None = None, parallel: int = PARALLEL,
 ) -> DataFrame:
-    """Trial table of the explicit model: maximise ``-RMSE`` on the validation rows."""
+    """Trial table of the explicit model: maximise ``-RMSE`` on the validation rows.
+
+    Every trial trains by gradient descent with all its parameters.
+    """
     if trials is None:
         trials = sample_trials(train.sparkSession, EXPLICIT_SPACE, n_trials, seed, EXPLICIT_DEFAULTS)
 
-    def objective(p: dict):
-        model = als.fit_explicit(
-            train, n_factors=p["n_factors"], n_epochs=p["n_epochs"], regularization=p["regularization"],
-            biased=p["use_biased"], reg_bu=p["reg_bu"], reg_bi=p["reg_bi"], seed=seed,
+    def objective(p: dict, workspace: str):
+        model = sgd.fit_sgd(
+            train, p["n_factors"], p["n_epochs"], p["learning_rate"], p["regularization"],
+            p["use_biased"], p["reg_bu"], p["reg_bi"], seed, passes=PASSES, blocks=TRIAL_BLOCKS, workspace=workspace,
         )
         errors = evaluate.evaluate_ratings(model, validation).first()
         return -errors.rmse, {"mae": errors.mae, "n_predictions": errors.n_predictions}
 
-    return _run(trials, objective, ["mae", "n_predictions"], seconds)
+    return _run(trials, objective, ["mae", "n_predictions"], seconds, parallel)
 
 
 def fit_implicit(
     positives: DataFrame, universe: DataFrame, p: dict, seed: int = 42, rounds: int | None = None,
-    workspace: str | None = None, tolerance: float = 0.0,
+    workspace: str | None = None, tolerance: float = 0.0, blocks: int = 8,
 ) -> FactorModel:
     """Train the implicit model a parameter row names (``bpr``, ``als`` or ``lmf``).
 
@@ -149,7 +184,7 @@ def fit_implicit(
         loss="logistic" if p["algorithm"] == "lmf" else "bpr",
         factors=p["factors"], rounds=rounds or max(1, p["iterations"] // passes), passes=passes,
         learning_rate=p["learning_rate"], user_reg=p["regularization"], item_reg=p["regularization"],
-        verify_negatives=bool(p.get("verify_negative_samples", True)), seed=seed, tolerance=tolerance,
+        verify_negatives=bool(p.get("verify_negative_samples", True)), seed=seed, tolerance=tolerance, blocks=blocks,
     )
     return pairwise.fit_pairwise(positives, universe, settings, workspace)
 
@@ -157,7 +192,7 @@ def fit_implicit(
 def tune_implicit(
     train_positives: DataFrame, validation_positives: DataFrame, universe: DataFrame,
     n_trials: int = 20, seconds: float = SECONDS_BUDGET, seed: int = 42,
-    trials: DataFrame | None = None, rounds: int | None = None,
+    trials: DataFrame | None = None, rounds: int | None = None, parallel: int = PARALLEL,
 ) -> DataFrame:
     """Trial table of the implicit model: maximise precision@10; diversity is not computed."""
     if trials is None:
@@ -165,11 +200,8 @@ def tune_implicit(
     if rounds is not None:  # the table says what is run
         trials = trials.withColumn("iterations", F.when(F.col("algorithm") == "als", rounds).otherwise(rounds * SHORT_PASSES))
 
-    # Each model is judged before the next is trained, so all trials share one folder.
-    workspace = fresh_path(train_positives.sparkSession, "trials")
-
-    def objective(p: dict):
-        model = fit_implicit(train_positives, universe, p, seed, rounds, workspace)
+    def objective(p: dict, workspace: str):
+        model = fit_implicit(train_positives, universe, p, seed, rounds, workspace, blocks=TRIAL_BLOCKS)
         rows = evaluate.evaluate_ranking(
             model, train_positives, validation_positives, universe, ks=[10], diversity=False
         ).collect()
@@ -178,12 +210,13 @@ def tune_implicit(
             "recall@10": found["recall", 10], "ndcg@10": found["ndcg", 10], "coverage": found["coverage", None]
         }
 
-    return _run(trials, objective, ["recall@10", "ndcg@10", "coverage"], seconds)
+    return _run(trials, objective, ["recall@10", "ndcg@10", "coverage"], seconds, parallel)
 
 
 def prune_trials(trials: DataFrame, percentile: float = 25.0, startup: int = 5) -> DataFrame:
     """Add ``state``: ``PRUNED`` when a value is under the top-``percentile`` cut of the completed
-    trials before it, else ``COMPLETE``. The first ``startup`` completed trials are never cut.
+    trials before it, else ``COMPLETE``. The first ``startup`` completed trials are never cut. Trials without a value
+    keep being ``TIMED_OUT`` and count for nothing.
 
     Whether a trial counts depends on all earlier decisions, so the decisions fold over the
     ordered trials inside one row; the trial budget bounds it.
@@ -212,9 +245,10 @@ def prune_trials(trials: DataFrame, percentile: float = 25.0, startup: int = 5)
         F.array().cast("array<double>").alias("done"),
         F.array().cast("array<struct<trial:int,state:string>>").alias("out"),
     )
-    ordered = trials.agg(F.array_sort(F.collect_list(F.struct("trial", F.col("value").cast("double").alias("value")))).alias("t"))
+    trials = trials.drop("state")
+    ordered = trials.filter("value IS NOT NULL").agg(F.array_sort(F.collect_list(F.struct("trial", F.col("value").cast("double").alias("value")))).alias("t"))
     states = ordered.select(F.explode(F.aggregate("t", start, decide, lambda acc: acc.out)).alias("s")).select("s.*")
-    return trials.join(states, "trial")
+    return trials.join(states, "trial", "left").withColumn("state", F.coalesce("state", F.lit("TIMED_OUT")))
 
 
 def best_trial(trials: DataFrame) -> DataFrame:
@@ -230,7 +264,14 @@ def merge_explicit_parameters(best: DataFrame) -> DataFrame:
 
 
 def parameter_importance(trials: DataFrame, parameters: list[str], seed: int = 42) -> DataFrame:
-    """Share of each parameter in explaining the objective, by a random forest on the trials."""
+    """Share of each parameter in explaining the objective, by a random forest on the trials with a value.
+
+    Without such a trial all shares are zero.
+    """
+    trials = trials.filter("value IS NOT NULL")
+    schema = "parameter string, importance double"
+    if trials.isEmpty():
+        return trials.sparkSession.createDataFrame([(p, 0.0) for p in parameters], schema)
     words = [p for p in parameters if trials.schema[p].dataType.simpleString() == "string"]
     table = trials.withColumn("label", F.col("value"))
     for word in words:
@@ -240,4 +281,4 @@ def parameter_importance(trials: DataFrame, parameters: list[str], seed: int = 4
     features = VectorAssembler(inputCols=parameters, outputCol="features").transform(table)
     model = RandomForestRegressor(numTrees=50, seed=seed).fit(features)
     rows = [(p, float(v)) for p, v in zip(parameters, model.featureImportances.toArray())]
-    return trials.sparkSession.createDataFrame(rows, "parameter string, importance double")
+    return trials.sparkSession.createDataFrame(rows, schema)

@@ -69,6 +69,12 @@ def ship_package(spark: SparkSession) -> None:
     sc._rankweave_shipped = True
 
 
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder of intermediate tables that nothing will read again."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def even_labels(spark: SparkSession, n: int) -> list[int]:
     """``n`` int keys that hash partitioning deals into ``n`` different partitions, in order.
 
