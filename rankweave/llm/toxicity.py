@@ -73,8 +73,15 @@ def _distinct(row: np.ndarray, hashed: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return row[new], hashed[new]
 
 
+FAMILY = 4
+
+
 def word_sets(labelled: DataFrame) -> DataFrame:
-    """Distinct word hashes of ``labelled(row, y, text)``, and a family that most near copies share."""
+    """Distinct word hashes of ``labelled(row, y, text)``, and a family that copies and most near copies share.
+
+    It joins the least word-pair hashes of ``FAMILY`` orders, so unrelated texts with one frequent pair in
+    common do not meet in it.
+    """
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         counts, values, family = [], [], []
@@ -84,9 +91,12 @@ def word_sets(labelled: DataFrame) -> DataFrame:
             values.append(hashed.view(np.int64))
             plain = words(texts, lower=True)
             pairs, at = chain(plain.hash, plain.row, 2)
-            least = np.full(texts.rows, U(2**64 - 1))
-            np.minimum.at(least, plain.row[at], pairs)
-            family.append(least.view(np.int64))
+            key = np.zeros(texts.rows, np.uint64)
+            for order in range(FAMILY):
+                least = np.full(texts.rows, U(2**64 - 1))
+                np.minimum.at(least, plain.row[at], mix(pairs + U(order)))
+                key = mix(key * U(3) + least)
+            family.append(key.view(np.int64))
         gather = lambda parts: np.concatenate([np.zeros(0, np.int64), *parts])
         return pa.RecordBatch.from_arrays(
             [
@@ -260,8 +270,8 @@ def category_labels(toxic: Column, text: Column) -> Column:
 def score_toxicity(docs: DataFrame, labels: DataFrame, s: ChainSettings = ChainSettings()) -> DataFrame:
     """One row per row of ``docs(doc_id, text)``: doc_id, p_insult, p_contempt, p_toxic, toxic.
 
-    ``labels(doc_id, toxic)`` names the training documents; null labels are left out, and of documents
-    that share their smallest word-pair hash (copies, near copies) one per label trains. A null or empty text is
+    ``labels(doc_id, toxic)`` names the training documents; null labels are left out, and of a family of
+    copies or near copies the one with the smallest doc_id, then text, trains for each label. A null or empty text is
     scored by the intercepts. Without labels of both kinds the chain predicts the base rate. Repeated
     rows get equal scores; an empty table gives no rows.
     """
@@ -270,13 +280,15 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, s: ChainSettings = ChainS
     marks = labels.filter("toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(
         F.max(F.col("toxic").cast("int")).alias("toxic")
     )
-    share = s.fit_rows / max(s.fit_rows, marks.count())
-    chosen = marks.filter(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1_000_000)) < int(share * 1_000_000))
-    labelled = texts.join(chosen, "doc_id").select(
+    labelled = texts.join(marks, "doc_id").select(
         F.col("doc_id").alias("row"), category_labels(F.col("toxic") == 1, F.col("text")).alias("y"), "text"
     )
-    sets = word_sets(labelled.dropDuplicates(["row"]))
-    sample = scratch.store(sets.dropDuplicates(["family", "y"]).select("row", "y", "words"))
+    sets = scratch.store(word_sets(labelled))
+    place = F.struct("row", F.xxhash64("words"))
+    families = sets.groupBy("family", "y").agg(F.min(place).alias("first"), F.min_by("words", place).alias("words"))
+    families = scratch.store(families.select(F.col("first.row").alias("row"), "y", "words"))
+    share = s.fit_rows / max(s.fit_rows, families.count())
+    sample = scratch.store(families.filter(F.pmod(F.xxhash64("row", F.lit(5)), F.lit(1_000_000)) < int(share * 1_000_000)))
     vocabulary, models = fit_chain(scratch, sample, len(CATEGORY_WORDS) + 1, s)
     chance = scorer(vocabulary, models)(F.col("text"))
     names = [*CATEGORY_WORDS, "toxic"]
