@@ -1,47 +1,27 @@
 """Proportional stratified interleaving: shards that all have the mixture of the whole.
 
 Rows are shuffled within their source by a seeded hash and ranked; all rows are sorted by fractional
-rank, (rank - 1/2) / size of the source, and cut into shards of equal count. Ranks are exact: a hash or a
-fraction is uniform, so its leading part deals rows into even buckets that are numbered in parallel,
-whatever share of the rows one source has.
+rank, (rank - 1/2) / size of the source, and cut into shards of equal count. Both orders are total, so
+ranks are exact positions of a distributed sort: tasks get ranges of equal size whatever share of the
+rows one source has and however many rows have one fraction.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankweave.llm.common import Scratch
+from rankweave.operators.ordering import sort_rank
 
 
 @dataclass(frozen=True)
 class ShardSettings:
-    """``bucket_rows``: rows that one task numbers at a time, on average."""
-
     shards: int = 8
     seed: int = 42
     by: str = "source"
-    bucket_rows: int = 4096
-
-
-def _numbered(rows: DataFrame, group: list[str], bucket: Column, order: list[str], name: str) -> DataFrame:
-    """``rows`` with the 1-based position by bucket and then ``order`` in each group, and the group's size."""
-    dealt = rows.withColumn("bucket", bucket)
-    before = Window.partitionBy(*group).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = dealt.groupBy(*group, "bucket").agg(F.count("*").alias("held")).select(
-        *group, "bucket",
-        F.coalesce(F.sum("held").over(before), F.lit(0)).alias("earlier"),
-        F.sum("held").over(Window.partitionBy(*group)).alias(f"{name}_size"),
-    )
-    inside = Window.partitionBy(*group, "bucket").orderBy(*order)
-    return (
-        dealt.withColumn("within", F.row_number().over(inside))
-        .join(offsets, [*group, "bucket"])
-        .withColumn(name, F.col("earlier") + F.col("within"))
-        .drop("bucket", "earlier", "within")
-    )
 
 
 def interleave(docs: DataFrame, s: ShardSettings = ShardSettings()) -> DataFrame:
@@ -64,20 +44,16 @@ def interleave(docs: DataFrame, s: ShardSettings = ShardSettings()) -> DataFrame
         F.xxhash64(F.lit(s.seed), "doc_id", "text").alias("shuffle"),
     ))
     total = rows.count()
-    buckets = -(-total // s.bucket_rows) or 1
-    high = F.shiftrightunsigned("shuffle", 33)  # 31 bits
-    ranked = _numbered(
-        rows.withColumn("high", high), ["stratum"], F.shiftright(F.col("high") * F.lit(buckets), 31),
-        ["high", "shuffle", "doc_id", "text_crc32", "size"], "rank",
+    shuffled = scratch.store(
+        sort_rank(rows, [F.col(c) for c in ("stratum", "shuffle", "doc_id", "text_crc32", "size")], "position")
     )
-    placed = scratch.store(ranked.select(
+    strata = shuffled.groupBy("stratum").agg((F.min("position") - 1).alias("earlier"), F.count("*").alias("held"))
+    placed = shuffled.join(strata, "stratum").select(
         "doc_id", "source", "stratum", "size", "text_crc32",
-        ((2 * F.col("rank") - 1) / (2 * F.col("rank_size"))).alias("fraction"),
-        F.xxhash64(F.lit(s.seed + 1), "stratum").alias("turn"), F.lit(0).alias("every"),
-    ))
-    ordered = _numbered(
-        placed, ["every"], F.floor(F.col("fraction") * buckets), ["fraction", "turn", "stratum"], "place"
+        ((2 * (F.col("position") - F.col("earlier")) - 1) / (2 * F.col("held"))).alias("fraction"),
+        F.xxhash64(F.lit(s.seed + 1), "stratum").alias("turn"),
     )
+    ordered = sort_rank(placed, [F.col(c) for c in ("fraction", "turn", "stratum")], "place")
     # Whole-number arithmetic: shard k begins at place ceil(k x total / shards).
     return (
         ordered.withColumn("shard", F.expr(f"cast(((place - 1) * {s.shards}) div {max(total, 1)} as int)"))
