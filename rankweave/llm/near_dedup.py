@@ -8,7 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankweave.llm.common import Scratch, arrow_pass, components
@@ -201,7 +201,7 @@ def near_duplicates(docs: DataFrame, settings: NearDedupSettings = NearDedupSett
 def keep_one_of_each(docs: DataFrame, settings: NearDedupSettings = NearDedupSettings()) -> DataFrame:
     """``docs`` without the documents that another one of their component stands for; all columns kept.
 
-    Rows that share a doc_id are one document, of which the row with the smallest text hash stays.
+    Rows that share a doc_id are one document, of which the row with the smallest hash of its text stays, then the first as JSON.
     """
     found = near_duplicates(docs, settings).filter("not kept").select(F.col("doc_id").alias("gone_id")).distinct()
     packed = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("id"))
@@ -210,7 +210,7 @@ def keep_one_of_each(docs: DataFrame, settings: NearDedupSettings = NearDedupSet
     again = again.filter("count > 1").select("again")
     if again.isEmpty():
         return kept.select("doc.*")
-    first = Window.partitionBy("id").orderBy(F.xxhash64("doc.text"))
-    repeated = kept.join(again, F.col("id") == F.col("again"), "left_semi").withColumn("nth", F.row_number().over(first))
+    order = F.struct(F.xxhash64("doc.text"), F.to_json("doc"))
+    repeated = kept.join(again, F.col("id") == F.col("again"), "left_semi").groupBy("id").agg(F.min_by("doc", order).alias("doc"))
     once = kept.join(again, F.col("id") == F.col("again"), "left_anti")
-    return once.select("doc.*").unionByName(repeated.filter("nth = 1").select("doc.*"))
+    return once.select("doc.*").unionByName(repeated.select("doc.*"))
