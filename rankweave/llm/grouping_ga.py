@@ -15,9 +15,12 @@ import numpy as np
 
 @dataclass(frozen=True)
 class GaSettings:
+    """``generations`` for every bin above the bound, ``most_generations`` at most; none where there is no gap."""
+
     capacity: int = 4096
-    population: int = 4
-    generations: int = 10
+    population: int = 16
+    generations: int = 50
+    most_generations: int = 400
     well_filled: float = 0.99
     injected: float = 0.6
     emptied: int = 3
@@ -74,20 +77,29 @@ def crossover(
     return best_fit(_renumber(child), order, lengths, s.capacity)
 
 
+def bound(lengths: np.ndarray, capacity: int) -> int:
+    """No packing has fewer bins: by length, and by the items of which no two share a bin."""
+    return max(-(-int(lengths.sum()) // capacity), int((2 * lengths > capacity).sum()))
+
+
+def first_packing(lengths: np.ndarray, capacity: int) -> np.ndarray:
+    """Best fit, longest first."""
+    return best_fit(np.full(len(lengths), -1), np.argsort(-lengths, kind="stable"), lengths, capacity)
+
+
 def evolve(
     lengths: np.ndarray, given: list[np.ndarray], s: GaSettings, rng: np.random.Generator
 ) -> np.ndarray:
     """The best individual after ``generations``, starting from the ``given`` ones and random ones."""
     nothing = np.full(len(lengths), -1)
-    people = list(given)
-    if not people:
-        people.append(best_fit(nothing, np.argsort(-lengths, kind="stable"), lengths, s.capacity))
-    least = -(-int(lengths.sum()) // s.capacity)
+    people = list(given) or [first_packing(lengths, s.capacity)]
+    least = bound(lengths, s.capacity)
+    gap = min(_score(p, lengths, s.capacity)[0] for p in people) - least
     while len(people) < s.population and _score(people[0], lengths, s.capacity)[0] > least:
         noisy = lengths * rng.uniform(0.7, 1.0, len(lengths))
         people.append(best_fit(nothing, np.argsort(-noisy, kind="stable"), lengths, s.capacity))
     ranked = sorted(((_score(p, lengths, s.capacity), i, p) for i, p in enumerate(people)), key=lambda x: x[:2])
-    for turn in range(s.generations):
+    for turn in range(min(s.most_generations, s.generations * gap)):
         if ranked[0][0][0] <= least or len(ranked) < 2:
             break
         one, two = rng.choice(len(ranked), 2, replace=False)

@@ -1,9 +1,10 @@
 """Best-fit packing of documents into sequences by a grouping genetic algorithm on islands.
 
 Documents longer than a sequence are cut; full pieces are sequences of their own. The rest is dealt by hash
-into blocks of bounded size. Every block is evolved on several islands; between epochs each island
-sends its elite to the next one through a shuffle. Bins that end up poorly filled are dealt again, over
-fewer blocks, until one block holds them all.
+into blocks of bounded size and packed by best fit. A block with more bins than its bound is evolved on
+several islands, the longer the wider the gap; between epochs each island sends its elite to the
+next one through a shuffle. Poorly filled bins are dealt again, over fewer blocks, as long as that saves
+bins.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankweave.llm.common import Scratch, arrow_pass
-from rankweave.llm.grouping_ga import GaSettings, evolve
+from rankweave.llm.grouping_ga import GaSettings, bound, evolve, first_packing
 from rankweave.llm.tokens import word_tokens
 
 
@@ -34,6 +35,7 @@ class PackingSettings:
     islands: int = 2
     epochs: int = 2
     closed: float = 0.98
+    worth: int = 1000
     ga: GaSettings = field(default_factory=GaSettings)
 
 
@@ -79,12 +81,14 @@ def _island(s: PackingSettings, epoch: int):
         table = pa.Table.from_batches(list(groups)).sort_by([("elite", "ascending"), ("item", "ascending")])
         block, island = (k.as_py() for k in key)
         elite = table.column("elite").to_numpy()
-        first = elite == elite[0]
+        first = elite == elite[0]  # all elites hold the same items
         items, lengths = table.column("item").to_numpy()[first], table.column("length").to_numpy()[first]
         given = []
         if epoch:
             held = table.column("bin").to_numpy()
             given = [np.unique(held[elite == e], return_inverse=True)[1] for e in np.unique(elite)]
+        else:
+            given = [table.column("bin").to_numpy()]
         rng = np.random.default_rng([abs(block), island, epoch])
         best = evolve(lengths, given, s.ga, rng)
         bins = int(best.max()) + 1
@@ -126,36 +130,69 @@ def _offsets(s: PackingSettings):
     return run
 
 
-def pack_items(scratch: Scratch, items: DataFrame, s: PackingSettings) -> DataFrame:
-    """(item, sequence_id, offset) for ``items(item, length)`` with unique items of 1 to capacity tokens."""
-    done: DataFrame | None = None
-    pool, held = items, items.count()
-    while held:
-        blocks = -(-held // s.block)
-        states = pool.select(
-            F.pmod(F.xxhash64("item"), F.lit(blocks)).alias("block"),
-            F.explode(F.sequence(F.lit(0), F.lit(s.islands - 1))).alias("island"),
-            F.lit(0).alias("elite"), "item", "length", F.lit(0).cast("long").alias("bin"),
-            F.lit(0).cast("long").alias("bins"), F.lit(0.0).alias("score"),
+def _packed(s: PackingSettings):
+    """A block by best fit; ``met``: no packing of it has fewer bins."""
+
+    def run(key: tuple[pa.Scalar, ...], groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(groups)).sort_by("item")
+        items, lengths = table.column("item").to_numpy(), table.column("length").to_numpy()
+        bins = first_packing(lengths, s.capacity)
+        count = int(bins.max()) + 1
+        met = count == bound(lengths, s.capacity)
+        n, score = len(items), -float(np.square(np.bincount(bins, weights=lengths) / s.capacity).sum())
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.full(n, key[0].as_py())), pa.array(np.zeros(n, np.int32)), pa.array(np.zeros(n, np.int32)), pa.array(items),
+                pa.array(lengths), pa.array(bins.astype(np.int64)), pa.array(np.full(n, count)), pa.array(np.full(n, score)), pa.array([met] * n),
+            ],
+            ["block", "island", "elite", "item", "length", "bin", "bins", "score", "met"],
         )
+
+    return run
+
+
+def _dealt(scratch: Scratch, pool: DataFrame, blocks: int, s: PackingSettings) -> DataFrame:
+    """(item, length, sequence_id, offset, fill) of ``pool(item, length)`` packed in ``blocks`` blocks."""
+    block = F.pmod(F.xxhash64("item"), F.lit(blocks)).alias("block")
+    packed = scratch.store(pool.select(block, "item", "length").groupBy("block").applyInArrow(_packed(s), _STATE + ", met boolean"))
+    done = packed.filter("met").drop("met")
+    states = packed.filter("NOT met").drop("met")
+    if not states.isEmpty():
+        states = states.withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(s.islands - 1))))
         for epoch in range(s.epochs):
             states = scratch.store(states.groupBy("block", "island").applyInArrow(_island(s, epoch), _STATE))
-        placed = scratch.store(
-            states.groupBy("block").applyInArrow(
-                _offsets(s), "item long, length long, sequence_id long, offset long, fill long"
-            )
-        )
-        loose = placed.filter(F.col("fill") < int(s.closed * s.capacity))
-        left = loose.count() if blocks > 1 else 0
-        if 2 * left > held:  # most pieces do not fill bins well: dealing them again would not end
-            left = 0
-        closed = placed.filter(F.col("fill") >= int(s.closed * s.capacity)) if left else placed
-        closed = closed.select("item", "sequence_id", "offset")
-        done = closed if done is None else done.unionByName(closed)
-        pool, held = loose.select("item", "length"), left
-    if done is None:
+        done = done.unionByName(states)
+    return scratch.store(
+        done.groupBy("block").applyInArrow(_offsets(s), "item long, length long, sequence_id long, offset long, fill long")
+    )
+
+
+def pack_items(scratch: Scratch, items: DataFrame, s: PackingSettings) -> DataFrame:
+    """(item, sequence_id, offset) for ``items(item, length)`` with unique items of 1 to capacity tokens.
+
+    Dealing poor bins again ends when it saves less than one in ``worth`` of them, or in one block.
+    """
+    count = items.count()
+    if not count:
         return items.select("item", F.col("item").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    return done
+    poor = F.col("fill") < int(s.closed * s.capacity)
+    placed, blocks = _dealt(scratch, items, -(-count // s.block), s), -(-count // s.block)
+    done = placed.filter(~poor)
+    left = placed.filter(poor)
+    while blocks > 1:
+        held, bins = left.agg(F.count("*"), F.countDistinct("sequence_id")).first()
+        if not held:
+            break
+        blocks = -(-held // s.block)
+        again = _dealt(scratch, left.select("item", "length"), blocks, s)
+        now = again.agg(F.countDistinct("sequence_id")).first()[0]
+        if now >= bins:
+            break
+        done = done.unionByName(again.filter(~poor))
+        left = again.filter(poor)
+        if s.worth * (bins - now) < bins:
+            break
+    return done.unionByName(left).select("item", "sequence_id", "offset")
 
 
 def pack(docs: DataFrame, s: PackingSettings = PackingSettings()) -> DataFrame:

@@ -8,6 +8,7 @@ import numpy as np
 import public_tokenizers
 from edge_rows import ROWS, documents, empty
 from rankweave.llm import grouping_ga, packing
+from rankweave.llm.common import Scratch, prepare
 from rankweave.llm.tokens import word_tokens
 from tokenizers import Tokenizer
 
@@ -84,3 +85,39 @@ def test_crossover_keeps_every_item_and_the_capacity():
         one, two = two, child
     best = grouping_ga.evolve(lengths, [], s, rng)
     assert best.max() <= grouping_ga.best_fit(nothing, np.argsort(-lengths), lengths, 100).max()
+
+
+def hard_lengths(n, seed=1):
+    return np.random.default_rng(seed).integers(1000, 2001, n)
+
+
+def test_budget_follows_the_gap():
+    """Lengths of which best fit leaves bins above the bound: the algorithm saves some, and none is spent without a gap."""
+    lengths = hard_lengths(2000)
+    s = grouping_ga.GaSettings()
+    first = grouping_ga.first_packing(lengths, s.capacity)
+    best = grouping_ga.evolve(lengths, [], s, np.random.default_rng(1))
+    assert best.max() < first.max() - 8
+    assert np.bincount(best, weights=lengths).max() <= s.capacity
+    easy = np.random.default_rng(2).integers(1, 900, 3000)
+    assert grouping_ga.bound(easy, 4096) == grouping_ga.first_packing(easy, 4096).max() + 1
+
+
+def test_hard_lengths_through_islands(spark):
+    """Two blocks, islands and dealing again, against best fit in one block."""
+    lengths = hard_lengths(1200, 4)
+    items = spark.createDataFrame([(i, int(n)) for i, n in enumerate(lengths)], "item long, length long")
+    s = packing.PackingSettings(block=700)
+    prepare(spark)
+    rows = packing.pack_items(Scratch(spark, "test"), items, s).collect()
+    assert sorted(r.item for r in rows) == list(range(1200))
+    held = collections.defaultdict(list)
+    for r in rows:
+        held[r.sequence_id].append((r.offset, int(lengths[r.item])))
+    for places in held.values():
+        at = 0
+        for offset, length in sorted(places):
+            assert offset == at
+            at += length
+        assert at <= 4096
+    assert len(held) < grouping_ga.first_packing(lengths, 4096).max() + 1
