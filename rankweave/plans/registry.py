@@ -509,6 +509,19 @@ def metric_report(spark, folder):
     return wide.select("metric", "k", r6("popular", "popular"), r6("vectors", "vectors"))
 
 
+@query
+def merged_profile(spark, folder):
+    """The profile from stored sketches per month beside the exact one; ``close`` within five standard errors."""
+    ratings = stored_ratings(spark, folder)
+    sketches = write_and_read(stats.profile_sketches(ratings, F.date_format("ts", "yyyy-MM")), fresh_path(spark, "sketches"))
+    exact, merged = stats.rating_profile(ratings), stats.merge_profiles(sketches)
+    error = 5 * 1.04 / 2 ** (stats.SKETCH_BITS / 2)
+    names = ("n_users", "n_items", "n_ratings", "global_mean")
+    both = exact.select(*names).join(merged.select(*[F.col(c).alias(f"_{c}") for c in names]))  # a row each
+    near = lambda c: (F.abs(F.col(f"_{c}") / F.col(c) - 1) <= error).cast("int").alias(f"{c}_close")
+    return both.select("n_users", "n_items", "n_ratings", r6("global_mean", "global_mean"), *[near(c) for c in names])
+
+
 # --- sampling and search -------------------------------------------------------------------
 
 @query

@@ -157,3 +157,18 @@ def test_evaluation_sample_is_capped_and_stable(spark, skewed):
     first = {r.user_id for r in prep.evaluation_users(skewed, 50).collect()}
     assert len(first) == 50
     assert first == {r.user_id for r in prep.evaluation_users(skewed.repartition(3), 50).collect()}
+
+
+def test_labels_by_cuts_match_sorting(spark):
+    """Few and many ties, nulls, cuts at both ends: as numbering the sorted rows."""
+    import random
+
+    rng = random.Random(7)
+    for spread in (3, 50, 10**12):
+        rows = [(i, None if rng.random() < 0.05 else rng.randint(-spread, spread)) for i in range(300)]
+        df = spark.createDataFrame(rows, "id long, x long")
+        cuts = [1, 7, 150, 151, 299, 300]
+        order = sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[0]))
+        want = {r[0]: sum(k + 1 > c for c in cuts) for k, r in enumerate(order)}
+        got = {r.id: r.behind for r in ordering.label_by_cuts(df, F.col("x"), ["id"], cuts, "behind").collect()}
+        assert got == want
