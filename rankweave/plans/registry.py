@@ -517,9 +517,9 @@ def merged_profile(spark, folder):
     exact, merged = stats.rating_profile(ratings), stats.merge_profiles(sketches)
     error = 5 * 1.04 / 2 ** (stats.SKETCH_BITS / 2)
     names = ("n_users", "n_items", "n_ratings", "global_mean")
-    both = exact.select(*names).join(merged.select(*[F.col(c).alias(f"_{c}") for c in names]))  # a row each
-    near = lambda c: (F.abs(F.col(f"_{c}") / F.col(c) - 1) <= error).cast("int").alias(f"{c}_close")
-    return both.select("n_users", "n_items", "n_ratings", r6("global_mean", "global_mean"), *[near(c) for c in names])
+    told = merged.select(F.struct(*names)).scalar()
+    near = lambda c: (F.abs(told[c] / F.col(c) - 1) <= error).cast("int").alias(f"{c}_close")
+    return exact.select("n_users", "n_items", "n_ratings", r6("global_mean", "global_mean"), *[near(c) for c in names])
 
 
 # --- sampling and search -------------------------------------------------------------------

@@ -1,10 +1,12 @@
 """Training on planted structure: better than the mean, better than popularity, repeatable."""
 
+import time
+
 import pytest
 from planted import planted_ratings
 from pyspark.sql import functions as F
 
-from rankweave.operators import als, metrics, pairwise, prep, stats, topk
+from rankweave.operators import als, metrics, pairwise, prep, sgd, stats, topk
 from rankweave.operators.model import FactorModel
 from rankweave.plans import evaluate, search
 from rankweave.session import cut_lineage
@@ -76,6 +78,74 @@ def test_pairwise_losses_beat_popularity(data, loss):
     assert precision(model, data) > 1.5 * popularity_precision(data)
 
 
+def test_warp_is_as_good_in_one_cell_as_in_64(data):
+    """One block of users and items, and a rotation of eight by eight."""
+    found = {}
+    for blocks in (1, 8):
+        settings = pairwise.PairwiseSettings(loss="warp", factors=8, rounds=4, passes=3, learning_rate=0.2, blocks=blocks)
+        found[blocks] = precision(pairwise.fit_pairwise(data["positives"], data["all"], settings), data)
+    assert found[8] > 0.8 * found[1] > 1.2 * popularity_precision(data)
+
+
+def test_rotation_meets_every_sample_once_and_shares_nothing(data):
+    run = pairwise.rotation(data["positives"], data["all"], pairwise.PairwiseSettings(factors=2, blocks=5))
+    dealt = run.dealt()
+    assert run.blocks == 5 and dealt.count() == run.samples.count() == dealt.select("a", "b").distinct().count()
+    for turn in range(5):
+        now = dealt.filter(F.col("turn") == turn)
+        for side in ("a", "b"):
+            assert now.groupBy(side).agg(F.countDistinct("cell").alias("n")).filter("n > 1").count() == 0
+    run.round(dealt, 0)
+    assert run.state.filter("kind < 2").groupBy("kind", "id").count().filter("count > 1").count() == 0
+
+
+def test_negatives_are_redrawn_and_no_positives(data):
+    run = pairwise.rotation(data["positives"], data["all"], pairwise.PairwiseSettings(factors=2, blocks=3))
+    drawn = run.negatives().cache()
+    taken = data["positives"].select("user_id", F.col("item_id").alias("negative_id"))
+    assert drawn.join(taken, ["user_id", "negative_id"]).count() == 0
+    assert drawn.groupBy("user_id", "item_id").count().filter("count = 3").count() > 0.97 * run.samples.count()
+    assert drawn.filter("draw > 2").count() > 0  # later tries stand in for positives
+
+
+@pytest.mark.parametrize("biased", [False, True])
+def test_gradient_descent_beats_the_mean(data, biased):
+    model = sgd.fit_sgd(data["train"], 6, 40, 0.02, 0.02, biased, passes=10)
+    errors = evaluate.evaluate_ratings(model, data["test"]).first()
+    assert errors.rmse < (0.8 if biased else 0.9) * mean_rmse(data)
+    assert model.info["losses"][-1] < model.info["losses"][0] and (model.biases()[0] is None) == (not biased)
+
+
+def test_two_penalties_of_nonnegative_factors(data):
+    """More penalty for users alone makes their factors smaller against the items', products stay close."""
+    norm = lambda df: df.select(F.avg(F.aggregate("factors", F.lit(0.0), lambda a, x: a + x * x))).first()[0]
+    share = []
+    for pu, qi in ((0.4, 0.1), (0.1, 0.4)):
+        model = als.fit_explicit(data["train"], 4, 8, algorithm="nmf", reg_pu=pu, reg_qi=qi)
+        share.append(norm(model.users) / norm(model.items))
+        worst = als.user_residuals(data["train"], "rating", model.users, model.items, pu).agg(F.max("worst_nonnegative")).first()[0]
+        assert worst < 1e-2
+    assert 2 * share[0] < share[1]
+
+
+def test_search_cuts_slow_trials_at_the_budget(spark, tmp_path):
+    """One trial that never ends in time, one that does, one not begun."""
+    trials = spark.createDataFrame([(0, 1), (1, 10**9), (2, 1)], "trial int, size long")
+
+    def objective(p, workspace):
+        spark.range(3).write.parquet(workspace)
+        n = spark.range(p["size"] * 1000, numPartitions=8).selectExpr("sum(hash(id, id + 1))").first()
+        return 1.0, {"n": 0.0 if n is None else 1.0}
+
+    start = time.time()
+    rows = {r.trial: r for r in search._run(trials, objective, ["n"], 6, parallel=1).collect()}
+    assert time.time() - start < 30
+    assert [rows[k].state for k in range(3)] == ["COMPLETE", "TIMED_OUT", "TIMED_OUT"]
+    assert rows[0].value == 1.0 and rows[1].value is None
+    states = {r.trial: r.state for r in search.prune_trials(search._run(trials.filter("trial <> 1"), objective, ["n"], 60)).collect()}
+    assert states == {0: "COMPLETE", 2: "COMPLETE"}
+
+
 def test_training_repeats_exactly(data):
     settings = pairwise.PairwiseSettings(factors=4, rounds=1, passes=1)
     first, second = (
