@@ -16,7 +16,6 @@ from rankweave.llm.license_texts import EQUIVALENT, LICENSE_TEXTS, notice_marks,
 COPYRIGHT_LINE = (
     r"^[^\n]*(copyright \(c\)|\(c\) copyright|copyright ©|copyright [0-9]|all rights reserved)[^\n]*$"
 )
-STEMS = "licen[cs]|spdx|public domain"  # the SQL counterpart looks at lines with one of these only
 
 
 def canonical(text: Column) -> Column:
@@ -50,7 +49,9 @@ def scan(docs: DataFrame) -> DataFrame:
 
     ``license`` is the known license that the whole text is, else null; ``notices`` lists the licenses
     that lines of the text announce, sorted and comma-joined. A null text counts as empty, which is no
-    license. Rows of equal doc_id and text count as one document and all get the result; null doc_ids stay.
+    license. Rows of equal doc_id and text count as one document and all get the result; null doc_ids stay. Very
+    long texts are read whole; an empty table gives no rows; further columns are not read. Copyright lines are
+    no part of the canonical text, so a notice on one is not found.
     """
     spark = docs.sparkSession
     marks = "|".join(notice_marks())  # a line without one of them is no notice and need not be hashed

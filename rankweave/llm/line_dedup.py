@@ -97,7 +97,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     ``n_lines`` counts lines with a word. Texts of fewer than three such lines, null texts (they stay
     null) and texts without repeats are unchanged. Rows of equal doc_id and text are one document:
     they do not repeat each other. Null doc_ids come last in the order. An occurrence that overlaps
-    the first one in the same text loses only the lines beyond it.
+    the first one in the same text loses only the lines beyond it. Very long texts are read whole; an empty
+    table gives no rows; further columns stay in ``doc``, whatever their names.
     """
     key = F.xxhash64("text")
     windows = line_windows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("text_key"), "text"))

@@ -166,7 +166,8 @@ def near_duplicates(docs: DataFrame, settings: NearDedupSettings = NearDedupSett
     blocks, so no candidate link is lost and groups of copies are not expanded into pairs.
 
     Null or wordless texts have no shingles and are linked with nothing. A row without doc_id is
-    linked with nothing either: component_id null, kept. Rows that share a doc_id are one document.
+    linked with nothing either: component_id null, kept. Rows that share a doc_id are one document. Very
+    long texts are read whole; an empty table gives no rows; further columns are not read.
     """
     scratch = Scratch(docs.sparkSession, "near-dedup")
     sketched = scratch.store(sketch_documents(docs, settings))

@@ -82,7 +82,7 @@ FROM documents LEFT JOIN listed USING (doc_id)
 
 def _license_scan() -> str:
     from rankweave.llm.license_texts import EQUIVALENT, LICENSE_TEXTS, notice_rows
-    from rankweave.llm.licenses import COPYRIGHT_LINE, STEMS
+    from rankweave.llm.licenses import COPYRIGHT_LINE
 
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
 
@@ -101,7 +101,6 @@ notices AS (SELECT min(name) AS notice, {digest('body')} AS digest FROM (VALUES
 said AS (
     SELECT doc_id, {digest('line')} AS digest
     FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)
-    WHERE regexp_matches(lower(line), '{STEMS}')
 ), noted AS (
     SELECT doc_id, string_agg(DISTINCT notice, ',' ORDER BY notice) AS notices, count(*) AS n
     FROM said JOIN notices USING (digest) GROUP BY doc_id

@@ -110,7 +110,8 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, base: tuple[Rule, ...
 
     ``spans`` lists kind:start:end by start, then rule order, in code points with the end exclusive;
     ``base_sha256`` is the digest of the list of base spans. Null and empty texts have no spans. Rows of
-    equal doc_id and text are scanned once and all get the result; a null doc_id is kept.
+    equal doc_id and text are scanned once and all get the result; a null doc_id is kept. Very long texts are
+    scanned whole; an empty table gives no rows; further columns are not read.
     """
     scratch = Scratch(docs.sparkSession, "secrets")
     keyed = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("text_key"), "text")
