@@ -138,8 +138,8 @@ def test_search_cuts_slow_trials_at_the_budget(spark, tmp_path):
         return 1.0, {"n": 0.0 if n is None else 1.0}
 
     start = time.time()
-    rows = {r.trial: r for r in search._run(trials, objective, ["n"], 6, parallel=1).collect()}
-    assert time.time() - start < 30
+    rows = {r.trial: r for r in search._run(trials, objective, ["n"], 20, parallel=1).collect()}
+    assert time.time() - start < 60
     assert [rows[k].state for k in range(3)] == ["COMPLETE", "TIMED_OUT", "TIMED_OUT"]
     assert rows[0].value == 1.0 and rows[1].value is None
     states = {r.trial: r.state for r in search.prune_trials(search._run(trials.filter("trial <> 1"), objective, ["n"], 60)).collect()}
