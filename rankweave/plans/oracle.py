@@ -393,6 +393,7 @@ def _query_sql() -> dict[str, str]:
         "list_novelty": with_(*POPULAR_JUDGED, NOVELTY) + "SELECT round(avg(v), 6) AS novelty, count(*) AS n_lists FROM nov",
         "ranking_report": report_sql(),
         "metric_report": compare_sql(),
+        "sink_importance": "SELECT unnest([" + ", ".join(f"'{e[0]}'" for e in EXPLICIT_SPACE) + "]) AS parameter, 1 AS is_share, 1.0::DOUBLE AS total",
         "merged_profile": with_(RATINGS) + (
             "SELECT count(DISTINCT user_id) AS n_users, count(DISTINCT item_id) AS n_items, count(*) AS n_ratings, "
             "round(avg(rating), 6) AS global_mean, 1 AS n_users_close, 1 AS n_items_close, 1 AS n_ratings_close, "

@@ -747,6 +747,16 @@ def sink_trials(spark, folder):
     return back.select("trial", "n_factors", "n_epochs", r6("value", "value"), r6("mae", "mae"), "n_predictions")
 
 
+@query
+def sink_importance(spark, folder):
+    home = fresh_path(spark, "importance")
+    names = [entry[0] for entry in search.EXPLICIT_SPACE]
+    sinks.write_importance(search.parameter_importance(cut_lineage(_bias_trials(spark, folder)), names), home, "pmf")
+    back = spark.read.schema("parameter string, importance double").json(f"{home}/pmf_param_importance")
+    total = back.agg(F.round(F.sum("importance"), 6)).scalar()
+    return back.select("parameter", F.col("importance").between(0, 1).cast("int").alias("is_share"), total.alias("total"))
+
+
 @query
 def sink_best_parameters(spark, folder):
     home = fresh_path(spark, "best")

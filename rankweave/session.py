@@ -86,10 +86,10 @@ def even_labels(spark: SparkSession, n: int) -> list[int]:
 
 
 def cell_partitions(spark: SparkSession, cells: int) -> int:
-    """Partitions for a few heavy groups: a fixed number well above theirs.
+    """Partitions for heavy groups: four for each while they are few, never fewer than groups.
 
-    Hashing n groups into n partitions would stack several in one task, and adaptive coalescing
+    Hashing n groups into n partitions stacks several in one task, and adaptive coalescing
     would merge them because their bytes are few.
     """
     configured = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(1, min(4 * cells, max(4096, configured)))
+    return max(1, min(4 * cells, max(4096, cells, configured)))
