@@ -280,15 +280,14 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, s: ChainSettings = ChainS
     marks = labels.filter("toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(
         F.max(F.col("toxic").cast("int")).alias("toxic")
     )
-    labelled = texts.join(marks, "doc_id").select(
+    share = s.fit_rows / max(s.fit_rows, marks.count())
+    chosen = marks.filter(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1_000_000)) < int(share * 1_000_000))
+    labelled = texts.join(chosen, "doc_id").select(
         F.col("doc_id").alias("row"), category_labels(F.col("toxic") == 1, F.col("text")).alias("y"), "text"
     )
-    sets = scratch.store(word_sets(labelled))
     place = F.struct("row", F.xxhash64("words"))
-    families = sets.groupBy("family", "y").agg(F.min(place).alias("first"), F.min_by("words", place).alias("words"))
-    families = scratch.store(families.select(F.col("first.row").alias("row"), "y", "words"))
-    share = s.fit_rows / max(s.fit_rows, families.count())
-    sample = scratch.store(families.filter(F.pmod(F.xxhash64("row", F.lit(5)), F.lit(1_000_000)) < int(share * 1_000_000)))
+    families = word_sets(labelled).groupBy("family", "y").agg(F.min(place).alias("first"), F.min_by("words", place).alias("words"))
+    sample = scratch.store(families.select(F.col("first.row").alias("row"), "y", "words"))
     vocabulary, models = fit_chain(scratch, sample, len(CATEGORY_WORDS) + 1, s)
     chance = scorer(vocabulary, models)(F.col("text"))
     names = [*CATEGORY_WORDS, "toxic"]
