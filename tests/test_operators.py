@@ -1,6 +1,7 @@
 """Splits, ordering, top-N and scoring against brute force, including heavy users and items."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from planted import planted_ratings
 from pyspark.sql import functions as F
@@ -95,6 +96,37 @@ def test_factor_lists_match_brute_force(spark, skewed, users_per_block, items_pe
     assert {(r.user_id, r.item_id, r.score, r.rank) for r in got} == want
 
 
+@pytest.mark.parametrize("clip", [None, (-2.0, 2.0)])
+def test_chunks_of_a_block_leave_nothing_out(monkeypatch, clip):
+    """Many chunks, ties, clipping, biases and seen items: as sorting all scores."""
+    monkeypatch.setattr(topk, "_ITEMS_AT_ONCE", 16)
+    monkeypatch.setattr(topk, "_USERS_AT_ONCE", 7)
+    rng = np.random.default_rng(3)
+    p, q = rng.integers(-1, 2, (40, 3)).astype(float), rng.integers(-1, 2, (200, 3)).astype(float)
+    bu, bi = rng.integers(-1, 2, 40).astype(float), rng.integers(-1, 2, 200).astype(float)
+    q[120:] = 0.0
+    seen = sorted({(int(u), int(i)) for u, i in zip(rng.integers(0, 40, 900), rng.integers(0, 200, 900))} | {(3, i) for i in range(197)})
+    table = lambda name, f, b: pa.table({name: np.arange(len(f)), "factors": pa.array(list(f)), "bias": b})
+    seen_rows = pa.table({"user_id": [u for u, _ in seen], "item_id": [i for _, i in seen]})
+    got = pa.concat_tables(topk._score_block(table("user_id", p, bu), table("item_id", q, bi), seen_rows, 5, clip)).to_pylist()
+    scores = p @ q.T + bu[:, None] + bi
+    scores = np.clip(scores, *clip) if clip else scores
+    taken = set(seen)
+    want = {
+        (u, i, scores[u, i]) for u in range(40)
+        for i in sorted((i for i in range(200) if (u, i) not in taken), key=lambda i: (-scores[u, i], i))[:5]
+    }
+    assert {(r["user_id"], r["item_id"], r["score"]) for r in got} == want
+    assert sum(r["user_id"] == 3 for r in got) == 3
+
+
+def test_large_tables_are_not_copied_for_every_thousand_users():
+    """Rows sent to the block pairs of 900,000 users and 1.2 million items of 16 factors."""
+    user_blocks, item_blocks = topk._grid(900_000, 1_200_000, 16, None, None)
+    assert 900_000 * item_blocks + 1_200_000 * user_blocks < 20e6
+    assert user_blocks * item_blocks >= topk.CELLS
+
+
 def test_unknown_ids_score_zero(spark):
     users = spark.createDataFrame([(1, [1.0, 2.0])], "user_id long, factors array<double>")
     items = spark.createDataFrame([(5, [3.0, 4.0])], "item_id long, factors array<double>")
