@@ -1,12 +1,14 @@
 """Training on planted structure: better than the mean, better than popularity, repeatable."""
 
 import time
+from dataclasses import replace
 
+import numpy as np
 import pytest
 from planted import planted_ratings
 from pyspark.sql import functions as F
 
-from rankweave.operators import als, metrics, pairwise, prep, sgd, stats, topk
+from rankweave.operators import als, metrics, pairwise, prep, rotation, sgd, stats, topk
 from rankweave.operators.model import FactorModel
 from rankweave.plans import evaluate, search
 from rankweave.session import cut_lineage
@@ -128,6 +130,38 @@ def test_two_penalties_of_nonnegative_factors(data):
     assert 2 * share[0] < share[1]
 
 
+@pytest.mark.parametrize("alpha", [None, 2.0])
+def test_residuals_equal_the_normal_equations(spark, alpha):
+    rng = np.random.default_rng(4)
+    p, q = rng.normal(size=(5, 3)), rng.normal(size=(7, 3)).astype(np.float32).astype(float)
+    rows = [(u, i, float(u + i) / 3) for u in range(5) for i in range(7) if (u * i) % 3 != 1]
+    table = lambda name, x: spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], f"{name} long, factors array<double>")
+    ratings = spark.createDataFrame(rows, "user_id long, item_id long, v double")
+    got = {r.user_id: r for r in als.user_residuals(ratings, "v", table("user_id", p), table("item_id", q), 0.1, alpha).collect()}
+    for u in range(5):
+        mine = [(q[i], v) for w, i, v in rows if w == u]
+        weight = [(v - p[u] @ x) if alpha is None else 1 + alpha * v * (1 - p[u] @ x) for x, v in mine]
+        right = sum(x * (v if alpha is None else 1 + alpha * v) for x, v in mine)
+        off = sum(x * w for (x, _), w in zip(mine, weight)) - 0.1 * len(mine) * p[u]
+        off = off if alpha is None else off - q.T @ q @ p[u]
+        scale = np.abs(right).max() + 1e-12
+        assert got[u].worst == pytest.approx(np.abs(off).max() / scale)
+        sided = np.where(p[u] > 0, np.abs(off), np.maximum(off, 0))
+        assert got[u].worst_nonnegative == pytest.approx(sided.max() / scale)
+
+
+def test_blocks_do_not_follow_the_shuffle_partitions():
+    assert als.block_count(12, 2_100_000, 50, 20) == 5  # factors of all would be sent to each block 40 times
+    assert als.block_count(12, 12_600_000, 10, 5) == 12
+    assert als.block_count(8, 10_000, 100, 15) == 10
+
+
+def test_large_tables_turn_in_few_rounds():
+    settings = pairwise.PairwiseSettings(factors=16)
+    assert rotation.count_blocks(900_000, 1_200_000, 20_000_000, settings) == 8
+    assert rotation.count_blocks(900_000, 1_200_000, 20_000_000, replace(settings, factors=128)) == 19
+
+
 def test_search_cuts_slow_trials_at_the_budget(spark, tmp_path):
     """One trial that never ends in time, one that does, one not begun."""
     trials = spark.createDataFrame([(0, 1), (1, 10**9), (2, 1)], "trial int, size long")
