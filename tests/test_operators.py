@@ -179,6 +179,31 @@ def test_negatives_are_never_positives(spark):
     assert triples.count() > 0 and clash.count() == 0
 
 
+def test_redraws_are_the_next_good_tries(spark, monkeypatch):
+    """As drawing all tries for everyone; tries beyond the first are made only for pairs that lost some."""
+    asked, plain = [], sampling.draws
+    monkeypatch.setattr(sampling, "draws", lambda seed, epoch, tries, first=0: asked.append((first, tries)) or plain(seed, epoch, tries, first))
+    rows = spark.range(120).select((F.col("id") % 6).alias("user_id"), (F.col("id") * 7 % 25).alias("item_id")).distinct().cache()
+    items = prep.encode_ids(rows, "item_id")
+    got = {tuple(r) for r in sampling.sample_triples(rows, items, 3, redraws=4).collect()}
+    assert asked == [(0, 3), (3, 7)]
+    every = sampling.sample_triples(rows, items, 7).collect()
+    by_pair = {}
+    for r in sorted(every, key=lambda r: r.draw):
+        by_pair.setdefault((r.user_id, r.item_id), []).append(tuple(r))
+    assert got == {r for mine in by_pair.values() for r in mine[:3]} and any(r[2] > 2 for r in got)
+
+
+def test_first_violations_skip_ids_without_vectors(spark):
+    triples = spark.createDataFrame(
+        [(1, 5, 0, 9), (1, 5, 1, 6), (1, 5, 2, 7), (1, 8, 0, 6), (2, 5, 0, 6)], "user_id long, item_id long, draw int, negative_id long"
+    )
+    users = spark.createDataFrame([(1, [1.0, 2.0])], "user_id long, factors array<double>")
+    items = spark.createDataFrame([(5, [1.0, 0.0]), (6, [0.0, 0.0]), (7, [3.0, 0.0])], "item_id long, factors array<double>")
+    got = [tuple(r) for r in sampling.first_violations(triples, users, items, 10, 0.5).collect()]
+    assert got == [(1, 5, 7, 3, pytest.approx(np.log(3.0)))]
+
+
 def test_tiles_hold_every_item_once(spark, skewed):
     tiles = prep.item_list_tiles(skewed, width=64)
     assert tiles.agg(F.max(F.size("items"))).first()[0] <= 64
