@@ -127,6 +127,23 @@ def test_large_tables_are_not_copied_for_every_thousand_users():
     assert user_blocks * item_blocks >= topk.CELLS
 
 
+@pytest.mark.parametrize("n_users, n_items, width", [(90_000, 120_000, 16), (77_000, 102_000, 64)])
+def test_neither_side_is_copied_for_every_cell(n_users, n_items, width):
+    user_blocks, item_blocks = topk._grid(n_users, n_items, width, None, None)
+    assert n_users * item_blocks + n_items * user_blocks < 2e6
+    assert user_blocks * item_blocks >= topk.CELLS
+
+
+def test_lists_of_floats_are_those_of_doubles(spark, skewed):
+    rng = np.random.default_rng(8)
+    rows = lambda n: [(k, v.tolist()) for k, v in enumerate(rng.normal(size=(n, 3)).astype(np.float32).astype(float))]
+    users = spark.createDataFrame(rows(500), "user_id long, factors array<double>")
+    items = spark.createDataFrame(rows(601), "item_id long, factors array<double>")
+    floats = lambda df: df.withColumn("factors", F.col("factors").cast("array<float>"))
+    got = [{tuple(r) for r in topk.factor_topk(a, b, skewed, 5).collect()} for a, b in ((users, items), (users, floats(items)), (floats(users), floats(items)))]
+    assert got[0] == got[1] == got[2] and len(got[0]) > 2400
+
+
 def test_unknown_ids_score_zero(spark):
     users = spark.createDataFrame([(1, [1.0, 2.0])], "user_id long, factors array<double>")
     items = spark.createDataFrame([(5, [3.0, 4.0])], "item_id long, factors array<double>")
