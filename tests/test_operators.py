@@ -144,6 +144,23 @@ def test_lists_of_floats_are_those_of_doubles(spark, skewed):
     assert got[0] == got[1] == got[2] and len(got[0]) > 2400
 
 
+def test_stored_vectors_stay_floats_and_meet_pairs_first(spark, folder):
+    """The join next to the pairs is with the items; the wider vectors of users never travel with a pair."""
+    from rankweave.sources import tables
+
+    items = tables.item_vectors(spark, folder)
+    assert items.schema["factors"].dataType.simpleString() == "array<float>"
+    users = spark.createDataFrame([(1, [1.0] * 64)], "user_id long, factors array<double>")
+    pairs = spark.createDataFrame([(1, 5, 2.0), (1, -6, 2.0), (2, 5, 2.0)], "user_id long, item_id long, rating double")
+    scored = scoring.score_pairs(pairs, users, items)
+    last = next(x for x in scored._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join LeftOuter" in x)
+    assert "user_id" in last and "item_id" not in last
+    known = sum(items.filter("item_id = 5").first().factors)
+    assert {(r.user_id, r.item_id, r.rating): r.score for r in scored.collect()} == {
+        (1, 5, 2.0): pytest.approx(known), (1, -6, 2.0): 0.0, (2, 5, 2.0): 0.0
+    }
+
+
 def test_unknown_ids_score_zero(spark):
     users = spark.createDataFrame([(1, [1.0, 2.0])], "user_id long, factors array<double>")
     items = spark.createDataFrame([(5, [3.0, 4.0])], "item_id long, factors array<double>")
