@@ -101,6 +101,19 @@ def test_rotation_meets_every_sample_once_and_shares_nothing(data):
     assert run.state.filter("kind < 2").groupBy("kind", "id").count().filter("count > 1").count() == 0
 
 
+def test_draws_are_not_sent_and_rounds_not_written(data, monkeypatch):
+    """An epoch writes its state once; writing it after every round, as before, gives the same."""
+    found = []
+    for chained in (8, 1):
+        monkeypatch.setattr(rotation, "CHAINED", chained)
+        run = pairwise.rotation(data["positives"], data["all"], pairwise.PairwiseSettings(factors=2, blocks=5))
+        assert run.dealt().filter("vec IS NOT NULL").count() == 0
+        run.run_epoch()
+        assert run.written == (1 if chained == 8 else 5)
+        found.append({r.feature_id: r.factors for r in run.features().collect()})
+    assert found[0] == found[1]
+
+
 def test_negatives_are_redrawn_and_no_positives(data):
     run = pairwise.rotation(data["positives"], data["all"], pairwise.PairwiseSettings(factors=2, blocks=3))
     drawn = run.negatives().cache()
