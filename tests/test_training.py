@@ -169,6 +169,18 @@ def test_blocks_do_not_follow_the_shuffle_partitions():
     assert als.block_count(8, 10_000, 100, 15) == 10
 
 
+def test_narrow_fits_have_few_blocks_on_large_tables():
+    assert als.light_blocks(2_100_000, 16, 5) == 6 and als.light_blocks(12_600_000, 16, 5) == 4
+    assert als.light_blocks(210_000, 16, 5) > 12  # small tables as before
+    assert als.light_blocks(210_000, 100, 15) > 12
+
+
+def test_solved_factors_stay_floats(data):
+    model = als.fit_implicit_als(data["positives"], data["all"], 4, 2)
+    for side in (model.users, model.items):
+        assert side.schema["factors"].dataType.simpleString() == "array<float>"
+
+
 def test_large_tables_turn_in_few_rounds():
     settings = pairwise.PairwiseSettings(factors=16)
     assert rotation.count_blocks(900_000, 1_200_000, 20_000_000, settings) == 8
