@@ -120,6 +120,22 @@ def test_chunks_of_a_block_leave_nothing_out(monkeypatch, clip):
     assert sum(r["user_id"] == 3 for r in got) == 3
 
 
+@pytest.mark.parametrize("size, kind", [(1.0, np.float32), (1e20, np.float64)])
+def test_rough_scores_lose_no_item(size, kind):
+    """Scores that floats cannot tell apart are listed by their doubles; factors too large for floats are scored in doubles."""
+    rng = np.random.default_rng(6)
+    p = rng.normal(size=(50, 8)) * size
+    q = rng.normal(size=8) + rng.normal(size=(6000, 8)) * 1e-8
+    table = lambda name, f: pa.table({name: np.arange(len(f)), "factors": pa.array(list(f)), "bias": np.zeros(len(f))})
+    none = pa.table({"user_id": pa.array([], pa.int64()), "item_id": pa.array([], pa.int64())})
+    assert topk._Chunks(p, q).rough.dtype == kind
+    got = pa.concat_tables(topk._score_block(table("user_id", p), table("item_id", q), none, 5, None)).to_pylist()
+    near = np.round(p @ q.T, 9)
+    for u in range(50):
+        want = sorted(near[u], reverse=True)[:5]
+        assert sorted((round(r["score"], 9) for r in got if r["user_id"] == u), reverse=True) == pytest.approx(want, rel=1e-12, abs=2e-9)
+
+
 def test_large_tables_are_not_copied_for_every_thousand_users():
     """Rows sent to the block pairs of 900,000 users and 1.2 million items of 16 factors."""
     user_blocks, item_blocks = topk._grid(900_000, 1_200_000, 16, None, None)

@@ -1,9 +1,11 @@
 """Training on planted structure: better than the mean, better than popularity, repeatable."""
 
+import hashlib
 import time
 from dataclasses import replace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from planted import planted_ratings
 from pyspark.sql import functions as F
@@ -205,6 +207,50 @@ def test_search_cuts_slow_trials_at_the_budget(spark, tmp_path):
     assert states == {0: "COMPLETE", 2: "COMPLETE"}
 
 
+def _cell(settings, width=4, taken=(0,)):
+    """A cell of three users who have taken some of ten items."""
+    part = lambda kind, a, b, vec: pa.table({
+        "kind": np.full(len(a), kind, np.int32), "a": np.array(a, np.int64), "b": np.array(b, np.int64), "value": np.ones(len(a)),
+        "vec": pa.array([list(map(float, v)) for v in vec], pa.list_(pa.float64())), "bias": np.zeros(len(a)), "g2": np.zeros(len(a)),
+    })
+    rng, pairs = np.random.default_rng(2), [(u, i) for u in range(3) for i in taken]
+    word = lambda u, i, t: int(hashlib.md5(f"42-5-{u}-{i}-{t}".encode()).hexdigest()[:8], 16)
+    return rotation.Cell(pa.concat_tables([
+        part(rotation.USER, range(3), [0] * 3, rng.normal(size=(3, width))),
+        part(rotation.FEATURE, range(10), [0] * 10, rng.normal(size=(10, width))),
+        part(rotation.SAMPLE, *zip(*pairs), [[word(u, i, t) for t in range(settings.first_tries)] for u, i in pairs]),
+    ]), settings, 10, epoch=5), word
+
+
+@pytest.mark.parametrize("loss, sent", [("bpr", 3), ("logistic", 3), ("warp", 2)])
+def test_few_draws_are_sent_and_the_others_made_when_needed(loss, sent):
+    settings = rotation.RotationSettings(loss=loss, factors=4)
+    cell, word = _cell(settings, taken=range(7))
+    assert cell.draws.shape[1] == settings.first_tries == sent < settings.tries
+    if loss == "warp":
+        found = cell._violations(np.arange(21), 0)
+        assert found[0].size and not cell.is_positive(found[0], found[2]).any()
+        return
+    at, tries, others = cell.negatives(np.arange(21))
+    want = []
+    for k in range(21):
+        u, i = divmod(k, 7)
+        free = [(k, t, word(u, i, t) % 10) for t in range(settings.tries) if word(u, i, t) % 10 >= 7]
+        want += free[: settings.negatives]
+    assert [*zip(at.tolist(), tries.tolist(), others.tolist())] == want and max(tries) > 2
+
+
+def test_warp_scores_a_try_only_after_the_one_before(monkeypatch):
+    """Everything violates at first, so one draw of each positive is scored, not ten."""
+    cell, _ = _cell(rotation.RotationSettings(loss="warp", factors=4))
+    cell.state[rotation.USER][0][:] = 0.0
+    asked = []
+    scores = rotation.Cell.scores
+    monkeypatch.setattr(rotation.Cell, "scores", lambda self, users, *more: asked.append(len(users)) or scores(self, users, *more))
+    cell._violations(np.arange(3), 0)
+    assert sum(asked) <= 3 + 2 * 3
+
+
 def test_training_repeats_exactly(data):
     settings = pairwise.PairwiseSettings(factors=4, rounds=1, passes=1)
     first, second = (
