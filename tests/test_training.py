@@ -10,7 +10,7 @@ import pytest
 from planted import planted_ratings
 from pyspark.sql import functions as F
 
-from rankweave.operators import als, metrics, pairwise, prep, rotation, sgd, stats, topk
+from rankweave.operators import als, alternating, metrics, pairwise, prep, rotation, sgd, stats, topk
 from rankweave.operators.model import FactorModel
 from rankweave.plans import evaluate, search
 from rankweave.session import cut_lineage
@@ -177,6 +177,46 @@ def test_narrow_fits_have_few_blocks_on_large_tables():
     assert als.light_blocks(210_000, 100, 15) > 12
 
 
+@pytest.mark.parametrize("params", [
+    dict(rank=40, regParam=0.1), dict(rank=40, regParam=0.02, implicitPrefs=True, alpha=2.0), dict(rank=3, regParam=0.1),
+])
+def test_batched_solver_equals_sparks(spark, monkeypatch, params):
+    """Rows of few and of many ratings, repeated pairs, ratings of zero and below; rank 3 has more ratings than factors."""
+    rows = spark.range(1, 3000).selectExpr("id * id % 97 user_id", "-(id * 37 % 113) item_id", "cast(id % 7 - 1 as double) value")
+    few = spark.createDataFrame([(1000, -5, 2.0), (1000, -6, 4.0), (1000, -6, 4.0), (1001, -500, 1.0)], "user_id long, item_id long, value double")
+    found = []
+    monkeypatch.setattr(als, "WIDE_RANK", 1)
+    for heavy in (0, float("inf")):
+        monkeypatch.setattr(als, "HEAVY_FIT", heavy)
+        sides = als._fit(rows.unionByName(few), "value", maxIter=2, seed=5, **params)
+        found.append([{r[0]: r.factors for r in side.collect()} for side in sides])
+    for ours, sparks in zip(*found):
+        assert ours.keys() == sparks.keys()
+        assert all(ours[k] == pytest.approx(sparks[k], rel=1e-4, abs=1e-6) for k in ours)
+
+
+def test_rows_of_few_ratings_need_no_system_as_wide_as_the_factors(monkeypatch):
+    """In a batch of rows, as many unknowns as ratings; threads and rows added up in parts give the same."""
+    rng = np.random.default_rng(0)
+    own, other = np.repeat(np.arange(30, dtype=np.int32), 5), np.tile(np.arange(5, dtype=np.int32), 30)
+    block = alternating.Block(alternating.Block.packed(own, other, rng.random(150).astype(np.float32) + 1, 0, 2))
+    factors = rng.normal(size=(5, 40)).astype(np.float32)
+    widths, solve = [], np.linalg.solve
+    monkeypatch.setattr(np.linalg, "solve", lambda a, b: widths.append(a.shape[1]) or solve(a, b))
+    for gram, alpha in ((None, None), (factors.astype(float).T @ factors + np.eye(40), 1.5)):
+        results = [block.solve(factors, gram, alternating.Terms(40, 0.1, alpha, threads)) for threads in (1, 3)]
+        assert set(widths) == {5}
+        widths.clear()
+        spectrum = None if gram is None else np.linalg.eigh(gram)
+        monkeypatch.setattr(alternating, "BATCH_BYTES", 1)
+        results.append(block._solved(np.arange(30), 5, factors, gram, spectrum, alternating.Terms(40, 0.1, alpha)))
+        assert set(widths) == {40}
+        widths.clear()
+        monkeypatch.undo()
+        monkeypatch.setattr(np.linalg, "solve", lambda a, b: widths.append(a.shape[1]) or solve(a, b))
+        assert (results[0] == results[1]).all() and np.allclose(results[0], results[2], atol=1e-5)
+
+
 def test_solved_factors_stay_floats(data):
     model = als.fit_implicit_als(data["positives"], data["all"], 4, 2)
     for side in (model.users, model.items):
