@@ -150,6 +150,40 @@ def test_neither_side_is_copied_for_every_cell(n_users, n_items, width):
     assert user_blocks * item_blocks >= topk.CELLS
 
 
+def test_block_pairs_of_large_tables_get_few_copies():
+    """Bytes sent for lists of ten, 5.4 million users and 7.2 million items of 16 factors."""
+    user_blocks, item_blocks = topk._grid(5_400_000, 7_200_000, 16, None, None, 10)
+    assert 5_400_000 * (8 * 16 + 24 + 240) * item_blocks + 7_200_000 * (8 * 16 + 24) * user_blocks < 30e9
+    assert user_blocks * item_blocks >= topk.CELLS
+
+
+def test_items_of_one_model_meet_its_factors_alone(spark, monkeypatch):
+    """Users travel to items that a model lacks without that model's factors; lists are those of all scores."""
+    rng = np.random.default_rng(9)
+    table = lambda name, ids, x: spark.createDataFrame(
+        [(int(k), v.tolist(), float(k % 3)) for k, v in zip(ids, x)], f"{name} long, factors array<double>, bias double")
+    p0, p1, q0, q1 = rng.normal(size=(6, 1)), rng.normal(size=(5, 12)), rng.normal(size=(20, 1)), rng.normal(size=(9, 12))
+    own0, own1, it0, it1 = range(6), range(1, 6), range(20), range(14, 23)
+    seen = spark.createDataFrame([(u, i) for u in range(6) for i in range(23) if (u + i) % 4 == 0], "user_id long, item_id long")
+    sent, pairs = [], topk._every_block_pair
+    monkeypatch.setattr(topk, "_every_block_pair", lambda users, items, *a, **k: sent.append(
+        (items.count(), len(users.first().factors), len(items.first().factors))) or pairs(users, items, *a, **k))
+    people = spark.range(6).withColumnRenamed("id", "user_id")
+    got = topk.blended_topk(
+        (table("user_id", own0, p0), table("item_id", it0, q0)), (table("user_id", own1, p1), table("item_id", it1, q1)), people, seen, 4, (0.6, 0.4)
+    ).collect()
+    assert sorted(sent) == sorted([(6, 17, 17), (14, 3, 3), (3, 14, 14)] * 2)
+    want = set()
+    for u in range(6):
+        free = [i for i in range(23) if (u + i) % 4]
+        a = np.array([p0[u] @ q0[i] + u % 3 + i % 3 if i < 20 else 0.0 for i in free])
+        b = np.array([p1[u - 1] @ q1[i - 14] + u % 3 + i % 3 if u and i >= 14 else 0.0 for i in free])
+        scaled = lambda x: (x - x.min()) / (x.max() - x.min()) if x.max() > x.min() else np.ones(len(x))
+        best = sorted(zip(-np.round(0.6 * scaled(a) + 0.4 * scaled(b), 9), free))[:4]
+        want |= {(u, i, rank) for rank, (_, i) in enumerate(best, 1)}
+    assert {(r.user_id, r.item_id, r["rank"]) for r in got} == want
+
+
 def test_lists_of_floats_are_those_of_doubles(spark, skewed):
     rng = np.random.default_rng(8)
     rows = lambda n: [(k, v.tolist()) for k, v in enumerate(rng.normal(size=(n, 3)).astype(np.float32).astype(float))]

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from planted import planted_ratings
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from rankweave.operators import als, alternating, metrics, pairwise, prep, rotation, sgd, stats, topk
@@ -229,6 +230,19 @@ def test_large_tables_turn_in_few_rounds():
     assert rotation.count_blocks(900_000, 1_200_000, 20_000_000, replace(settings, factors=128)) == 19
 
 
+def test_narrow_state_of_large_tables_is_moved_eight_times_an_epoch():
+    assert rotation.count_blocks(5_400_000, 7_200_000, 126_000_000, pairwise.PairwiseSettings(factors=16)) == 8
+
+
+def test_samples_are_dealt_without_a_shuffle(data):
+    run = pairwise.rotation(data["positives"], data["all"], pairwise.PairwiseSettings(factors=2, blocks=5))
+    plans, write = [], DataFrameWriter.parquet
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(DataFrameWriter, "parquet", lambda self, *a, **k: plans.append(self._df._jdf.queryExecution().toString()) or write(self, *a, **k))
+        dealt = run.dealt()
+    assert len(plans) == 1 and "Repartition" not in plans[0] and dealt.count() == run.samples.count()
+
+
 def test_search_cuts_slow_trials_at_the_budget(spark, tmp_path):
     """One trial that never ends in time, one that does, one not begun."""
     trials = spark.createDataFrame([(0, 1), (1, 10**9), (2, 1)], "trial int, size long")
